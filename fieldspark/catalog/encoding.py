@@ -14,10 +14,11 @@ from fieldspark.catalog.base import (
     with_views,
 )
 from fieldspark.functions.vectors import doubles
-from fieldspark.operators import features, sequence
+from fieldspark.operators import features
 from fieldspark.operators.stats import fit_dictionaries, fit_standardizer
 from fieldspark.plans import training
-from fieldspark.schema import CATEGORIES, KEYS
+from fieldspark.schema import KEYS
+from fieldspark.storage import cut_lineage
 
 
 def _elements(df, col="v"):
@@ -263,7 +264,7 @@ def _z(c):
 )
 def training_features(spark, sf_dir):
     """Three of the standardised inputs and the widths of both matrices."""
-    m = training.matrices(combined(spark, sf_dir))
+    m = training.matrices(cut_lineage(combined(spark, sf_dir)))
     weather, site = F.col("weather"), F.col("site")
     return rounded(
         m.rows.select(

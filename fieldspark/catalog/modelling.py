@@ -111,6 +111,6 @@ def run_history(spark, sf_dir):
 @query("train_and_evaluate")
 def train_and_evaluate(spark, sf_dir):
     """Combined table to matrices, model and loss and accuracy per split."""
-    rows = cut_lineage(training.matrices(combined(spark, sf_dir)).rows)
+    rows = cut_lineage(training.matrices(cut_lineage(combined(spark, sf_dir))).rows)
     _, _, scores = training.train_and_evaluate(rows, epochs=EPOCHS, iterations=ITERATIONS)
     return scores

@@ -19,6 +19,7 @@ from fieldspark.operators import sequence
 from fieldspark.operators.calendar import lookback_expand
 from fieldspark.operators.merge import enrich_weather
 from fieldspark.schema import KEYS
+from fieldspark.storage import cut_lineage
 
 SEQUENCE_SQL = with_views(
     "expanded weather_weekdays",
@@ -107,16 +108,21 @@ def _pool_sql(how, tail=""):
     )
 
 
+def _landed(spark, sf_dir, *cols):
+    """The combined table written once, as a job that reads it twice expects."""
+    return cut_lineage(combined(spark, sf_dir).select(*KEYS, *cols))
+
+
 @query("pool_windows", _pool_sql("max", "HAVING count(*) = 3"))
 def pool_max(spark, sf_dir):
-    pooled = sequence.pool_windows(combined(spark, sf_dir), "SiteID", "Date", "Wetness", 3)
+    pooled = sequence.pool_windows(_landed(spark, sf_dir, "Wetness"), "SiteID", "Date", "Wetness", 3)
     return rounded(pooled, "pooled")
 
 
 @query("pool_windows_mean", _pool_sql("avg"))
 def pool_mean(spark, sf_dir):
     pooled = sequence.pool_windows(
-        combined(spark, sf_dir), "SiteID", "Date", "Wetness", 3, "mean", keep_tail=True
+        _landed(spark, sf_dir, "Wetness"), "SiteID", "Date", "Wetness", 3, "mean", keep_tail=True
     )
     return rounded(pooled, "pooled")
 

@@ -9,6 +9,7 @@ from fieldspark.storage import broadcast_if_small, cut_lineage
 
 WHISKER_REACH = 1.5
 QUARTILES = (0.25, 0.5, 0.75)
+BOX = ("q1", "median", "q3")
 
 
 def _value_buckets(values, cuts):
@@ -27,11 +28,14 @@ def _value_buckets(values, cuts):
 def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
     """Linearly interpolated quantiles per key, as columns q0, q1, ... and ``n``.
 
+    Rows without a key are left out, as a group-by on a plot axis does.
+
     Equal values are counted together first. Sizes of the value buckets locate
     the bucket of every wanted rank, and only those buckets are sorted, each
     by its own task: a key holding most of the table is read by all tasks.
     """
-    values = df.select(key, no_nan(F.col(col)).alias("_x")).where(F.col("_x").isNotNull())
+    values = df.select(F.col(key), no_nan(F.col(col)).alias("_x"))
+    values = values.where(F.col("_x").isNotNull() & F.col(key).isNotNull())
     counted = (
         _value_buckets(values, cuts).groupBy(key, "_bucket", "_x").agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -91,27 +95,40 @@ def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
     return found.select(key, "n", *[between(i, p) for i, p in enumerate(probabilities)])
 
 
+def _whiskers(rows, keys, box):
+    """Furthest values inside the fences and the count outside, per key."""
+    reach = WHISKER_REACH * (box["q3"] - box["q1"])
+    inside = (F.col("_x") >= box["q1"] - reach) & (F.col("_x") <= box["q3"] + reach)
+    return rows.groupBy(*keys).agg(
+        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+        F.count_if(~inside).alias("outliers"),
+    )
+
+
 def boxplot_stats(df, col, by=None, cuts=256):
-    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outliers."""
+    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outliers.
+
+    Two passes: the fences follow from the quartiles. The quartiles, one row
+    per key, are written to the checkpoint folder between the passes.
+    """
     key = by or "_all"
     data = df if by else df.withColumn(key, F.lit(0))
     data = data.select(key, no_nan(F.col(col)).alias("_x")).where(F.col("_x").isNotNull())
     quartiles = cut_lineage(
         exact_quantiles(data, "_x", key, cuts=cuts).select(
-            key, "n", *[F.col(f"q{i}").alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+            key, "n", *[F.col(f"q{i}").alias(n) for i, n in enumerate(BOX)]
         )
     )
-    reach = WHISKER_REACH * (F.col("q3") - F.col("q1"))
-    inside = (F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach)
-    box = ["n", "q1", "median", "q3"]
-    stats = (
-        data.join(broadcast_if_small(quartiles), data[key].eqNullSafe(quartiles[key]))
-        .select(data[key], *box, "_x", inside.alias("_inside"))
-        .groupBy(key, *box)
-        .agg(
-            F.min(F.when(F.col("_inside"), F.col("_x"))).alias("whisker_low"),
-            F.max(F.when(F.col("_inside"), F.col("_x"))).alias("whisker_high"),
-            F.count_if(~F.col("_inside")).alias("outliers"),
-        )
+    if by:
+        rows = data.join(broadcast_if_small(quartiles), key)
+        return _whiskers(rows, [key, "n", *BOX], {c: F.col(c) for c in BOX})
+    row = quartiles.first()
+    box = {c: F.lit(row[c] if row else None).cast("double") for c in BOX}
+    return _whiskers(data, [], box).select(
+        F.lit(row["n"] if row else 0).cast("bigint").alias("n"),
+        *[box[c].alias(c) for c in BOX],
+        "whisker_low",
+        "whisker_high",
+        "outliers",
     )
-    return stats if by else stats.drop(key)

@@ -1,5 +1,6 @@
 """Keyed joins, enrichment and merges."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldspark.functions.cells import is_blank
@@ -44,18 +45,17 @@ def backfill_weather(df, weather, date_col="Date"):
 def keep_first(df, keys, *order):
     """Per key the row that comes first in ``order`` (columns or expressions).
 
-    An aggregate, not a window: each task reduces its own rows before the
-    shuffle, so a hot key costs one row per task.
+    Row number 1 is a group limit to Spark: each task cuts its own rows to one
+    per key before the shuffle, so a hot key costs one row per task, and
+    columns nobody reads later are never shuffled.
     """
-    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    payload = [c for c in df.columns if c not in keys]
-    won = df.groupBy(*keys).agg(F.min_by(F.struct(*payload), rank).alias("_won"))
-    return won.select(*[F.col(c) if c in keys else F.col(f"_won.{c}").alias(c) for c in df.columns])
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_turn", first).where(F.col("_turn") == 1).drop("_turn")
 
 
 def dedup_last(df, keys, order_col):
     """Per key the row with the largest ``order_col``."""
-    return keep_first(df, keys, -F.col(order_col))
+    return keep_first(df, keys, F.desc(order_col))
 
 
 def merge_insert_only(
@@ -72,8 +72,9 @@ def merge_insert_only(
     sides = new.withColumn("_side", F.lit(1))
     if existing is not None:
         sides = existing.withColumn("_side", F.lit(0)).unionByName(sides, allowMissingColumns=True)
-    turn = F.when(F.col("_side") == 0, -F.col(order_col)).otherwise(F.col(order_col))
-    order = [F.col("_side"), turn]
+    there = F.col("_side") == 0
+    last_there = F.when(there, F.col(order_col)).desc()
+    order = [F.col("_side"), last_there, F.when(~there, F.col(order_col))]
     if policy == "prefer_recorded":
         order.insert(0, ~F.coalesce(F.col(is_recorded), F.lit(False)))
     elif policy != "first":

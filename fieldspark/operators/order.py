@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldspark.functions import cells, vectors
-from fieldspark.operators.ranking import hash_rank
+from fieldspark.operators.ranking import sorted_rank
 
 
 def preview(df, order, n=10):
@@ -15,9 +15,10 @@ def preview(df, order, n=10):
 def seeded_shuffle(df, key, seed=42, position=None):
     """Reproducible random order of the unique column ``key``; ``position`` adds
     the 0-based place as a column, for tables that are written or joined."""
+    drawn = df.withColumn("_draw", cells.md5_key(seed, key))
     if position:
-        return hash_rank(df, key, seed, position).orderBy(position)
-    return df.orderBy(cells.md5_key(seed, key), key)
+        return sorted_rank(drawn, ["_draw", key], position).drop("_draw")
+    return drawn.orderBy("_draw", key).drop("_draw")
 
 
 def hash_split(df, key, seed=42, percents=(70, 85), out="split"):

@@ -31,23 +31,26 @@ def attach_sequence(
     (bounded by the number of dates) and looked up by the inspection date.
     """
     daily = one_per_date(weather, date, cols)
-    span = F.sequence(F.col(date), F.date_add(F.col(date), n - 1))
+    blanks = [F.lit(None).cast(daily.schema[c].dataType).alias(c) for c in cols]
+
+    def window(end, found=None):
+        def on(day):
+            if found is None:
+                return F.struct(day.alias(date), *blanks)
+            hit = F.get(F.filter(found, lambda w: w[date] == day), F.lit(0))
+            return F.struct(day.alias(date), *[hit[c].alias(c) for c in cols])
+
+        return F.transform(F.sequence(F.date_sub(end, n - 1), end), on)
+
+    ends = F.explode(F.sequence(F.col(date), F.date_add(F.col(date), n - 1)))
     by_end = (
-        daily.select(F.explode(span).alias("_end"), F.struct(date, *cols).alias("_day"))
+        daily.select(ends.alias("_end"), F.struct(date, *cols).alias("_day"))
         .groupBy("_end")
         .agg(F.collect_list("_day").alias("_days"))
+        .select("_end", window(F.col("_end"), F.col("_days")).alias("_window"))
     )
     known = inspections.join(F.broadcast(by_end), F.col(date) == F.col("_end"), "left")
-    blank = F.lit(None).cast(daily.schema[cols[0]].dataType)
-
-    def on(day):
-        found = F.get(F.filter("_days", lambda w: w[date] == day), F.lit(0))
-        return F.struct(
-            day.alias(date), *[F.coalesce(found[c], blank).alias(c) for c in cols]
-        )
-
-    window = F.sequence(F.date_sub(F.col(date), n - 1), F.col(date))
-    return known.withColumn(out, F.transform(window, on)).drop("_end", "_days")
+    return known.withColumn(out, F.coalesce("_window", window(F.col(date)))).drop("_end", "_window")
 
 
 def moving_kernel(df, key, date, col, weights, pad=True, relu=False, out="kernel"):

@@ -24,13 +24,15 @@ def build_combined(
     Of several inspections of one site on one day only the first in
     ``order_col`` can ever win a merged row, recorded or synthetic, under either
     policy: its look-back days are the same and its order is smaller. So the
-    others are reduced away before the expansion, map-side, and the expanded
-    and merged volume is sites times days however many inspections there are.
-    Weather depends on the date alone and joins last, on the fewest rows;
-    existing rows keep theirs.
+    others are reduced away before the expansion, map-side. What is left of a
+    site is at most one row per calendar day, so it can be brought together by
+    site before it is expanded: the ``n``-fold rows are merged where they arise
+    and never shuffled. Weather depends on the date alone and joins last, on
+    the fewest rows; existing rows keep theirs.
     """
-    first = keep_first(inspections, KEYS, order_col)
-    expanded = expand_inspections(first, n)
-    new = expanded if existing is None else enrich_weather(expanded, weather)
-    merged = merge_insert_only(existing, new, order_col, KEYS, policy)
-    return enrich_weather(merged, weather) if existing is None else merged
+    first = keep_first(inspections, KEYS, order_col).repartition("SiteID")
+    new = merge_insert_only(None, expand_inspections(first, n), order_col, KEYS, policy)
+    new = enrich_weather(new, weather)
+    if existing is None:
+        return new
+    return merge_insert_only(existing, new, order_col, KEYS, policy)
