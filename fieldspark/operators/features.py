@@ -79,13 +79,13 @@ def standardize(df, stats, cols=None):
     The statistics are one row per column; like any fitted model they are read
     while planning, and the rows need one projection.
     """
-    fitted = {r["column"]: r for r in stats.collect()}
-    return df.withColumns(
-        {
-            c: (F.col(c) - F.lit(fitted[c]["mean"])) / F.lit(fitted[c]["std"])
-            for c in (cols or list(fitted))
-        }
-    )
+    fitted = {r["column"]: (r["mean"], r["std"]) for r in stats.collect()}
+
+    def scaled(c):
+        mean, std = fitted[c]
+        return (F.col(c) - F.lit(mean)) / F.lit(std)
+
+    return df.withColumns({c: scaled(c) for c in (cols or fitted)})
 
 
 def one_hot_label(df, col, k, out="label_vector"):

@@ -8,7 +8,7 @@ from fieldspark.operators.ranking import sorted_rank
 
 def preview(df, order, n=10):
     """The first ``n`` rows in a stated order; each task keeps ``n`` rows."""
-    order = [order] if isinstance(order, str) else list(order)
+    order = order if isinstance(order, (list, tuple)) else [order]
     return df.orderBy(*order).limit(n)
 
 
@@ -52,7 +52,7 @@ def scatter_bins(df, x, y, nx=20, ny=20):
 
     def bin_of(c, name, n):
         lo, hi = ranges[f"{name}_lo"], ranges[f"{name}_hi"]
-        step = F.floor(F.try_divide(F.col(c) - lo, (hi - lo) / n))
-        return F.coalesce(F.least(step, F.lit(n - 1)), F.lit(0)).alias(f"{name}_bin")
+        step = F.coalesce(F.floor(F.try_divide(F.col(c) - lo, (hi - lo) / n)), F.lit(0))
+        return F.least(step, F.lit(n - 1)).alias(f"{name}_bin")
 
     return pairs.groupBy(bin_of(x, "x", nx), bin_of(y, "y", ny)).agg(F.count(F.lit(1)).alias("n"))

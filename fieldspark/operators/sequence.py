@@ -129,7 +129,7 @@ def global_mean_pool(df, key, col, out="mean"):
 
 def assign_batches(df, order, size, drop_last=True, out="batch"):
     """Number fixed-size batches in the order of unique columns."""
-    order = [order] if isinstance(order, str) else list(order)
+    order = order if isinstance(order, (list, tuple)) else [order]
     ranked = sorted_rank(df, order, "_rank", total="_total")
     batch = F.floor(F.col("_rank") / size)
     if drop_last:

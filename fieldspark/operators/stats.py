@@ -1,4 +1,4 @@
-"""Descriptive statistics; every function is one pass over its input."""
+"""Descriptive statistics, each in one pass over its input."""
 
 from itertools import combinations
 
@@ -49,21 +49,25 @@ def correlation_matrix(df, cols):
     return _long(data.agg(*aggregates), *cells)
 
 
+def _per_column(df, cols, **aggregates):
+    """One row per column: ``aggregates`` over its values, NULL and NaN skipped.
+
+    The columns become (position, value) rows, so the aggregate stays small and
+    compiled however wide the table is, and every task sends one row per column.
+    """
+    values = F.posexplode(F.array(*[no_nan(F.col(c)) for c in cols])).alias("_at", "_x")
+    names = F.array(*[F.lit(c) for c in cols])
+    return (
+        df.select(values)
+        .groupBy("_at")
+        .agg(*[fn("_x").alias(n) for n, fn in aggregates.items()])
+        .select(F.get(names, F.col("_at")).alias("column"), *aggregates)
+    )
+
+
 def column_profile(df, cols):
     """Minimum, maximum and mean per numeric column."""
-    wanted = {"min": F.min, "max": F.max, "mean": F.avg}
-    row = df.agg(
-        *[fn(no_nan(F.col(c))).alias(f"{c}~{n}") for c in cols for n, fn in wanted.items()]
-    )
-    return _long(
-        row,
-        *[
-            F.struct(
-                F.lit(c).alias("column"), *[F.col(f"`{c}~{n}`").alias(n) for n in wanted]
-            )
-            for c in cols
-        ],
-    )
+    return _per_column(df, cols, min=F.min, max=F.max, mean=F.avg)
 
 
 def _elements(df, c):
@@ -104,20 +108,11 @@ def invalid_positions(df, key, col):
 
 def fit_standardizer(df, cols):
     """Mean and population standard deviation per column (0 becomes 1)."""
-    row = df.agg(
-        *[F.avg(no_nan(F.col(c))).alias(f"{c}~mean") for c in cols],
-        *[F.stddev_pop(no_nan(F.col(c))).alias(f"{c}~std") for c in cols],
-    )
-    return _long(
-        row,
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.coalesce(F.col(f"`{c}~mean`"), F.lit(0.0)).alias("mean"),
-                F.coalesce(F.nullif(F.col(f"`{c}~std`"), F.lit(0.0)), F.lit(1.0)).alias("std"),
-            )
-            for c in cols
-        ],
+    fitted = _per_column(df, cols, mean=F.avg, std=F.stddev_pop)
+    return fitted.select(
+        "column",
+        F.coalesce("mean", F.lit(0.0)).alias("mean"),
+        F.coalesce(F.nullif("std", F.lit(0.0)), F.lit(1.0)).alias("std"),
     )
 
 

@@ -1,9 +1,19 @@
 """From inspections and daily weather to the combined table."""
 
-from fieldspark.operators.calendar import lookback_expand
-from fieldspark.operators.clean import mask_synthetic
+from pyspark.sql import functions as F
+
+from fieldspark.functions.cells import no_nan
+from fieldspark.operators.calendar import lookback_expand, parse_us_date
+from fieldspark.operators.clean import blank_to_null, mask_synthetic
 from fieldspark.operators.merge import enrich_weather, keep_first, merge_insert_only
-from fieldspark.schema import KEYS, LOOKBACK_DAYS
+from fieldspark.schema import (
+    KEYS,
+    LOOKBACK_DAYS,
+    NO_ACTION,
+    SITE_NUMBERS,
+    SYNTHETIC_WETNESS,
+    WEATHER,
+)
 
 
 def expand_inspections(inspections, n=LOOKBACK_DAYS):
@@ -36,3 +46,26 @@ def build_combined(
     if existing is None:
         return new
     return merge_insert_only(existing, new, order_col, KEYS, policy)
+
+
+def typed(raw, tokens=(), on_error="drop"):
+    """Landed text to numbers and dates; blanks, NA ``tokens`` and unreadable
+    numbers are NULL. Rows without a readable date follow ``on_error``."""
+    text = blank_to_null(raw, None, tokens)
+    numbers = {
+        c: no_nan(F.col(c).try_cast("double")) for c in SITE_NUMBERS + WEATHER if c in raw.columns
+    }
+    return parse_us_date(text.withColumns(numbers), "Date", on_error)
+
+
+def with_recorded_flag(combined):
+    """Tell recorded rows from look-back rows in a table that lost the flag: a
+    look-back row carries every mask at once."""
+    masked = (
+        (F.col("TreatedBy") == NO_ACTION)
+        & (F.col("Action") == NO_ACTION)
+        & (F.col("Wetness") == SYNTHETIC_WETNESS)
+        & F.col("DipCount").isNull()
+        & F.col("Material").isNull()
+    )
+    return combined.withColumn("is_recorded", ~F.coalesce(masked, F.lit(False)))

@@ -39,6 +39,9 @@ def _options(dialect):
         if key not in DIALECT_OPTIONS:
             raise ValueError(f"unknown dialect option: {key}")
         options[DIALECT_OPTIONS[key]] = value
+    if options.get("encoding", "").upper().startswith(("UTF-16", "UTF-32")):
+        # Lines of wide characters cannot be split as bytes: one task per file.
+        options["multiLine"] = True
     return options
 
 
