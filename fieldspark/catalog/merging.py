@@ -83,6 +83,16 @@ def merge_prefer_recorded(spark, sf_dir):
     return _merge(spark, sf_dir, "prefer_recorded")
 
 
+@query("merge_into_unique", _merged("is_recorded DESC, side, turn"))
+def merge_into_unique(spark, sf_dir):
+    """The existing side is merged first, so only its keys meet the new rows."""
+    rows = expanded(spark, sf_dir)
+    there = F.coalesce(F.col("MosquitoRank") == "High", F.lit(False))
+    table = merge_insert_only(rows.where(there), rows.where(F.lit(False)), "seq")
+    merged = merge_insert_only(table, rows.where(~there), "seq", existing_unique=True)
+    return merged.select("seq", "is_recorded", *INSPECTION_COLUMNS)
+
+
 @query("merge_insert_only_first", _merged("side, turn"))
 def merge_first(spark, sf_dir):
     return _merge(spark, sf_dir, "first")

@@ -26,7 +26,16 @@ def read_combined(spark, path, fmt="csv", tokens=(), on_error="drop", seq=None):
     return conform(spark.read.format(fmt).load(path), COMBINED)
 
 
-def combine(spark, inspections, weather, out, existing=None, policy="prefer_recorded", fmt="csv"):
+def combine(
+    spark,
+    inspections,
+    weather,
+    out,
+    existing=None,
+    policy="prefer_recorded",
+    existing_unique=False,
+    fmt="csv",
+):
     """Expand inspections, attach landed weather, merge into an existing table."""
     raw = read_inspections(spark, inspections, seq="seq").drop("_bad_record")
     there = None
@@ -34,7 +43,12 @@ def combine(spark, inspections, weather, out, existing=None, policy="prefer_reco
         rows = read_combined(spark, existing, seq="seq").drop("_bad_record")
         there = with_recorded_flag(rows)
     merged = build_combined(
-        typed(raw), read_weather_json(spark, weather), "seq", existing=there, policy=policy
+        typed(raw),
+        read_weather_json(spark, weather),
+        "seq",
+        existing=there,
+        policy=policy,
+        existing_unique=existing_unique,
     )
     return write_table(merged.select(*COMBINED_COLUMNS), out, fmt)
 
@@ -81,11 +95,23 @@ def main(argv=None):
         for r in required:
             sub.add_argument(f"--{r}", required=True)
         for o, default in optional.items():
-            sub.add_argument(f"--{o}", default=default, type=type(default) if default else str)
+            if default is False:
+                sub.add_argument(f"--{o}", action="store_true")
+            else:
+                sub.add_argument(f"--{o}", default=default, type=type(default) if default else str)
         sub.add_argument("--fmt", default="csv", choices=FORMATS)
         sub.set_defaults(fn=fn)
 
-    job("combine", combine, "inspections", "weather", "out", existing=None, policy="prefer_recorded")
+    job(
+        "combine",
+        combine,
+        "inspections",
+        "weather",
+        "out",
+        existing=None,
+        policy="prefer_recorded",
+        existing_unique=False,
+    )
     job("backfill", backfill, "combined", "weather", "out")
     job("filter", filter_excess, "combined", "out")
     job("describe", describe_tables, "combined", "out")

@@ -58,8 +58,21 @@ def dedup_last(df, keys, order_col):
     return keep_first(df, keys, F.desc(order_col))
 
 
+def join_keys(left, right, keys, how):
+    """Join on the keys with NULL equal to NULL, as grouping has it."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def merge_insert_only(
-    existing, new, order_col, keys=KEYS, policy="prefer_recorded", is_recorded="is_recorded"
+    existing,
+    new,
+    order_col,
+    keys=KEYS,
+    policy="prefer_recorded",
+    is_recorded="is_recorded",
+    existing_unique=False,
 ):
     """Insert rows whose key is absent; existing rows are never overwritten.
 
@@ -67,35 +80,56 @@ def merge_insert_only(
     existing side the last one wins. Policy "first" goes by that alone, so a
     look-back row may shadow a real inspection that comes later; policy
     "prefer_recorded" lets a row with ``is_recorded`` beat any without.
-    One shuffle on the key, reduced before it.
+    One shuffle on the key, reduced before it. ``existing_unique`` says that
+    ``existing`` has one row per key, as an earlier merge leaves it: then only
+    its keys are shuffled, not its rows.
     """
-    sides = new.withColumn("_side", F.lit(1))
-    if existing is not None:
-        sides = existing.withColumn("_side", F.lit(0)).unionByName(sides, allowMissingColumns=True)
+    if policy not in ("first", "prefer_recorded"):
+        raise ValueError(f"unknown merge policy: {policy}")
+    recorded = F.coalesce(F.col(is_recorded), F.lit(False))
+    prefer = policy == "prefer_recorded"
+    if existing is None:
+        return keep_first(new, keys, *([~recorded] if prefer else []), order_col)
+    if existing_unique:
+        first = merge_insert_only(None, new, order_col, keys, policy, is_recorded)
+        added = new_winners(existing, first, keys, policy, is_recorded)
+        if prefer:
+            beaten = added.where(recorded).select(*keys)
+            existing = join_keys(existing, beaten, keys, "left_anti")
+        return existing.unionByName(added, allowMissingColumns=True)
+    sides = existing.withColumn("_side", F.lit(0)).unionByName(
+        new.withColumn("_side", F.lit(1)), allowMissingColumns=True
+    )
     there = F.col("_side") == 0
     last_there = F.when(there, F.col(order_col)).desc()
     order = [F.col("_side"), last_there, F.when(~there, F.col(order_col))]
+    return keep_first(sides, keys, *([~recorded] if prefer else []), *order).drop("_side")
+
+
+def new_winners(existing, first, keys=KEYS, policy="prefer_recorded", is_recorded="is_recorded"):
+    """The rows of ``first`` (one per key) that ``existing`` has no better row for."""
+    recorded = F.coalesce(F.col(is_recorded), F.lit(False))
+    known = existing.groupBy(*keys).agg(F.max(recorded).alias("_known"))
+    wins = F.col("_known").isNull()
     if policy == "prefer_recorded":
-        order.insert(0, ~F.coalesce(F.col(is_recorded), F.lit(False)))
-    elif policy != "first":
-        raise ValueError(f"unknown merge policy: {policy}")
-    return keep_first(sides, keys, *order).drop("_side")
+        wins = wins | (recorded & ~F.col("_known"))
+    return join_keys(first, known, keys, "left").where(wins).drop("_known")
 
 
 def append_missing(existing, new, order_col, keys=KEYS):
     """Only the new rows to append: first per key, key absent from ``existing``."""
-    return keep_first(new, keys, order_col).join(
-        existing.select(*keys).distinct(), keys, "left_anti"
-    )
+    known = existing.select(*keys).distinct()
+    return join_keys(keep_first(new, keys, order_col), known, keys, "left_anti")
 
 
 def apply_dictionary(df, dictionary, col, out=None):
     """Value to code through a dictionary table (column, value, code); unknown
-    values get NULL. The dictionary is counted before it is broadcast."""
+    values get NULL. The dictionary is measured before it is broadcast."""
     codes = dictionary.where(F.col("column") == col).select(
         F.col("value").alias("_value"), F.col("code").alias("_code")
     )
-    joined = df.join(broadcast_if_small(codes), F.col(col) == F.col("_value"), "left")
+    same = F.col(col).cast("string") == F.col("_value")
+    joined = df.join(broadcast_if_small(codes), same, "left")
     out = out or col
     kept = [c for c in df.columns if c != out]
     return joined.select(*kept, F.col("_code").alias(out))

@@ -11,12 +11,15 @@ PARTITION_SHIFT = 33
 ROW_MASK = (1 << PARTITION_SHIFT) - 1
 
 
-def bucketed_rank(df, keys, bucket, order, name, total=None):
+def bucketed_rank(df, keys, bucket, order, name, total=None, few_buckets=False):
     """0-based rank per ``keys`` in the order (``bucket``, ``order``).
 
     ``bucket`` is a column that never decreases along ``order``. Only bucket
     sizes are summed across a key; rows are numbered inside one bucket, so a hot
-    key is spread over as many tasks as it has buckets.
+    key is spread over as many tasks as it has buckets. Without keys the bucket
+    sizes themselves pass through one task: ``hash_rank`` fixes their number.
+    ``few_buckets`` promises a fixed number of buckets, whose starts may then be
+    broadcast.
     """
     sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -24,8 +27,8 @@ def bucketed_rank(df, keys, bucket, order, name, total=None):
     if total:
         starts = starts.withColumn(total, F.sum("_n").over(W.partitionBy(*keys)))
     starts = starts.drop("_n")
-    if not keys:
-        starts = F.broadcast(starts)  # one row per bucket value
+    if few_buckets:
+        starts = F.broadcast(starts)
     inside = F.row_number().over(W.partitionBy(*keys, bucket).orderBy(*order))
     ranked = df.join(starts, [*keys, bucket]).withColumn(name, F.col("_start") + inside - 1)
     return ranked.select(*df.columns, name, *([total] if total else []))
@@ -36,13 +39,14 @@ def hash_rank(df, key, seed, name="rank", digits=4, total=None):
 
     Rows are bucketed by the first hex digits of an md5: 16^digits even buckets
     (65,536 by default), whatever the keys look like. Raise ``digits`` with the
-    data; the table of bucket sizes is the only thing broadcast.
+    data; the table of bucket sizes is all that is broadcast.
     """
     keys = [key] if isinstance(key, str) else list(key)
     hashed = df.withColumn("_md5", md5_key(seed, *keys)).withColumn(
         "_bucket", F.substring("_md5", 1, digits)
     )
-    return bucketed_rank(hashed, [], "_bucket", ["_md5", *keys], name, total).drop("_md5", "_bucket")
+    ranked = bucketed_rank(hashed, [], "_bucket", ["_md5", *keys], name, total, few_buckets=True)
+    return ranked.drop("_md5", "_bucket")
 
 
 def sorted_rank(df, order, name="rank", total=None):

@@ -3,6 +3,7 @@
 from itertools import combinations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.cells import no_nan
 from fieldspark.functions.vectors import doubles, over
@@ -119,15 +120,23 @@ def fit_standardizer(df, cols):
 def fit_dictionaries(df, cols, order="sorted", order_col=None):
     """Distinct values of several columns with codes 0, 1, ... per column.
 
-    ``order`` is "sorted" (by value) or "first_seen" (by the smallest
-    ``order_col``). One scan for all columns; only distinct values are sorted.
-    Returns (column, value, code).
+    ``order`` is "sorted" (by value, numbers as numbers) or "first_seen" (by the
+    smallest ``order_col``). One scan for all columns; only distinct values are
+    sorted. Returns (column, value, code).
     """
     if order not in ("sorted", "first_seen"):
         raise ValueError(f"unknown dictionary order: {order}")
-    seen = F.col(order_col) if order == "first_seen" else F.lit(0)
+
+    def place(c):
+        if order == "first_seen":
+            return F.col(order_col)
+        is_number = isinstance(df.schema[c].dataType, T.NumericType)
+        return F.col(c).cast("double") if is_number else F.lit(0.0)
+
     entries = [
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), seen.alias("seen"))
+        F.struct(
+            F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), place(c).alias("seen")
+        )
         for c in cols
     ]
     distinct = (

@@ -28,6 +28,7 @@ def build_combined(
     existing=None,
     policy="prefer_recorded",
     n=LOOKBACK_DAYS,
+    existing_unique=False,
 ):
     """Expand, merge by (site, date), then attach the weather of the days left.
 
@@ -45,7 +46,9 @@ def build_combined(
     new = enrich_weather(new, weather)
     if existing is None:
         return new
-    return merge_insert_only(existing, new, order_col, KEYS, policy)
+    return merge_insert_only(
+        existing, new, order_col, KEYS, policy, existing_unique=existing_unique
+    )
 
 
 def typed(raw, tokens=(), on_error="drop"):

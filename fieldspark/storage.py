@@ -35,11 +35,16 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
-def broadcast_if_small(df, max_rows=200_000):
-    """Broadcast hint only after counting; above the bound the optimiser
+def broadcast_if_small(df, max_bytes=64 << 20):
+    """Broadcast hint only after measuring; above the bound the optimiser
     chooses (shuffled join, skew split at run time). Pass a table that is
-    cheap to count: landed, checkpointed, or aggregated."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    cheap to scan: landed, checkpointed, or aggregated."""
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    per_row = F.lit(16 * len(df.columns))
+    for c in texts:
+        per_row = per_row + F.coalesce(F.octet_length(c), F.lit(0))
+    size = df.agg(F.sum(per_row)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def path_exists(spark, path):

@@ -12,7 +12,13 @@ from pyspark.sql import types as T
 from fieldspark.functions.cells import is_blank
 from fieldspark.operators.calendar import lookback_expand
 from fieldspark.operators.clean import mask_synthetic
-from fieldspark.operators.merge import backfill_weather, enrich_weather, keep_first
+from fieldspark.operators.merge import (
+    backfill_weather,
+    enrich_weather,
+    keep_first,
+    merge_insert_only,
+    new_winners,
+)
 from fieldspark.schema import KEYS, LOOKBACK_DAYS, WEATHER
 from fieldspark.storage import path_exists
 
@@ -96,21 +102,12 @@ def incremental_merge(
     todo = todo.drop("run").withColumn("month", F.date_format("Date", "yyyy-MM"))
     if todo.isEmpty():
         return
-    unrecorded = ~F.col("is_recorded") if policy == "prefer_recorded" else F.lit(False)
-    new = keep_first(todo, KEYS, unrecorded, F.col(order_col))
+    new = merge_insert_only(None, todo, order_col, KEYS, policy)
     if not first_run:
-        months = todo.select("month").distinct()
-        known = (
-            spark.read.schema(_plus(schema, month=T.StringType()))
-            .parquet(merged)
-            .join(F.broadcast(months), "month", "left_semi")
-            .groupBy(*KEYS)
-            .agg(F.max("is_recorded").alias("_known_recorded"))
-        )
-        wins = F.col("_known_recorded").isNull()
-        if policy == "prefer_recorded":
-            wins = wins | (F.col("is_recorded") & ~F.col("_known_recorded"))
-        new = new.join(known, KEYS, "left").where(wins).drop("_known_recorded")
+        months = todo.select("month").distinct()  # bounded by the calendar
+        table = spark.read.schema(_plus(schema, month=T.StringType())).parquet(merged)
+        touched = table.join(F.broadcast(months), "month", "left_semi")
+        new = new_winners(touched, new, KEYS, policy)
     new.write.mode("overwrite").partitionBy("month").parquet(f"{merged}/run={run}")
 
 

@@ -55,7 +55,7 @@ def test_a_merge_lost_after_staging_is_made_good(spark, tmp_path, monkeypatch):
 
     spark.createDataFrame(rows[:20], SCHEMA).write.parquet(land)
     with monkeypatch.context() as m:
-        m.setattr(incremental, "keep_first", lambda *a: 1 / 0)
+        m.setattr(incremental, "merge_insert_only", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             run()
     spark.createDataFrame(rows[20:], SCHEMA).write.mode("append").parquet(land)
@@ -150,6 +150,8 @@ def test_file_jobs(spark, tmp_path):
         return sorted(jobs.read_combined(spark, path).select(*COMBINED_COLUMNS).collect(), key=str)
 
     assert content(p["v1"]) == content(p["v2"])
+    jobs.combine(spark, src, few, p["v3"], existing=p["v2"], existing_unique=True)
+    assert content(p["v3"]) == content(p["v2"])
     jobs.backfill(spark, p["v2"], everything, p["v3"])
     blank = [sum(r["Temperature"] is None for r in content(v)) for v in (p["v2"], p["v3"])]
     assert blank[0] > blank[1] > 0

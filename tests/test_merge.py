@@ -75,6 +75,22 @@ def test_build_combined_is_the_row_by_row_merge(spark, policy, seed):
         assert as_rows(out) == loop_merge(start, rows, policy)
 
 
+@pytest.mark.parametrize("policy", ["first", "prefer_recorded"])
+def test_unique_existing_gives_the_same_merge(spark, policy):
+    rows = [(r[0], None if r[1] == "s1" else r[1], *r[2:]) for r in random_inspections(8)]
+    old = expand_inspections(spark.createDataFrame(rows[:50], SCHEMA))
+    new = expand_inspections(spark.createDataFrame(rows[50:], SCHEMA))
+    table = merge_insert_only(None, old, "seq", KEYS, policy)
+    plain = merge_insert_only(table, new, "seq", KEYS, policy)
+    quick = merge_insert_only(table, new, "seq", KEYS, policy, existing_unique=True)
+    key = lambda r: str(r)
+    assert sorted(as_tuples(quick), key=key) == sorted(as_tuples(plain), key=key)
+
+
+def as_tuples(df):
+    return [tuple(r) for r in df.select("seq", "SiteID", "Date", "is_recorded").collect()]
+
+
 @pytest.mark.parametrize("policy", ["first", "prefer_recorded"])
 def test_merge_is_idempotent(spark, policy):
     new = expand_inspections(spark.createDataFrame(random_inspections(5), SCHEMA))

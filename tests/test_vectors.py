@@ -95,6 +95,13 @@ def test_dictionary_orders(spark):
     assert seen == {"b": 0, "c": 1, "a": 2}
 
 
+def test_numbers_are_coded_in_number_order(spark):
+    df = spark.createDataFrame([(10,), (9,), (100,)], "site int")
+    codes = stats.fit_dictionary(df, "site")
+    assert sorted((r["code"], r["value"]) for r in codes.collect()) == [(0, "9"), (1, "10"), (2, "100")]
+    assert sorted(r["c"] for r in features.apply_dictionary(df, codes, "site", "c").collect()) == [0, 1, 2]
+
+
 def test_standardizer_uses_population_std_and_skips_missing(spark):
     df = spark.createDataFrame([(0, 1.0, 5.0), (1, 3.0, 5.0), (2, None, 5.0), (3, NAN, 5.0)], "i int, a double, b double")
     fitted = stats.fit_standardizer(df, ["a", "b"])
