@@ -6,14 +6,28 @@
 import argparse
 
 from pyspark.sql import SparkSession
-
-from fieldspark.operators.clean import conform, drop_excess, filter_report, is_excess
+from pyspark.sql import functions as F
+
+from fieldspark.functions.cells import parse_us_date
+from fieldspark.operators.clean import (
+    blank_to_null,
+    conform,
+    drop_excess,
+    filter_report,
+    is_excess,
+)
 from fieldspark.operators.merge import backfill_weather
 from fieldspark.operators.model import run_history
 from fieldspark.plans import training
 from fieldspark.plans.combined import build_combined, typed, with_recorded_flag
 from fieldspark.plans.describe import describe
-from fieldspark.schema import COMBINED, COMBINED_COLUMNS, COMBINED_TEXT, NA_TOKENS
+from fieldspark.schema import (
+    COMBINED,
+    COMBINED_COLUMNS,
+    COMBINED_TEXT,
+    LOOKBACK_DAYS,
+    NA_TOKENS,
+)
 from fieldspark.sources.readers import read_inspections, read_weather_json
 from fieldspark.sources.writers import FORMATS, write_table
 from fieldspark.storage import cut_lineage
@@ -40,7 +54,7 @@ def combine(
     raw = read_inspections(spark, inspections, seq="seq").drop("_bad_record")
     there = None
     if existing:
-        rows = read_combined(spark, existing, seq="seq").drop("_bad_record")
+        rows = read_combined(spark, existing, on_error="fail", seq="seq").drop("_bad_record")
         there = with_recorded_flag(rows)
     merged = build_combined(
         typed(raw),
@@ -53,15 +67,25 @@ def combine(
     return write_table(merged.select(*COMBINED_COLUMNS), out, fmt)
 
 
+def _as_landed(spark, path, fmt):
+    """The table as it is: CSV stays text, so nothing unreadable is lost."""
+    if fmt == "csv":
+        return read_inspections(spark, path, COMBINED_TEXT).select(*COMBINED_COLUMNS)
+    return conform(spark.read.format(fmt).load(path), COMBINED)
+
+
 def backfill(spark, combined, weather, out, fmt="csv"):
     """Weather for the rows whose temperature is blank, other rows unchanged."""
-    rows = read_combined(spark, combined, fmt, on_error="keep").select(*COMBINED_COLUMNS)
-    return write_table(backfill_weather(rows, read_weather_json(spark, weather)), out, fmt)
+    rows = _as_landed(spark, combined, fmt)
+    day = parse_us_date(F.col("Date")) if fmt == "csv" else F.col("Date")
+    daily = read_weather_json(spark, weather).withColumnRenamed("Date", "_day")
+    filled = backfill_weather(rows.withColumn("_day", day), daily, "_day")
+    return write_table(filled.drop("_day"), out, fmt)
 
 
 def filter_excess(spark, combined, out, fmt="csv"):
     """Drop rows with neither weather nor action; returns the counts."""
-    rows = read_combined(spark, combined, fmt, on_error="keep").select(*COMBINED_COLUMNS)
+    rows = blank_to_null(_as_landed(spark, combined, fmt), tokens=NA_TOKENS)
     write_table(drop_excess(rows), out, fmt)
     return filter_report(rows, ~is_excess()).first().asDict()
 
@@ -73,10 +97,10 @@ def describe_tables(spark, combined, out, fmt="csv"):
     return out
 
 
-def train(spark, combined, out, fmt="csv", epochs=5, iterations=5):
+def train(spark, combined, out, fmt="csv", epochs=5, iterations=5, days=LOOKBACK_DAYS):
     """Matrices, model, run history and loss and accuracy per split."""
     rows = read_combined(spark, combined, fmt, NA_TOKENS, "fail").select(*COMBINED_COLUMNS)
-    matrices = training.matrices(cut_lineage(rows))
+    matrices = training.matrices(cut_lineage(rows), days=days)
     write_table(matrices.rows, f"{out}/matrices", "parquet")
     landed = spark.read.parquet(f"{out}/matrices")
     model, history, scores = training.train_and_evaluate(landed, epochs=epochs, iterations=iterations)
@@ -115,7 +139,7 @@ def main(argv=None):
     job("backfill", backfill, "combined", "weather", "out")
     job("filter", filter_excess, "combined", "out")
     job("describe", describe_tables, "combined", "out")
-    job("train", train, "combined", "out", epochs=5, iterations=5)
+    job("train", train, "combined", "out", epochs=5, iterations=5, days=LOOKBACK_DAYS)
     args = vars(parser.parse_args(argv))
     fn, name = args.pop("fn"), args.pop("job")
     spark = SparkSession.builder.appName(f"fieldspark {name}").getOrCreate()

@@ -5,9 +5,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.cells import no_nan
 from fieldspark.operators import calendar, clean, features, model, order
 from fieldspark.operators.evaluate import evaluate
 from fieldspark.operators.merge import apply_dictionary
+from fieldspark.operators.sequence import attach_sequence
 from fieldspark.operators.stats import fit_dictionaries, fit_standardizer
 from fieldspark.schema import CATEGORIES, KEYS, SITE_NUMBERS, WEATHER
 from fieldspark.storage import cut_lineage
@@ -26,15 +28,30 @@ class Matrices:
     site_columns: list
 
 
-def encode(combined, seed=42, keep_label_source=False, fit_on="train"):
+def day_series(rows, days):
+    """The weather of the ``days`` days up to each row's date, one column per
+    field and day (``Temperature_1`` is the day before), missing days as 0."""
+    known = rows.select("Date", *WEATHER).where(F.col(WEATHER[0]).isNotNull())
+    series = attach_sequence(rows, known, n=days, out="_series")
+    columns = {}
+    for back in range(days - 1, 0, -1):
+        for c in WEATHER:
+            value = F.get("_series", F.lit(days - 1 - back))[c]
+            columns[f"{c}_{back}"] = F.coalesce(no_nan(value), F.lit(0.0))
+    return series.withColumns(columns).drop("_series"), list(columns)
+
+
+def encode(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
     """Label, date numbers, site code and one 0/1 column per category value.
 
     The count that defines the label is left out of the inputs unless
     ``keep_label_source``. Dictionaries are fitted on the training part unless
-    ``fit_on`` is "all"; a site they do not know gets the code -1.
+    ``fit_on`` is "all"; a site they do not know gets the code -1. With ``days``
+    above 1 the weather family also holds that many days as a series.
     Returns the table, the weather columns and the site columns.
     """
     labelled = clean.threshold_label(combined.select(*KEYS, *CATEGORIES, *SITE_NUMBERS, *WEATHER))
+    labelled, series = day_series(labelled, days) if days > 1 else (labelled, [])
     split = order.hash_split(labelled, KEYS, seed)
     dated = calendar.date_parts(calendar.date_ordinal(split))
     filled = clean.fill_category(
@@ -46,13 +63,13 @@ def encode(combined, seed=42, keep_label_source=False, fit_on="train"):
     coded = coded.fillna(UNKNOWN_SITE, [SITE_CODE])
     encoded = features.one_hot_columns(coded, CATEGORIES, dictionary)
     dropped = [*KEYS, "split"] if keep_label_source else [*KEYS, "split", "DipCount"]
-    weather, site = clean.split_features(encoded, LABEL, dropped)
-    return encoded, weather, sorted(site, key=lambda c: c != SITE_CODE)
+    weather, site = clean.split_features(encoded, LABEL, [*dropped, *series])
+    return encoded, series + weather, sorted(site, key=lambda c: c != SITE_CODE)
 
 
-def matrices(combined, seed=42, keep_label_source=False, fit_on="train"):
+def matrices(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
     """Standardised weather and site arrays per row, and both joined."""
-    encoded, weather, site = encode(combined, seed, keep_label_source, fit_on)
+    encoded, weather, site = encode(combined, seed, keep_label_source, fit_on, days)
     seen = encoded.where(F.col("split") == "train") if fit_on == "train" else encoded
     scaled = features.standardize(encoded, fit_standardizer(seen, weather + site))
     rows = features.assemble_vector(scaled, weather, "weather")

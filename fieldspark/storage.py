@@ -47,6 +47,18 @@ def broadcast_if_small(df, max_bytes=64 << 20):
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def path_exists(spark, path):
+def _file_system(spark, path):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def path_exists(spark, path):
+    files, location = _file_system(spark, path)
+    return files.exists(location)
+
+
+def finished_folders(spark, path):
+    """Names of the folders below ``path`` whose write was committed."""
+    files, location = _file_system(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(location) if s.isDirectory()]
+    return [n for n in names if path_exists(spark, f"{path}/{n}/_SUCCESS")]

@@ -20,7 +20,7 @@ from fieldspark.operators.merge import (
     new_winners,
 )
 from fieldspark.schema import KEYS, LOOKBACK_DAYS, WEATHER
-from fieldspark.storage import path_exists
+from fieldspark.storage import finished_folders, path_exists
 
 NEEDS_WEATHER = "needs_weather"
 
@@ -96,9 +96,8 @@ def incremental_merge(
     todo = spark.read.schema(schema).parquet(staged)
     first_run = not path_exists(spark, merged)
     if not first_run:
-        before = spark.read.schema(schema).parquet(merged)
-        last = before.agg(F.max("run")).first()[0] or 0
-        todo = todo.where(F.col("run") > last)
+        runs = [int(name.removeprefix("run=")) for name in finished_folders(spark, merged)]
+        todo = todo.where(F.col("run") > max(runs, default=0))
     todo = todo.drop("run").withColumn("month", F.date_format("Date", "yyyy-MM"))
     if todo.isEmpty():
         return

@@ -121,6 +121,13 @@ def test_matrices_have_no_label_leak_and_fit_on_train(spark):
     assert np.allclose(x.mean(axis=0), 0, atol=1e-9)
     std = x.std(axis=0)
     assert np.all(np.isclose(std, 1) | np.isclose(std, 0))
+    five, columns, _ = training.encode(combined, days=5)
+    assert len(columns) == 4 * 3 + 7
+    by_date = {r["Date"]: r["Temperature"] for r in combined.collect()}
+    for r in five.collect():
+        for back in (1, 4):
+            day = r["Date"] - datetime.timedelta(days=back)
+            assert r[f"Temperature_{back}"] == (by_date.get(day) or 0.0)
     kept = training.matrices(combined, keep_label_source=True, fit_on="all")
     assert "DipCount" in kept.site_columns
     assert np.allclose(np.array([r["features"] for r in kept.rows.collect()]).mean(axis=0), 0, atol=1e-9)
