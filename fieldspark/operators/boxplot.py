@@ -1,5 +1,8 @@
 """Exact quartiles, whiskers and outlier counts at any size."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,66 +28,70 @@ def _value_buckets(values, cuts):
     return Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket").transform(values)
 
 
-def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
-    """Linearly interpolated quantiles per key, as columns q0, q1, ... and ``n``.
-
-    Rows without a key are left out, as a group-by on a plot axis does.
+def _wanted_ranks(sizes, key, probabilities):
+    """Which buckets hold the rows that the quantiles lie between.
 
-    Equal values are counted together first. Sizes of the value buckets locate
-    the bucket of every wanted rank, and only those buckets are sorted, each
-    by its own task: a key holding most of the table is read by all tasks.
+    ``sizes`` has one row per key and bucket; the result adds ``n`` and the
+    wanted places inside the bucket, at most two per probability.
     """
-    values = df.select(F.col(key), no_nan(F.col(col)).alias("_x"))
-    values = values.where(F.col("_x").isNotNull() & F.col(key).isNotNull())
-    counted = (
-        _value_buckets(values, cuts).groupBy(key, "_bucket", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    )
-
     prior = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = counted.groupBy(key, "_bucket").agg(F.sum("_n").alias("_size"))
-    sizes = sizes.select(
+    placed = sizes.select(
         key,
         "_bucket",
         "_size",
         F.coalesce(F.sum("_size").over(prior), F.lit(0)).alias("_start"),
         F.sum("_size").over(W.partitionBy(key)).alias("n"),
     )
-
-    ranks = []
+    ranks = {}
     for i, p in enumerate(probabilities):
         spot = (F.col("n") - 1) * F.lit(p)
-        for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            ranks.append(
-                F.struct(F.lit(f"{side}{i}").alias("name"), (at - F.col("_start")).alias("at"))
-            )
-    wanted = (
-        sizes.withColumn("_ranks", F.array(*ranks))
-        .withColumn(
-            "_ranks", F.filter("_ranks", lambda r: (r["at"] >= 0) & (r["at"] < F.col("_size")))
-        )
-        .where(F.size("_ranks") > 0)
-        .select(key, "_bucket", "n", "_ranks")
+        ranks[f"lo{i}"], ranks[f"hi{i}"] = F.floor(spot), F.ceil(spot)
+    ends = F.col("_start") + F.col("_size")
+    holds_any = reduce(or_, [(at >= F.col("_start")) & (at < ends) for at in ranks.values()])
+    places = F.array(
+        *[F.struct(F.lit(n).alias("name"), (at - F.col("_start")).alias("at")) for n, at in ranks.items()]
     )
+    inside = F.filter(places, lambda r: (r["at"] >= 0) & (r["at"] < F.col("_size")))
+    return placed.where(holds_any).select(key, "_bucket", "n", inside.alias("_ranks"))
 
+
+def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
+    """Linearly interpolated quantiles per key, as columns q0, q1, ... and ``n``.
+
+    Rows without a key are left out, as a group-by on a plot axis does.
+    A first pass counts the value buckets of every key, which locates the bucket
+    of each wanted rank. A second pass looks at those buckets alone: equal
+    values are counted together and the counts summed in order, each bucket by
+    its own task. A key holding most of the table is read by all tasks and
+    shuffled by none.
+    """
+    values = df.select(F.col(key), no_nan(F.col(col)).alias("_x"))
+    values = values.where(F.col("_x").isNotNull() & F.col(key).isNotNull())
+    values = _value_buckets(values, cuts)
+    sizes = values.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    wanted = cut_lineage(_wanted_ranks(sizes, key, probabilities))
+
+    near = values.join(broadcast_if_small(wanted.select(key, "_bucket")), [key, "_bucket"])
+    counted = near.groupBy(key, "_bucket", "_x").agg(F.count(F.lit(1)).alias("_n"))
     upto = W.partitionBy(key, "_bucket").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    hits = (
-        counted.join(wanted, [key, "_bucket"])
-        .withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn(
+    summed = counted.withColumn("_upto", F.sum("_n").over(upto))
+    hits = summed.join(wanted, [key, "_bucket"]).withColumn(
+        "_ranks",
+        F.filter(
             "_ranks",
-            F.filter(
-                "_ranks",
-                lambda r: (r["at"] < F.col("_upto")) & (r["at"] >= F.col("_upto") - F.col("_n")),
-            ),
-        )
-        .select(key, "n", "_x", F.explode("_ranks.name").alias("_name"))
+            lambda r: (r["at"] < F.col("_upto")) & (r["at"] >= F.col("_upto") - F.col("_n")),
+        ),
     )
-    found = hits.groupBy(key, "n").agg(
-        *[
-            F.max(F.when(F.col("_name") == f"{side}{i}", F.col("_x"))).alias(f"{side}{i}")
-            for i in range(len(probabilities))
-            for side in ("lo", "hi")
-        ]
+    found = (
+        hits.select(key, "n", "_x", F.explode("_ranks.name").alias("_name"))
+        .groupBy(key, "n")
+        .agg(
+            *[
+                F.max(F.when(F.col("_name") == f"{side}{i}", F.col("_x"))).alias(f"{side}{i}")
+                for i in range(len(probabilities))
+                for side in ("lo", "hi")
+            ]
+        )
     )
 
     def between(i, p):
