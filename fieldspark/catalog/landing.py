@@ -5,14 +5,12 @@ from pyspark.sql import functions as F
 from fieldspark.catalog.base import (
     inspections,
     query,
-    r6,
     rounded,
     sql6,
     table,
     weather_daily,
     with_views,
 )
-from fieldspark.functions import cells
 from fieldspark.operators import calendar, clean
 from fieldspark.schema import INSPECTION_COLUMNS, INSPECTION_TEXT, SITE_NUMBERS, text_schema
 from fieldspark.sources.readers import (

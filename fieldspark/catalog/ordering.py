@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fieldspark.catalog.base import inspections, query, r6, table, vectors, with_views
+from fieldspark.catalog.base import inspections, query, table, vectors, with_views
 from fieldspark.operators import order
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from fieldspark.catalog.base import (
     combined,
-    expanded,
     inspections,
     query,
     r6,
