@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, token_counts
+from fieldspark.llm import bpe, line_quality, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -23,6 +23,27 @@ def query(name, sql=None):
     return register
 
 
+@query(
+    "op1_arc_to_warc",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS body FROM pages
+    ), d AS (
+      SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p
+    ), f AS (
+      SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
+def op1_arc_to_warc(spark, sf_dir):
+    """Pages as legacy archives of both versions, converted, written and read back."""
+    return warc.convert_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op3_encode_decode")
 def op3_encode_decode(spark, sf_dir):
     """Every text encoded and decoded; digests of the ids and of the decoded text."""
@@ -43,3 +64,52 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), limit=512
     )
+
+
+def quality_model(spark, sf_dir):
+    """The model of all documents' quality, learned outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    return line_quality.train(table(spark, sf_dir, "documents"), labels)
+
+
+def held_out(id_col):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+@query("op8_line_quality")
+def op8_line_quality(spark, sf_dir):
+    """Score of every document from its lines' marginals."""
+    scored = line_quality.score(
+        table(spark, sf_dir, "documents"), quality_model(spark, sf_dir)
+    )
+    return scored.select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query(
+    "op9_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op9_top_k(spark, sf_dir):
+    """The five best inner products of every fiftieth vector with all others."""
+    return topk.search(
+        table(spark, sf_dir, "embeddings"), lambda key: key % 50 == 0, k=5, scale=256.0
+    )
