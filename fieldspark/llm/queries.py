@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, line_quality, token_counts, topk, warc
+from fieldspark.llm import bpe, line_quality, packing, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -66,6 +66,14 @@ def op5_token_counts(spark, sf_dir):
     )
 
 
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY)
+    )
+
+
 def quality_model(spark, sf_dir):
     """The model of all documents' quality, learned outside the held-out third."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
