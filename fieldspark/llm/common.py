@@ -43,9 +43,9 @@ def map_batches(df, fn, schema):
     return df.mapInArrow(run, schema)
 
 
-def iterate_batches(df, fn, schema):
+def iterate_batches(df, fn, schema, max_bytes=BATCH_BYTES):
     """``fn(iterator of batches) -> iterator of dicts of columns`` per partition."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, max_bytes)
     arrow = _arrow_schema(schema)
 
     def run(batches):

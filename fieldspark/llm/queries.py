@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, line_quality, packing, token_counts, topk, warc
+from fieldspark.llm import bpe, line_quality, packing, repeats, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -121,3 +121,17 @@ def op9_top_k(spark, sf_dir):
     return topk.search(
         table(spark, sf_dir, "embeddings"), lambda key: key % 50 == 0, k=5, scale=256.0
     )
+
+
+@query("op10_remove_repeats")
+def op10_remove_repeats(spark, sf_dir):
+    """Every document without the 50-byte strings that an earlier document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = repeats.remove_repeats(docs)
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        (F.size("removed") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
