@@ -28,9 +28,9 @@ def ids_and_texts(docs, id_col="doc_id", text_col="text"):
     )
 
 
-def map_batches(df, fn, schema):
+def map_batches(df, fn, schema, max_bytes=BATCH_BYTES):
     """``fn(batch) -> dict of columns`` (or None) on each Arrow batch."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, max_bytes)
     arrow = _arrow_schema(schema)
 
     def run(batches):

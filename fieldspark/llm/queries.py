@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, line_quality, packing, repeats, token_counts, topk, warc
+from fieldspark.llm import bpe, jaccard_join, line_quality, packing, repeats, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -135,3 +135,42 @@ def op10_remove_repeats(spark, sf_dir):
         (F.size("removed") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op6_jaccard_join",
+    """
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS ws
+      FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, unnest(
+        CASE WHEN len(ws) = 0 THEN []
+             WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh
+      FROM w
+    ), n AS (
+      SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), p AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+      FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+    ), e AS (
+      SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+      WHERE 100 * i >= 85 * (nx.n + ny.n - i)
+    ), u AS (
+      SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e
+    ), r AS (
+      SELECT doc_id, doc_id AS reach FROM documents
+      UNION
+      SELECT r.doc_id, u.b FROM r JOIN u ON r.reach = u.a
+    )
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+    FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+    JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+    """,
+)
+def op6_jaccard_join(spark, sf_dir):
+    """Components of documents that share 85 % of their four-word shingles."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)

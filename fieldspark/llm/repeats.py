@@ -491,6 +491,14 @@ def remove_repeats(docs, id_col="doc_id", text_col="text"):
     return joined.mapInArrow(clean, out_schema)
 
 
+def valid_text(column):
+    """Bytes as text; what is left of a character that lost a byte is dropped."""
+    bad = "\ufffd"
+    return F.when(F.expr(f"is_valid_utf8(cast({column} as string))"), F.col(column).cast("string")).otherwise(
+        F.replace(F.expr(f"make_valid_utf8(cast({column} as string))"), F.lit(bad), F.lit(""))
+    )
+
+
 def _cleaned(pack, gone):
     begins, ends = pack.starts[:-1], pack.starts[1:]
     sums = np.concatenate([[0], np.cumsum(gone)])
