@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, jaccard_join, line_quality, packing, repeats, token_counts, topk, warc
+from fieldspark.llm import bpe, jaccard_join, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -174,3 +174,18 @@ def op10_remove_repeats(spark, sf_dir):
 def op6_jaccard_join(spark, sf_dir):
     """Components of documents that share 85 % of their four-word shingles."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op2_spot_signatures")
+def op2_spot_signatures(spark, sf_dir):
+    """Fingerprints of every document and its edit, and their likeness."""
+    found = spotsigs.compare_with_edit(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.as_text(F.col("signatures")).alias("fingerprint"),
+        spotsigs.as_text(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
