@@ -18,6 +18,7 @@ pair of pieces that are alive together merges before either of them is gone.
 import json
 import re
 import unicodedata
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from tokenizers import Tokenizer
 from fieldspark.llm.common import ids_and_texts, map_batches, mix
 
 # Chunks of text between white space, and borders, kept per worker; emptied when full.
-CACHED_CHUNKS = 800_000
-MOST_BORDERS = 1_000_000
+CACHED_CHUNKS = 500_000
+MOST_BORDERS = 200_000
+BATCH = 4 << 20
 PAIR_BITS = 20
 # Words of more bytes than this are walked alone, byte by byte.
 LONG_WORD = 100
@@ -152,7 +154,10 @@ class Trie:
         self._index_tokens()
         self.pair_keys = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
         self.pair_holds = np.zeros(1 << PAIR_BITS, dtype=bool)
-        self.forget()
+        # Forgotten between batches but never inside one.
+        self.index, self.seen = {}, np.zeros(0, dtype=np.int64)
+        self.flat, self.offsets = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.edges = {}
 
     # -- borders -----------------------------------------------------------
 
@@ -181,7 +186,7 @@ class Trie:
 
     def holds(self, left, right):
         """Whether no merge crosses the border between two neighbouring tokens."""
-        key = (left, right)
+        key = left << 20 | right
         known = self.borders.get(key)
         if known is None:
             if len(self.borders) >= MOST_BORDERS:
@@ -356,10 +361,14 @@ class Trie:
 
     # -- texts -------------------------------------------------------------
 
-    def forget(self):
-        self.index = {}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.offsets = np.zeros(1, dtype=np.int64)
+    def thin_out(self):
+        """Keep the chunks seen most, at most half of the room; most words are rare."""
+        least = max(2, int(np.sort(self.seen)[-(CACHED_CHUNKS // 2)]) + 1)
+        kept = np.flatnonzero(self.seen >= least)
+        chunks = list(self.index)
+        self.index = {chunks[i]: n for n, i in enumerate(kept.tolist())}
+        self.flat, self.offsets = _gather(self.flat, self.offsets, kept)
+        self.seen = self.seen[kept]
 
     def words_of(self, chunk):
         """The words, in bytes, of a piece of text without special strings."""
@@ -382,38 +391,46 @@ class Trie:
     def learn(self, chunks, special):
         """Encode chunks of text between white space and remember them."""
         parts = list(map(self.parts_of if special else self.words_of, chunks))
-        distinct = {p for each in parts for p in each}
+        distinct = set(chain.from_iterable(parts))
         special = sorted(p for p in distinct if isinstance(p, int))
         words = sorted(p for p in distinct if not isinstance(p, int))
         flat, offsets = self.encode_words(words)
         flat = np.concatenate([flat, np.array(special, dtype=np.uint32)])
         offsets = np.concatenate([offsets, offsets[-1] + 1 + np.arange(len(special))])
         number = {p: i for i, p in enumerate([*words, *special])}
-        of_chunk = [number[p] for each in parts for p in each]
-        of_chunk = np.array(of_chunk, dtype=np.int64)
+        every = list(chain.from_iterable(parts))
+        of_chunk = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
         ids, _ = _gather(flat, offsets, of_chunk)
         tokens = np.diff(offsets)[of_chunk]
         ends = np.cumsum([0, *map(len, parts)])
         tokens_before = np.concatenate([[0], np.cumsum(tokens)])
         begin = len(self.flat)
+        self.seen = np.concatenate([self.seen, np.zeros(len(chunks), dtype=np.int64)])
         self.index.update(zip(chunks, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(chunks))))
         self.flat = np.concatenate([self.flat, ids])
         self.offsets = np.concatenate([self.offsets, begin + tokens_before[ends[1:]]])
 
+    def _rows(self, chunks):
+        """Where each chunk's ids are, -1 for those not learned."""
+        return np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+
     def encode_batch(self, texts):
         """Ids of all texts in one flat array, and where each text's begin."""
-        chunks = [_chunks(t) for t in texts]
+        chunks = list(map(_chunks, texts))
         counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        flat = [c for each in chunks for c in each]
+        flat = list(chain.from_iterable(chunks))
         del chunks
-        missing = list({c for c in set(flat) if c not in self.index})
-        if len(self.index) + len(missing) > CACHED_CHUNKS and self.index:
-            self.forget()
-            missing = list(set(flat))
-        if missing:
-            self.learn(missing, any(map(self.special_pattern.search, texts)))
-        rows = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        rows = self._rows(flat)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = {flat[i] for i in missing.tolist()}
+            special = any(map(self.special_pattern.search, texts))
+            self.learn(list(new), special)
+            rows[missing] = self._rows([flat[i] for i in missing.tolist()])
+        self.seen += np.bincount(rows, minlength=len(self.seen))
         ids, before = _gather(self.flat, self.offsets, rows)
+        if len(self.index) > CACHED_CHUNKS:
+            self.thin_out()
         return ids, before[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids):
@@ -458,4 +475,6 @@ def encode_decode(docs, vocabulary):
             "decoded": [trie.decode(t) for t in texts],
         }
 
-    return map_batches(ids_and_texts(docs), run, "doc_id long, ids array<int>, decoded string")
+    return map_batches(
+        ids_and_texts(docs), run, "doc_id long, ids array<int>, decoded string", BATCH
+    )

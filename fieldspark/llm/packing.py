@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldspark.llm.bpe import trie_for
+from fieldspark.llm.bpe import BATCH, trie_for
 from fieldspark.llm.common import ids_and_texts, map_batches
 from fieldspark.storage import cut_lineage
 
@@ -207,7 +207,7 @@ def pieces(docs, vocabulary, window=WINDOW, end_id=END_ID):
         return out
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return map_batches(ids_and_texts(docs), cut, schema)
+    return map_batches(ids_and_texts(docs), cut, schema, BATCH)
 
 
 def pack(cut, window=WINDOW, grain=GRAIN, shortest=SHORTEST_COMBINED):

@@ -28,6 +28,7 @@ COMMON_WORDS = (
     "el los las del y por con para es se una lo su"
 ).split()
 HASHED_SHARE = 8
+NO_ID = -(2**63)
 CHAIN = 2
 
 
@@ -104,43 +105,39 @@ def compare_with_edit(docs):
     count once; rows that repeat an id alone follow each other. The only document of
     a table is its own next one. An empty table gives an empty result.
     """
-    texts = ids_and_texts(docs).withColumn("mark", F.xxhash64("text"))
+    # A key without nulls: equal keys then need no second exchange of the texts.
+    texts = ids_and_texts(docs).select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("mark"), "text"
+    )
     order = cut_lineage(
-        texts.select("doc_id", "mark", F.length("text").cast("long").alias("n")).distinct()
+        texts.select("key", "mark", F.length("text").cast("long").alias("n")).distinct()
     )
-    ranked = sorted_rank(order, ["doc_id", "mark"], "rank", "total")
+    ranked = sorted_rank(order, ["key", "mark"], "rank", "total")
     before = ranked.select(
         F.pmod(F.col("rank") + 1, F.col("total")).alias("rank"),
-        F.col("doc_id").alias("before_id"),
+        F.col("key").alias("before_key"),
         F.col("mark").alias("before_mark"),
         F.floor(F.col("n") / 4).cast("int").alias("wanted"),
     )
     placed = ranked.join(before, "rank").drop("rank", "total", "n")
-    own = ["doc_id", "mark"]
     # The signatures are computed once, before the rows are dealt out by document;
     # both uses below read that one exchange.
     known = texts.withColumn("signatures", signatures(F.col("text")))
     one = (
-        known.withColumn("_n", F.row_number().over(W.partitionBy(*own).orderBy(*own)))
+        known.withColumn("_n", F.row_number().over(W.partitionBy("key", "mark").orderBy("key")))
         .where("_n = 1")
         .drop("_n")
     )
-    here = one.join(
-        placed.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")),
-    )
-    following = here.select(
-        F.col("before_id").alias("_id"),
-        F.col("before_mark").alias("_mark"),
+    following = one.join(placed, ["key", "mark"]).select(
+        F.col("before_key").alias("key"),
+        F.col("before_mark").alias("mark"),
         F.substring("text", F.lit(1), F.col("wanted")).alias("start"),
         F.col("signatures").alias("next_signatures"),
     )
-    both = one.join(
-        following, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
-    )
+    both = one.join(following, ["key", "mark"])
     n = F.length("text")
     edited = both.select(
-        "doc_id",
+        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), "start").alias("edited"),
         "signatures",
