@@ -19,6 +19,11 @@ def bound_batches(spark, max_bytes=BATCH_BYTES):
         spark.conf.set(BATCH_BYTES_SETTING, str(max_bytes))
 
 
+def let(value, body):
+    """``body(value)`` as an expression that computes ``value`` once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ids_and_texts(docs, id_col="doc_id", text_col="text"):
     """Only the two columns an operator needs, under fixed names; a null text is
     an empty one. Other columns of ``docs``, whatever they are called, stay out."""

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, jaccard_join, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
+from fieldspark.llm import bpe, jaccard_join, licenses, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -189,3 +189,10 @@ def op2_spot_signatures(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark, sf_dir):
+    """Paragraphs of all documents that are licence notices."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import ids_and_texts
+from fieldspark.llm.common import ids_and_texts, let
 from fieldspark.operators.ranking import sorted_rank
 from fieldspark.storage import cut_lineage, new_path
 
@@ -32,11 +32,6 @@ NO_ID = -(2**63)
 CHAIN = 2
 
 
-def _let(value, body):
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _is_anchor(word):
     return word.isin(*COMMON_WORDS) | (F.pmod(F.xxhash64(word), F.lit(HASHED_SHARE)) == 0)
 
@@ -50,7 +45,7 @@ def signatures(text, chain=CHAIN):
     def chains(words):
         content = F.transform(F.filter(words, lambda x: ~x["a"]), lambda x: x["w"])
         anchors = F.filter(words, lambda x: x["a"])
-        return _let(
+        return let(
             content,
             lambda c: F.filter(
                 F.transform(
@@ -67,14 +62,14 @@ def signatures(text, chain=CHAIN):
         )
 
     def of_words(words):
-        return _let(
+        return let(
             chains(words),
             lambda s: F.when(F.size(s) > 0, s)
             .when(F.size(words) > 0, F.array(F.hash(F.transform(words, lambda x: x["w"]))))
             .otherwise(s),
         )
 
-    return F.array_sort(F.array_distinct(_let(numbered, of_words)))
+    return F.array_sort(F.array_distinct(let(numbered, of_words)))
 
 
 def as_text(signature_set):
@@ -89,7 +84,7 @@ def pruned_jaccard(a, b, least=0.0):
     """Jaccard similarity of two signature sets, 0 where sizes rule out ``least``;
     1 for two empty sets."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    exact = _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    exact = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
     return F.when(large == 0, F.lit(1.0)).when((small == 0) | (small < least * large), F.lit(0.0)).otherwise(exact)
 
 
