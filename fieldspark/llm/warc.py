@@ -16,7 +16,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import iterate_batches
-from fieldspark.storage import new_path
+from fieldspark.storage import cut_lineage, new_path
 
 FIELDS = {
     1: ["url", "ip", "date", "content_type", "length"],
@@ -86,15 +86,17 @@ class Reader:
     """Bytes of a possibly gzipped archive, without unpacking it in one piece."""
 
     def __init__(self, content):
-        self.content, self.at, self.buffer = content, 0, b""
+        self.content, self.next = content, 0
         self.packed = content[:2] == b"\x1f\x8b"
         self.unpacker = zlib.decompressobj(31)
+        self.buffer, self.at = b"", 0
 
     def _more(self):
-        if self.at >= len(self.content):
+        """Append the next part; what was read before goes."""
+        if self.next >= len(self.content):
             return False
-        part = self.content[self.at : self.at + (1 << 20)]
-        self.at += len(part)
+        part = self.content[self.next : self.next + (1 << 18)]
+        self.next += len(part)
         if self.packed:
             out = []
             while part:
@@ -103,31 +105,28 @@ class Reader:
                 if self.unpacker.eof:
                     self.unpacker = zlib.decompressobj(31)
             part = b"".join(out)
-        self.buffer += part
+        self.buffer, self.at = self.buffer[self.at :] + part, 0
         return True
 
     def line(self):
         """Up to the next line feed, None at the end."""
-        while (end := self.buffer.find(b"\n")) < 0:
+        while (end := self.buffer.find(b"\n", self.at)) < 0:
             if not self._more():
-                rest, self.buffer = self.buffer, b""
+                rest, self.at = self.buffer[self.at :], len(self.buffer)
                 return rest or None
-        found, self.buffer = self.buffer[:end], self.buffer[end + 1 :]
+        found, self.at = self.buffer[self.at : end], end + 1
         return found.rstrip(b"\r")
 
     def take(self, n):
-        parts, have = [self.buffer], len(self.buffer)
-        while have < n:
-            self.buffer = b""
-            if not self._more():
-                break
-            parts.append(self.buffer)
-            have += len(self.buffer)
-        data = b"".join(parts)
-        self.buffer = data[n:]
-        if len(data) < n:
-            raise ValueError(f"archive ends {n - len(data)} bytes before a declared length")
-        return data[:n]
+        parts, missing = [], n
+        while missing:
+            part = self.buffer[self.at : self.at + missing]
+            self.at += len(part)
+            missing -= len(part)
+            parts.append(part)
+            if missing and not self._more():
+                raise ValueError(f"archive ends {missing} bytes before a declared length")
+        return b"".join(parts)
 
 
 def parse_arc(content):
@@ -407,7 +406,7 @@ def convert_pages(pages):
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
     write_warc(convert_arc(spark, arc), revisits(convert_arc(spark, arc, blocks=False)), warc)
-    back = read_warc(spark, warc, payloads=False)
+    back = cut_lineage(read_warc(spark, warc, payloads=False))
     full = back.where(F.col("record_type") != "revisit").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")
     )
