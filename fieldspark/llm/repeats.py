@@ -34,8 +34,10 @@ LENGTH = 50
 SEED = 24
 # Segments of one owner are cut after so many strings (periodic texts).
 MOST_STRINGS = 256
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+# Segments of so many bytes, whole owners at a time, are sorted together.
+SORTED_BYTES = 1 << 20
 NO_ID = np.int64(2**63 - 1)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -342,6 +344,19 @@ def _receive(blob):
     return owner, smallest, [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _owner_groups(rows, owners, contents):
+    """Rows in the order of owners, whole owners together, in groups of bounded size."""
+    part, size = [], 0
+    for i in rows:
+        if size >= SORTED_BYTES and owners[i] != owners[part[-1]]:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += len(contents[i])
+    if part:
+        yield part
+
+
 def _answer(rows):
     """The smallest document of every string of the segments of a bucket, by pack."""
     received = [_receive(d) for d in rows["data"]]
@@ -359,11 +374,16 @@ def _answer(rows):
     owners = np.array(owners, dtype=np.uint64)
     _, inverse, count = np.unique(owners, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(count[inverse] > 1)
+    mixed = mixed[np.argsort(owners[mixed], kind="stable")].tolist()
     best = {}
-    compared = smallest_owner([every[i] for i in mixed], [smallest[i] for i in mixed])
-    for i, found in zip(mixed.tolist(), compared, strict=True):
-        cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
-        best[i] = (np.concatenate([cuts, [len(found)]]).tolist(), found[np.concatenate([[0], cuts])].tolist())
+    for part in _owner_groups(mixed, owners, every):
+        compared = smallest_owner([every[i] for i in part], [smallest[i] for i in part])
+        for i, found in zip(part, compared, strict=True):
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            best[i] = (
+                np.concatenate([cuts, [len(found)]]).tolist(),
+                found[np.concatenate([[0], cuts])].tolist(),
+            )
     out = {"pack": [], "bucket": [], "answer": []}
     for pack, bucket, (_, _, contents) in zip(rows["pack"], rows["bucket"], received, strict=True):
         counts, ends, docs = [], [], []
