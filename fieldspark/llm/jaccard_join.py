@@ -8,8 +8,13 @@ smallest power of two that fills enough cells, so sets of similar size meet at t
 same m. Signatures of many shingles are shared by near copies and hardly by others,
 however frequent single shingles are.
 
-Sets connected by signatures are then compared exactly, in blocks of bounded size,
-through signature trees: a node holds the bitmap of all hashes below it and the
+What the signatures connect is cut up by odd sketches: a bitmap with the parity of the
+hashes that fall on each bit. Two sketches differ in at most as many bits as their sets
+do in shingles, so a pair that differs in more bits than it may in shingles is out, and
+no link is lost. A sketch has about a bit per shingle, so large groups fit one task.
+
+Sets still connected are then compared exactly, in blocks of bounded size, through
+signature trees: a node holds the bitmap of all hashes below it and the
 range of set sizes, and two nodes are compared further only if the bitmaps have
 enough bits in common for any sizes in range. Sets already connected are skipped.
 """
@@ -27,6 +32,8 @@ WORDS = 4
 PERCENT = 85
 BATCH = 4 << 20
 SIGNATURE_BUCKET_BYTES = 48 << 20
+# So many sketches are compared in one task.
+SKETCHES = 1 << 15
 # A block holds at most about so many sets and shingles.
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 20
@@ -209,6 +216,53 @@ def _candidate_edges(rows):
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+# -- sketches ------------------------------------------------------------------
+
+
+def sketch(shingles):
+    """Parity of the hashes on each of about as many bits as there are shingles."""
+    bits = max(64, _power_of_two(len(shingles)))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def sketch_edges(nodes, sizes, sketches, percent=PERCENT):
+    """Pairs of nodes that may link, enough of them to connect all that may.
+
+    Sets that link differ in size by less than two, so a sketch meets those of its own
+    width and, folded in half, those of twice the width.
+    """
+    width = {}
+    for i, s in enumerate(sketches):
+        width.setdefault(len(s), []).append(i)
+    group = np.arange(len(nodes))
+    edges = []
+    for w, own in sorted(width.items()):
+        own = sorted(own, key=lambda i: sizes[i])
+        wider = sorted(width.get(2 * w, []), key=lambda i: sizes[i])
+        bits = np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(len(own), -1)
+        if wider:
+            folded = np.frombuffer(b"".join(sketches[i] for i in wider), np.uint64).reshape(len(wider), 2, -1)
+            bits = np.concatenate([bits, folded[:, 0] ^ folded[:, 1]])
+        index = np.array(own + wider)
+        n = np.array([sizes[i] for i in index])
+        last = np.searchsorted(n, n[: len(own)] * 100 // percent, side="right")
+        for row, end in enumerate(last.tolist()):
+            other = slice(row + 1, end)
+            if end <= row + 1:
+                continue
+            apart = np.bitwise_count(bits[other] ^ bits[row]).sum(axis=1)
+            near = apart <= (100 - percent) * (n[other] + n[row]) // (100 + percent)
+            near = index[other][near]
+            mine = group[index[row]]
+            labels, first = np.unique(group[near], return_index=True)
+            for label, at in zip(labels.tolist(), first.tolist(), strict=True):
+                if label != mine:
+                    edges.append((nodes[index[row]], nodes[near[at]]))
+                    group[group == label] = mine
+    return edges
+
+
 # -- signature trees -----------------------------------------------------------
 
 
@@ -357,15 +411,36 @@ def _linked(units, percent):
     return iterate_batches(units, run, "a long, b long")
 
 
+def _may_linked(units, percent):
+    """Edges between the nodes of each unit whose sketches allow a link."""
+
+    def run(batches):
+        for rows in _by_unit(batches, ["unit", "node", "n_shingles", "sketch"]):
+            distinct = {r[1]: r for r in rows}
+            nodes = sorted(distinct)
+            edges = sketch_edges(nodes, [distinct[n][2] for n in nodes], [distinct[n][3] for n in nodes], percent)
+            if edges:
+                yield {"a": [a for a, _ in edges], "b": [b for _, b in edges]}
+
+    return iterate_batches(units, run, "a long, b long")
+
+
 def document_sets(docs, words=WORDS):
-    """``doc_id, n_shingles, node, check`` per row: two hashes name the set."""
+    """``doc_id, n_shingles, node, check, sketch`` per row: two hashes name the set."""
 
     def run(batch):
         sets = shingle_sets(batch.column(1), words)
         node, check = set_hashes(sets)
-        return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "node": node, "check": check}
+        return {
+            "doc_id": batch.column(0),
+            "n_shingles": [len(s) for s in sets],
+            "node": node,
+            "check": check,
+            "sketch": [sketch(s) for s in sets],
+        }
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, node long, check long", BATCH)
+    schema = "doc_id long, n_shingles long, node long, check long, sketch binary"
+    return map_batches(docs, run, schema, BATCH)
 
 
 def jaccard_components(docs, words=WORDS, percent=PERCENT):
@@ -390,7 +465,7 @@ def jaccard_components(docs, words=WORDS, percent=PERCENT):
         )
         smallest = named.groupBy("label").agg(F.min("least").alias("smallest"))
         least = named.join(smallest, "label").select("node", "check", F.col("smallest").alias("least"))
-    joined = sets.join(least, ["node", "check"], "left")
+    joined = sets.drop("sketch").join(least, ["node", "check"], "left")
     return joined.select(
         "doc_id",
         "n_shingles",
@@ -413,8 +488,30 @@ def links(texts, sets, words=WORDS, percent=PERCENT):
     candidates = spark.read.parquet(candidates_path)
     if not candidates.limit(1).count():
         return None
-    # Everything a set may link with is in its candidate component.
-    grouped = components(candidates).withColumnRenamed("label", "candidate")
+    # Everything a set may link with is in its candidate component; sketches cut it.
+    wide = components(candidates).withColumnRenamed("label", "candidate")
+    nodes = (
+        sets.where("n_shingles > 0")
+        .join(wide, "node")
+        .groupBy("node", "candidate", "n_shingles")
+        .agg(F.min("sketch").alias("sketch"))
+    )
+    counts = wide.groupBy("candidate").agg(F.ceil(F.count(F.lit(1)) / SKETCHES).cast("int").alias("blocks"))
+    dealt = nodes.join(counts, "candidate").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    )
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("candidate", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+        "node",
+        "n_shingles",
+        "sketch",
+    )
+    near_path = new_path(spark, "near")
+    _may_linked(_sorted_units(units), percent).write.parquet(near_path)
+    near = spark.read.parquet(near_path)
+    if not near.limit(1).count():
+        return None
+    grouped = components(near).withColumnRenamed("label", "candidate")
     distinct = (
         sets.where("n_shingles > 0")
         .groupBy("node", "check", "n_shingles")
