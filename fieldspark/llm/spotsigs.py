@@ -160,34 +160,42 @@ def similar_sets(docs, least=0.8):
         .where(F.size("s") > 0)
         .groupBy("s")
         .agg(F.min("doc_id").alias("id"))
+        .withColumn("key", F.xxhash64("s"))
     )
     path = new_path(docs.sparkSession, "signature-sets")
     sets.write.parquet(path)
     sets = docs.sparkSession.read.parquet(path)
-    single = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
+    single = sets.select("key", F.size("s").alias("n"), F.explode("s").alias("x"))
     rarity = single.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
-    order = W.partitionBy("id").orderBy("f", "x")
+    order = W.partitionBy("key").orderBy("f", "x")
+    length_class = F.floor(F.log(F.col("n")) / math.log(1 / least)).cast("int")
     shown = (
         single.join(rarity, "x")
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+        .select("key", "n", "x", length_class.alias("c"))
     )
-    cls = F.floor(F.log(F.col("n")) / math.log(1 / least)).cast("int")
-    shown = shown.select("id", "n", "x", cls.alias("c"))
     right = shown.select(
-        F.col("id").alias("b"), F.col("n").alias("m"), "x", F.explode(F.array("c", F.col("c") - 1)).alias("c")
+        F.col("key").alias("b"), F.col("n").alias("m"), "x", F.explode(F.array("c", F.col("c") - 1)).alias("c")
     )
     pairs = (
-        shown.withColumnRenamed("id", "a")
+        shown.withColumnRenamed("key", "a")
         .join(right, ["x", "c"])
         .where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
         .where(F.col("n") >= least * F.col("m"))
         .select("a", "b")
         .distinct()
     )
+    one, other = (
+        sets.select(F.col("key").alias(k), F.col("id").alias(f"id_{k}"), F.col("s").alias(f"s_{k}")) for k in "ab"
+    )
     return (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        .select("a", "b", pruned_jaccard(F.col("sa"), F.col("sb"), least).alias("similarity"))
-        .where(F.col("similarity") >= least)
+        pairs.join(one, "a")
+        .join(other, "b")
+        .select(
+            F.col("id_a").alias("a"),
+            F.col("id_b").alias("b"),
+            pruned_jaccard(F.col("s_a"), F.col("s_b"), least).alias("similarity"),
+        )
+        .where((F.col("similarity") >= least) & (F.col("a") != F.col("b")))
     )
