@@ -24,16 +24,16 @@ def _open(schema):
 
 @query("incremental_backfill", BACKFILL)
 def incremental_backfill(spark, sf_dir):
-    """First run with weekday weather only; the read retries with all of it."""
+    """Runs with no weather, weekday weather and all of it; each writes what it fills."""
     root = new_path(spark, "incremental-backfill")
     rows = combined(spark, sf_dir).select("seq", *KEYS, *WEATHER)
     schema = _open(rows.schema)
     rows.write.parquet(f"{root}/landing")
-    stream = incremental.file_stream(spark, f"{root}/landing", schema)
-    incremental.incremental_backfill(
-        stream, weather_weekdays(spark, sf_dir), f"{root}/out", f"{root}/checkpoint"
-    )
-    return incremental.read_backfilled(spark, f"{root}/out", weather_daily(spark, sf_dir), schema)
+    daily = weather_daily(spark, sf_dir)
+    for weather in (daily.where(F.lit(False)), weather_weekdays(spark, sf_dir), daily):
+        stream = incremental.file_stream(spark, f"{root}/landing", schema)
+        incremental.incremental_backfill(stream, weather, f"{root}/out", f"{root}/checkpoint")
+    return incremental.read_backfilled(spark, f"{root}/out", daily.where(F.lit(False)), schema)
 
 
 COLUMNS = ", ".join(f'"{c}"' for c in COMBINED_COLUMNS)
@@ -45,20 +45,24 @@ COLUMNS = ", ".join(f'"{c}"' for c in COMBINED_COLUMNS)
         "expanded weather_weekdays",
         f"""SELECT seq, is_recorded, {COLUMNS} FROM (SELECT * FROM expanded
           QUALIFY row_number() OVER (PARTITION BY "SiteID", "Date"
-            ORDER BY is_recorded DESC, coalesce("MosquitoRank" = 'High', false) DESC, seq) = 1)
+            ORDER BY is_recorded DESC, coalesce("MosquitoRank" = 'High', false) DESC,
+              CASE WHEN coalesce("MosquitoRank" = 'High', false) THEN 0 ELSE seq % 2 END, seq) = 1)
         LEFT JOIN weather_weekdays USING ("Date")""",
     ),
 )
 def incremental_merge(spark, sf_dir):
-    """Inspections land in two deliveries, one run after each."""
+    """Inspections land in three deliveries, one run after each, compacted between."""
     root = new_path(spark, "incremental-merge")
     rows = inspections(spark, sf_dir)
     schema = _open(rows.schema)
     weather = weather_weekdays(spark, sf_dir)
     high = F.coalesce(F.col("MosquitoRank") == "High", F.lit(False))
-    for delivery in (rows.where(high), rows.where(~high)):
+    odd = F.col("seq") % 2 == 1
+    expanded = incremental.merged_schema(schema)
+    for i, delivery in enumerate((rows.where(high), rows.where(~high & ~odd), rows.where(~high & odd))):
         delivery.write.mode("append").parquet(f"{root}/landing")
         stream = incremental.file_stream(spark, f"{root}/landing", schema)
         incremental.incremental_merge(spark, stream, weather, root)
-    expanded = incremental.merged_schema(schema)
+        if i == 1:
+            incremental.compact_merged(spark, root, expanded)
     return incremental.read_merged(spark, root, expanded).select("seq", "is_recorded", *COMBINED_COLUMNS)

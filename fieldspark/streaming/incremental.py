@@ -4,8 +4,6 @@ Both use a file source with ``availableNow``: a run handles the files landed
 since the previous one and stops; the stream checkpoint remembers them.
 """
 
-import time
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,27 +43,96 @@ def file_stream(spark, path, schema, fmt="parquet", **options):
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
+def _run_ids(spark, path):
+    """Ids of the runs whose folder below ``path`` was written to the end."""
+    if not path_exists(spark, path):
+        return []
+    return sorted(
+        int(name.removeprefix("run="))
+        for name in finished_folders(spark, path)
+        if name.startswith("run=")
+    )
+
+
+def _landed_ids(spark, path, schema):
+    """Ids of the runs that the stream has landed; only folder names are read."""
+    if not path_exists(spark, path):
+        return []
+    rows = spark.read.schema(schema).parquet(path).select("run").distinct().collect()
+    return sorted(r["run"] for r in rows)
+
+
+def _read_runs(spark, path, ids, schema):
+    """The rows of finished runs; folders that were not finished are never read."""
+    reader = spark.read.schema(schema).option("basePath", path)
+    return reader.parquet(*[f"{path}/run={i}" for i in ids])
+
+
+def _retried(out):
+    return f"{out.rstrip('/')}-retried"
+
+
 def incremental_backfill(stream, weather, out, checkpoint):
-    """Land the new rows of ``stream`` with the weather known today.
+    """Land the new rows of ``stream`` and fill what was still blank before.
 
-    Rows still lacking weather go to a partition of their own, so that
-    ``read_backfilled`` retries just those against later weather.
+    New rows go to ``out`` once, those still lacking weather to a partition of their
+    own. Every run then takes all rows that are pending, fills them with the weather
+    known now, and writes them beside ``out``: resolved rows for good, the others as
+    the next run's pending rows. Runs are numbered by what is in the tables. A run
+    that died is made good by the next one.
     """
-    filled = backfill_weather(stream, weather)
+    spark, schema = stream.sparkSession, _pending_schema(stream.schema)
+    done = _run_ids(spark, _retried(out))
+    run = 1 + max([0, *done, *_landed_ids(spark, out, schema)])
+    filled = backfill_weather(stream, weather).withColumn("run", F.lit(run))
     _run(
         filled.withColumn(NEEDS_WEATHER, is_blank(F.col(WEATHER[0]))),
         out,
         checkpoint,
-        [NEEDS_WEATHER],
+        [NEEDS_WEATHER, "run"],
     )
+    pending = _pending(spark, out, schema)
+    if pending is None:
+        return
+    again = backfill_weather(pending, weather)
+    again.withColumn(NEEDS_WEATHER, is_blank(F.col(WEATHER[0]))).write.mode("overwrite").partitionBy(
+        NEEDS_WEATHER
+    ).parquet(f"{_retried(out)}/run={run}")
+
+
+def _pending_schema(schema):
+    return _plus(schema, **{NEEDS_WEATHER: T.BooleanType(), "run": T.LongType()})
+
+
+def _pending(spark, out, schema):
+    """Rows without weather: those the last finished run left, and those landed
+    since. None if nothing was landed."""
+    if not path_exists(spark, out):
+        return None
+    done = _run_ids(spark, _retried(out))
+    waits = F.col(NEEDS_WEATHER)
+    landed = spark.read.schema(schema).parquet(out)
+    rows = landed.where(waits & (F.col("run") > max(done, default=0)))
+    if done:
+        rows = rows.unionByName(_read_runs(spark, _retried(out), done[-1:], schema).where(waits))
+    return rows.drop(NEEDS_WEATHER, "run")
 
 
 def read_backfilled(spark, out, weather, schema):
     """Everything landed so far, with today's weather where it was missing."""
-    landed = spark.read.schema(_plus(schema, **{NEEDS_WEATHER: T.BooleanType()})).parquet(out)
-    done = landed.where(~F.col(NEEDS_WEATHER)).drop(NEEDS_WEATHER)
-    retry = landed.where(F.col(NEEDS_WEATHER)).drop(NEEDS_WEATHER)
-    return done.unionByName(backfill_weather(retry, weather))
+    schema = _pending_schema(schema)
+    known = ~F.col(NEEDS_WEATHER)
+    rows = spark.read.schema(schema).parquet(out).where(known)
+    done = _run_ids(spark, _retried(out))
+    if done:
+        rows = rows.unionByName(_read_runs(spark, _retried(out), done, schema).where(known))
+    filled = backfill_weather(_pending(spark, out, schema), weather)
+    return rows.drop(NEEDS_WEATHER, "run").unionByName(filled)
+
+
+def count_pending(spark, out, schema):
+    """Rows that still wait for weather."""
+    return _pending(spark, out, _pending_schema(schema)).count()
 
 
 def merged_schema(inspections):
@@ -81,39 +148,89 @@ def incremental_merge(
 
     A run writes its expanded rows to ``root/staged/run=...`` and then, in a
     folder of its own under ``root/merged``, only the rows that win a key:
-    nothing already merged is rewritten. Keys are compared within the touched
-    months. A run that died after staging is made good by the next one, and
-    repeating a merge writes the same rows. Read with ``read_merged``.
+    nothing already merged is rewritten. Runs are numbered by what is in the
+    tables, never by a clock. Every staged run without a finished merge is merged,
+    in their order, so a run that died after staging is made good by the next one;
+    repeating a merge writes the same rows. Keys are compared within the touched
+    months. Read with ``read_merged``.
     """
     staged, merged = f"{root}/staged", f"{root}/merged"
-    run = time.time_ns() // 1_000_000
+    schema = _plus(merged_schema(stream.schema), run=T.LongType())
+    known = [*_run_ids(spark, merged), *_run_ids(spark, _compacted(root))]
+    run = 1 + max([0, *known, *_landed_ids(spark, staged, schema)])
     expanded = mask_synthetic(lookback_expand(stream, "Date", n))
     rows = enrich_weather(expanded, weather).withColumn("run", F.lit(run))
     _run(rows, staged, f"{root}/stream_checkpoint", ["run"])
-    if not path_exists(spark, staged):
-        return
-    schema = _plus(merged_schema(stream.schema), run=T.LongType())
-    todo = spark.read.schema(schema).parquet(staged)
-    first_run = not path_exists(spark, merged)
-    if not first_run:
-        runs = [int(name.removeprefix("run=")) for name in finished_folders(spark, merged)]
-        todo = todo.where(F.col("run") > max(runs, default=0))
+    done = {*_run_ids(spark, merged), *_merged_before(spark, root)}
+    for each in sorted(set(_landed_ids(spark, staged, schema)) - done):
+        _merge_run(spark, root, each, schema, order_col, policy)
+
+
+def _merge_run(spark, root, run, schema, order_col, policy):
+    todo = spark.read.schema(schema).parquet(f"{root}/staged").where(F.col("run") == run)
     todo = todo.drop("run").withColumn("month", F.date_format("Date", "yyyy-MM"))
-    if todo.isEmpty():
-        return
     new = merge_insert_only(None, todo, order_col, KEYS, policy)
-    if not first_run:
+    table = _merged_rows(spark, root, schema)
+    if table is not None:
         months = todo.select("month").distinct()  # bounded by the calendar
-        table = spark.read.schema(_plus(schema, month=T.StringType())).parquet(merged)
-        touched = table.join(F.broadcast(months), "month", "left_semi")
-        new = new_winners(touched, new, KEYS, policy)
-    new.write.mode("overwrite").partitionBy("month").parquet(f"{merged}/run={run}")
+        new = new_winners(table.join(F.broadcast(months), "month", "left_semi"), new, KEYS, policy)
+    new.repartition("month").write.mode("overwrite").partitionBy("month").parquet(
+        f"{root}/merged/run={run}"
+    )
+
+
+def _compacted(root):
+    return f"{root}/compacted"
+
 
+def _merged_before(spark, root):
+    """Runs that the last compaction holds: all up to its own number."""
+    base = _run_ids(spark, _compacted(root))
+    return range(1, base[-1] + 1) if base else []
 
-def read_merged(spark, root, schema, policy="prefer_recorded"):
-    """The current row of every key; ``schema`` comes from ``merged_schema``."""
-    placed = _plus(schema, run=T.LongType(), month=T.StringType())
-    table = spark.read.schema(placed).parquet(f"{root}/merged")
+
+def _merged_rows(spark, root, schema):
+    """The last compaction and the runs merged since; None if there is neither."""
+    placed = _plus(schema, month=T.StringType())
+    base = _run_ids(spark, _compacted(root))[-1:]
+    later = [r for r in _run_ids(spark, f"{root}/merged") if r not in _merged_before(spark, root)]
+    parts = []
+    if base:
+        parts.append(_read_runs(spark, _compacted(root), base, placed))
+    if later:
+        parts.append(_read_runs(spark, f"{root}/merged", later, placed))
+    if not parts:
+        return None
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def compact_merged(spark, root, schema, policy="prefer_recorded"):
+    """Write the current rows once, clustered by month, without those beaten since.
+
+    Takes all staged runs as merged up to now, so merge first. Earlier folders are
+    no longer read; they can be deleted.
+    """
+    ids = [*_run_ids(spark, f"{root}/merged"), *_run_ids(spark, _compacted(root))]
+    if ids:
+        rows = read_merged(spark, root, schema, policy)
+        rows.withColumn("month", F.date_format("Date", "yyyy-MM")).repartition("month").write.mode(
+            "overwrite"
+        ).partitionBy("month").parquet(f"{_compacted(root)}/run={max(ids)}")
+
+
+def read_merged(spark, root, schema, policy="prefer_recorded", since=None, until=None):
+    """The current row of every key; ``schema`` comes from ``merged_schema``.
+
+    ``since`` and ``until`` (dates) limit the rows and the months that are read.
+    """
+    table = _merged_rows(spark, root, _plus(schema, run=T.LongType()))
+    if table is None:
+        return spark.createDataFrame([], schema)
+    for bound, keep in ((since, "__ge__"), (until, "__le__")):
+        if bound is not None:
+            table = table.where(
+                getattr(F.col("month"), keep)(f"{bound:%Y-%m}") & getattr(F.col("Date"), keep)(F.lit(bound))
+            )
     if policy == "first":
         return table.drop("run", "month")
     return keep_first(table, KEYS, ~F.col("is_recorded"), F.col("run")).drop("run", "month")

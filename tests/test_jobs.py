@@ -80,6 +80,67 @@ def test_backfill_retries_only_what_is_missing(spark, tmp_path):
     assert incremental.read_backfilled(spark, out, all_days, schema).where("Temperature IS NULL").count() == 0
 
 
+def test_pending_rows_go_as_weather_arrives(spark, tmp_path):
+    days = [datetime.date(2024, 4, 25) + datetime.timedelta(days=d) for d in range(4)]
+    rows = [("s", d, None, None, None) for d in days]
+    schema = "SiteID string, Date date, Temperature double, Precipitation double, CloudCoverage double"
+    land, out, checkpoint = (str(tmp_path / n) for n in ("land", "out", "cp"))
+    spark.createDataFrame(rows, schema).write.parquet(land)
+    kinds = spark.createDataFrame(rows, schema).schema
+    pending = []
+    for known in (range(0), range(0, 2), range(4), range(4)):
+        stream = incremental.file_stream(spark, land, kinds)
+        incremental.incremental_backfill(stream, weather(spark, known), out, checkpoint)
+        pending.append(incremental.count_pending(spark, out, kinds))
+        assert incremental.read_backfilled(spark, out, weather(spark, range(0)), kinds).count() == 4
+    assert pending == [4, 2, 0, 0]
+    read = incremental.read_backfilled(spark, out, weather(spark, range(0)), kinds)
+    assert sorted(r.Temperature for r in read.collect()) == [10.0, 11.0, 12.0, 13.0]
+
+
+def test_three_deliveries_with_a_compaction_between(spark, tmp_path):
+    rows = sorted(random_inspections(14, 90))
+    schema = spark.createDataFrame(rows, SCHEMA).schema
+    expanded = incremental.merged_schema(schema)
+    known, root, land = weather(spark, range(30)), str(tmp_path / "t"), str(tmp_path / "land")
+    for i in range(3):
+        spark.createDataFrame(rows[30 * i : 30 * i + 30], SCHEMA).write.mode("append").parquet(land)
+        incremental.incremental_merge(spark, incremental.file_stream(spark, land, schema), known, root)
+        if i < 2:
+            incremental.compact_merged(spark, root, expanded)
+    merged = None
+    for i in range(3):
+        part = spark.createDataFrame(rows[30 * i : 30 * i + 30], SCHEMA)
+        merged = build_combined(part, known, "seq", merged)
+    got = incremental.read_merged(spark, root, expanded)
+    assert as_rows(got) == as_rows(merged)
+    first = datetime.date(2024, 5, 3)
+    some = incremental.read_merged(spark, root, expanded, since=first)
+    assert as_rows(some) == as_rows(merged.where(F.col("Date") >= F.lit(first)))
+
+
+def test_an_unfinished_merge_below_a_finished_one_is_merged(spark, tmp_path, monkeypatch):
+    """Two runs die after staging; a later one merges all three in their order."""
+    rows = sorted(random_inspections(15, 60))
+    schema = spark.createDataFrame(rows, SCHEMA).schema
+    known, root, land = weather(spark, range(30)), str(tmp_path / "t"), str(tmp_path / "land")
+
+    def run(part):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(land)
+        incremental.incremental_merge(spark, incremental.file_stream(spark, land, schema), known, root)
+
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "_merge_run", lambda *a: None)
+        run(rows[:20])
+        run(rows[20:40])
+    run(rows[40:])
+    got = incremental.read_merged(spark, root, incremental.merged_schema(schema))
+    merged = None
+    for i in range(3):
+        merged = build_combined(spark.createDataFrame(rows[20 * i : 20 * i + 20], SCHEMA), known, "seq", merged)
+    assert as_rows(got) == as_rows(merged)
+
+
 def test_dense_score_is_the_matrix_product(spark):
     rnd = np.random.default_rng(0)
     shapes = [(6, 4), (3, 6), (2, 3)]

@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin, and shape checks for the rest."""
 
 import os
+import re
 
 import pytest
 from compare import database, differences, spark_result, sql_result
@@ -23,7 +24,8 @@ def test_matches_sql(spark, db, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {
+    own = {n for n in QUERIES if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own - set(SQL) == {
         "train_classifier",
         "score_classifier",
         "run_history",
