@@ -156,16 +156,27 @@ def invalid_positions(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    """Softmax over the first four elements as class scores, true class below 4."""
-    rows = vectors(spark, sf_dir).withColumn("probability", softmax(F.slice("v", 1, 4)))
-    truth = F.least(F.col("label"), F.lit(3))
-    return argmax_class(rows, "probability").withColumn("label", truth)
+    """Ten class scores per vector: the mean of the elements at positions that leave
+    the class as remainder by ten, as probabilities; every eleventh label is missing."""
+    classes = F.transform(
+        F.sequence(F.lit(0), F.lit(9)),
+        lambda c: F.aggregate(
+            F.filter("v", lambda x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x
+        )
+        / F.size(F.filter("v", lambda x, i: i % 10 == c)),
+    )
+    rows = vectors(spark, sf_dir).withColumn("scores", classes)
+    rows = rows.withColumn("probability", softmax(F.col("scores")))
+    label = F.when(F.col("vec_id") % 11 != 0, F.col("label"))
+    return argmax_class(rows, "probability").withColumn("label", label)
 
 
 SCORED = """
-        SELECT vec_id, least(label, 3) AS label,
-          list_transform(v[1:4], lambda x: exp(x) / list_sum(list_transform(v[1:4], lambda y: exp(y)))) AS probability,
-          list_position(v[1:4], list_max(v[1:4])) - 1 AS predicted FROM vectors"""
+        SELECT vec_id, CASE WHEN vec_id % 11 <> 0 THEN label END AS label,
+          list_transform(s, lambda x: exp(x) / list_sum(list_transform(s, lambda y: exp(y)))) AS probability,
+          list_position(s, list_max(s)) - 1 AS predicted
+        FROM (SELECT vec_id, label, list_transform(range(10),
+          lambda c: list_avg(list_filter(v, lambda x, i: (i - 1) % 10 = c))) AS s FROM vectors)"""
 
 
 def _scored_sql(body):
@@ -179,13 +190,13 @@ def accuracy(spark, sf_dir):
 
 
 @query("log_loss", _scored_sql(f"""
-        SELECT count(*) AS n, {sql6("avg(-ln(greatest(probability[label + 1], 1e-8)))")} AS log_loss FROM scored"""))
+        SELECT count(*) AS n, count(label) AS n_scored, {sql6("avg(CASE WHEN label IS NOT NULL THEN -ln(greatest(probability[label + 1], 1e-8)) END)")} AS log_loss FROM scored"""))
 def log_loss(spark, sf_dir):
     return rounded(evaluate.log_loss(_scored(spark, sf_dir)), "log_loss")
 
 
 @query("log_loss_plus_epsilon", _scored_sql(f"""
-        SELECT count(*) AS n, {sql6("avg(-ln(probability[label + 1] + 1e-8))")} AS log_loss FROM scored"""))
+        SELECT count(*) AS n, count(label) AS n_scored, {sql6("avg(-ln(probability[label + 1] + 1e-8))")} AS log_loss FROM scored"""))
 def log_loss_plus_epsilon(spark, sf_dir):
     return rounded(evaluate.log_loss(_scored(spark, sf_dir), plus_epsilon=True), "log_loss")
 
@@ -207,7 +218,7 @@ SPLIT = """CASE WHEN CAST('0x' || substr(md5('42-' || vec_id), 1, 8) AS BIGINT)
 
 
 @query("evaluate", _scored_sql(f"""
-        SELECT {SPLIT} AS split, count(*) AS n, {sql6("avg(-ln(greatest(probability[label + 1], 1e-8)))")} AS loss,
+        SELECT {SPLIT} AS split, count(*) AS n, count(label) AS n_scored, {sql6("avg(CASE WHEN label IS NOT NULL THEN -ln(greatest(probability[label + 1], 1e-8)) END)")} AS loss,
           {sql6("avg(CASE WHEN predicted = label THEN 1 ELSE 0 END)")} AS accuracy FROM scored GROUP BY 1"""))
 def evaluation(spark, sf_dir):
     rows = hash_split(_scored(spark, sf_dir), "vec_id")

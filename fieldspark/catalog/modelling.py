@@ -8,8 +8,9 @@ from fieldspark.operators.order import hash_split
 from fieldspark.plans import training
 from fieldspark.storage import cut_lineage
 
-EPOCHS = 3
-ITERATIONS = 5
+# As many epochs as a full training run has.
+EPOCHS = 25
+ITERATIONS = 2
 
 
 def centroid_layers(spark, sf_dir):
@@ -79,7 +80,7 @@ def _classes(spark, sf_dir):
 def _fit(spark, sf_dir):
     rows = _classes(spark, sf_dir)
     train = rows.where(F.col("split") == "train")
-    return rows, model.train_classifier(train, max_iter=ITERATIONS)
+    return rows, model.train_classifier(train)
 
 
 @query("train_classifier")

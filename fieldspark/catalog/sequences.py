@@ -85,6 +85,24 @@ def moving_kernel_valid(spark, sf_dir):
     return out.select(*KEYS, r6("kernel").alias("kernel"))
 
 
+REACH = 75
+
+
+@query(
+    "moving_kernel_wide",
+    with_views(
+        "combined",
+        f"""SELECT "SiteID", "Date", {sql6(f'coalesce(sum("Wetness") OVER (PARTITION BY "SiteID" ORDER BY "Date" RANGE BETWEEN INTERVAL {REACH} DAY PRECEDING AND INTERVAL {REACH} DAY FOLLOWING), 0)')} AS kernel
+        FROM combined""",
+    ),
+)
+def moving_kernel_wide(spark, sf_dir):
+    """A kernel that reaches over several chunks of days."""
+    rows = combined(spark, sf_dir).select(*KEYS, "Wetness")
+    out = sequence.moving_kernel(rows, "SiteID", "Date", "Wetness", [1.0] * (2 * REACH + 1))
+    return out.select(*KEYS, r6("kernel").alias("kernel"))
+
+
 @query(
     "convolve_sequence",
     with_views(
@@ -126,6 +144,26 @@ def pool_mean(spark, sf_dir):
     return rounded(pooled, "pooled")
 
 
+@query(
+    "pool_windows_null_key",
+    with_views(
+        "combined",
+        f"""SELECT site AS "SiteID", block, {sql6('max("Wetness")')} AS pooled FROM (
+          SELECT site, "Wetness", CAST(floor((row_number() OVER (PARTITION BY site ORDER BY "Date") - 1) / 3) AS BIGINT) AS block
+          FROM (SELECT CASE WHEN "SiteID" NOT IN (SELECT min("SiteID") FROM combined) THEN "SiteID" END AS site, "Date", "Wetness" FROM combined))
+        GROUP BY 1, 2 HAVING count(*) = 3""",
+    ),
+)
+def pool_null_key(spark, sf_dir):
+    """The first site has no name: its blocks are there like all others."""
+    rows = _landed(spark, sf_dir, "Wetness")
+    first = rows.agg(F.min("SiteID").alias("_first"))
+    nameless = rows.join(F.broadcast(first)).withColumn(
+        "SiteID", F.when(F.col("SiteID") != F.col("_first"), F.col("SiteID"))
+    )
+    return rounded(sequence.pool_windows(nameless.drop("_first"), "SiteID", "Date", "Wetness", 3), "pooled")
+
+
 @query(
     "global_mean_pool",
     with_views(

@@ -107,10 +107,12 @@ def convolve(a, weights, pad=0, relu=False):
 
 
 def true_class_loss(probabilities, label, plus_epsilon=False):
-    """Minus the log of the probability given to the true class."""
+    """Minus the log of the probability given to the true class; none without a label
+    or with one outside the array."""
     p = F.get(doubles(probabilities), label)
     floor = F.lit(PROBABILITY_FLOOR)
-    return -F.ln(p + floor if plus_epsilon else F.greatest(p, floor))
+    loss = -F.ln(p + floor if plus_epsilon else F.greatest(p, floor))
+    return F.when(p.isNotNull(), loss)
 
 
 def over(c, bound):

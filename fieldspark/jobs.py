@@ -97,7 +97,7 @@ def describe_tables(spark, combined, out, fmt="csv"):
     return out
 
 
-def train(spark, combined, out, fmt="csv", epochs=5, iterations=5, days=LOOKBACK_DAYS):
+def train(spark, combined, out, fmt="csv", epochs=25, iterations=5, days=LOOKBACK_DAYS):
     """Matrices, model, run history and loss and accuracy per split."""
     rows = read_combined(spark, combined, fmt, NA_TOKENS, "fail").select(*COMBINED_COLUMNS)
     matrices = training.matrices(cut_lineage(rows), days=days)
@@ -139,7 +139,7 @@ def main(argv=None):
     job("backfill", backfill, "combined", "weather", "out")
     job("filter", filter_excess, "combined", "out")
     job("describe", describe_tables, "combined", "out")
-    job("train", train, "combined", "out", epochs=5, iterations=5, days=LOOKBACK_DAYS)
+    job("train", train, "combined", "out", epochs=25, iterations=5, days=LOOKBACK_DAYS)
     args = vars(parser.parse_args(argv))
     fn, name = args.pop("fn"), args.pop("job")
     spark = SparkSession.builder.appName(f"fieldspark {name}").getOrCreate()

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldspark.functions.cells import no_nan
+from fieldspark.operators.merge import join_keys
 from fieldspark.storage import broadcast_if_small, cut_lineage
 
 WHISKER_REACH = 1.5
@@ -58,7 +59,7 @@ def _wanted_ranks(sizes, key, probabilities):
 def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
     """Linearly interpolated quantiles per key, as columns q0, q1, ... and ``n``.
 
-    Rows without a key are left out, as a group-by on a plot axis does.
+    Rows without a key are a group of their own, as in every other group-by here.
     A first pass counts the value buckets of every key, which locates the bucket
     of each wanted rank. A second pass looks at those buckets alone: equal
     values are counted together and the counts summed in order, each bucket by
@@ -66,16 +67,16 @@ def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
     shuffled by none.
     """
     values = df.select(F.col(key), no_nan(F.col(col)).alias("_x"))
-    values = values.where(F.col("_x").isNotNull() & F.col(key).isNotNull())
+    values = values.where(F.col("_x").isNotNull())
     values = _value_buckets(values, cuts)
     sizes = values.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     wanted = cut_lineage(_wanted_ranks(sizes, key, probabilities))
 
-    near = values.join(broadcast_if_small(wanted.select(key, "_bucket")), [key, "_bucket"])
+    near = join_keys(values, broadcast_if_small(wanted.select(key, "_bucket")), [key, "_bucket"], "inner")
     counted = near.groupBy(key, "_bucket", "_x").agg(F.count(F.lit(1)).alias("_n"))
     upto = W.partitionBy(key, "_bucket").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
     summed = counted.withColumn("_upto", F.sum("_n").over(upto))
-    hits = summed.join(wanted, [key, "_bucket"]).withColumn(
+    hits = join_keys(summed, wanted, [key, "_bucket"], "inner").withColumn(
         "_ranks",
         F.filter(
             "_ranks",
@@ -128,7 +129,7 @@ def boxplot_stats(df, col, by=None, cuts=256):
         )
     )
     if by:
-        rows = data.join(broadcast_if_small(quartiles), key)
+        rows = join_keys(data, broadcast_if_small(quartiles), [key], "inner")
         return _whiskers(rows, [key, "n", *BOX], {c: F.col(c) for c in BOX})
     row = quartiles.first()
     box = {c: F.lit(row[c] if row else None).cast("double") for c in BOX}

@@ -1,4 +1,9 @@
-"""Scores of predictions against labels; all rows count."""
+"""Scores of predictions against labels; all rows count.
+
+One rule for all: a row without a label, or without a prediction, is no hit. It has no
+loss either, nor has one whose label is outside the array; ``n_scored`` counts the rows
+that have one.
+"""
 
 from pyspark.sql import functions as F
 
@@ -6,16 +11,19 @@ from fieldspark.functions import vectors
 
 
 def _hit(predicted, label):
-    return F.avg(F.col(predicted).eqNullSafe(F.col(label)).cast("int"))
+    return F.coalesce(predicted == label, F.lit(False)).cast("int")
 
 
 def accuracy(df, predicted="predicted", label="label"):
-    return df.agg(F.count(F.lit(1)).alias("n"), _hit(predicted, label).alias("accuracy"))
+    hit = F.avg(_hit(F.col(predicted), F.col(label)))
+    return df.agg(F.count(F.lit(1)).alias("n"), hit.alias("accuracy"))
 
 
 def log_loss(df, probabilities="probability", label="label", plus_epsilon=False):
     loss = vectors.true_class_loss(F.col(probabilities), F.col(label), plus_epsilon)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(loss).alias("log_loss"))
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), F.count(loss).alias("n_scored"), F.avg(loss).alias("log_loss")
+    )
 
 
 def batch_rollup(df, keys, metric):
@@ -28,8 +36,11 @@ def evaluate(df, split="split", probabilities="probability", label="label"):
     scored = df.select(
         split,
         vectors.true_class_loss(F.col(probabilities), F.col(label)).alias("_loss"),
-        (vectors.argmax(F.col(probabilities)) == F.col(label)).cast("int").alias("_hit"),
+        _hit(vectors.argmax(F.col(probabilities)), F.col(label)).alias("_hit"),
     )
     return scored.groupBy(split).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_loss").alias("loss"), F.avg("_hit").alias("accuracy")
+        F.count(F.lit(1)).alias("n"),
+        F.count("_loss").alias("n_scored"),
+        F.avg("_loss").alias("loss"),
+        F.avg("_hit").alias("accuracy"),
     )

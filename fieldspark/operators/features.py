@@ -7,8 +7,6 @@ from fieldspark.functions import vectors
 from fieldspark.operators.merge import apply_dictionary
 from fieldspark.operators.stats import fit_dictionaries, fit_dictionary
 
-MAX_CATEGORIES = 2000
-
 
 def label_encode(df, col, order="sorted", order_col=None, out=None):
     """Value to code, fitted on the same table."""
@@ -16,18 +14,19 @@ def label_encode(df, col, order="sorted", order_col=None, out=None):
 
 
 def _categories(dictionary, cols, max_card):
-    """Values per column in code order; the dictionary is counted first."""
-    sizes = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}
-    for c in cols:
-        if sizes.get(c, 0) > max_card:
-            raise ValueError(
-                f"{c} has {sizes[c]} values, too many for one column each; use one_hot_vectors"
-            )
+    """Values per column in code order; with ``max_card`` they are counted first."""
+    if max_card is not None:
+        sizes = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}
+        for c in cols:
+            if sizes.get(c, 0) > max_card:
+                raise ValueError(
+                    f"{c} has {sizes[c]} values, too many for one column each; use one_hot_vectors"
+                )
     rows = dictionary.where(F.col("column").isin(list(cols))).orderBy("column", "code").collect()
     return {c: [r["value"] for r in rows if r["column"] == c] for c in cols}
 
 
-def one_hot_columns(df, cols, dictionary, max_card=MAX_CATEGORIES):
+def one_hot_columns(df, cols, dictionary, max_card=None):
     """Replace each column by one 0/1 column per dictionary value, ``col_value``.
 
     The output schema depends on the data, so the dictionary is read while
@@ -63,7 +62,7 @@ def one_hot_vectors(df, cols, dictionary, suffix="_vector"):
     return fitted.transform(coded).drop(*[f"_{c}" for c in cols])
 
 
-def one_hot_leftovers(df, exclude=(), max_card=MAX_CATEGORIES):
+def one_hot_leftovers(df, exclude=(), max_card=None):
     """One-hot every text column that is still in the table."""
     cols = [
         f.name

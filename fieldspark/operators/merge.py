@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.cells import is_blank
 from fieldspark.schema import KEYS, WEATHER
-from fieldspark.storage import broadcast_if_small
+from fieldspark.storage import broadcast_if_small, cut_lineage
 
 
 def one_per_date(weather, date_col="Date", cols=WEATHER):
@@ -81,8 +81,9 @@ def merge_insert_only(
     look-back row may shadow a real inspection that comes later; policy
     "prefer_recorded" lets a row with ``is_recorded`` beat any without.
     One shuffle on the key, reduced before it. ``existing_unique`` says that
-    ``existing`` has one row per key, as an earlier merge leaves it: then only
-    its keys are shuffled, not its rows.
+    ``existing`` has one row per key, as an earlier merge leaves it: then the keys
+    of the new rows are sent to it, and its rows stay where they are unless the
+    delivery is too large to broadcast.
     """
     if policy not in ("first", "prefer_recorded"):
         raise ValueError(f"unknown merge policy: {policy}")
@@ -91,10 +92,13 @@ def merge_insert_only(
     if existing is None:
         return keep_first(new, keys, *([~recorded] if prefer else []), order_col)
     if existing_unique:
-        first = merge_insert_only(None, new, order_col, keys, policy, is_recorded)
-        added = new_winners(existing, first, keys, policy, is_recorded)
+        # The winners are computed once. Their keys, measured, go to the existing
+        # rows; those are neither shuffled nor sorted as long as the delivery is small.
+        first = cut_lineage(merge_insert_only(None, new, order_col, keys, policy, is_recorded))
+        there = join_keys(existing, broadcast_if_small(first.select(*keys)), keys, "left_semi")
+        added = cut_lineage(new_winners(there, first, keys, policy, is_recorded))
         if prefer:
-            beaten = added.where(recorded).select(*keys)
+            beaten = broadcast_if_small(added.where(recorded).select(*keys))
             existing = join_keys(existing, beaten, keys, "left_anti")
         return existing.unionByName(added, allowMissingColumns=True)
     sides = existing.withColumn("_side", F.lit(0)).unionByName(

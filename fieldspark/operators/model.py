@@ -33,8 +33,9 @@ def read_layers(weights):
 def dense_score(df, col, layers, out="scores"):
     """Affine layers with ReLU between them, batch by batch in numpy.
 
-    NaN and infinity count as 0 on entry and after each layer. Matrix products
-    on Arrow batches; the weights travel once per executor.
+    NaN and infinity count as 0 on entry and after each layer; a missing vector has
+    no scores. Matrix products on Arrow batches; the weights travel once per
+    executor.
     """
     shared = df.sparkSession.sparkContext.broadcast(layers)
 
@@ -42,15 +43,20 @@ def dense_score(df, col, layers, out="scores"):
     def forward(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         stack = shared.value
         for batch in batches:
-            if len(batch) == 0:
-                yield pd.Series([], dtype=object)
+            out = pd.Series([None] * len(batch), dtype=object)
+            there = np.flatnonzero(batch.notna().to_numpy())
+            if not len(there):
+                yield out
                 continue
-            x = np.nan_to_num(np.stack(batch.to_numpy()).astype(float), nan=0.0, posinf=0.0, neginf=0.0)
+            stacked = np.stack(batch.iloc[there].to_numpy()).astype(float)
+            x = np.nan_to_num(stacked, nan=0.0, posinf=0.0, neginf=0.0)
             for i, (w, b) in enumerate(stack):
                 x = np.nan_to_num(x @ w.T + b, nan=0.0, posinf=0.0, neginf=0.0)
                 if i < len(stack) - 1:
                     x = np.maximum(x, 0.0)
-            yield pd.Series(list(x))
+            for i, scores in zip(there, x):
+                out.iat[i] = scores
+            yield out
 
     return df.withColumn(out, forward(vectors.doubles(F.col(col))))
 
@@ -71,7 +77,10 @@ def train_classifier(
 ):
     """Fit the hidden stack on an array column; gradients are summed over all
     partitions, only the weights return to the driver."""
-    width = df.select(F.size(features)).first()[0]
+    first = df.select(F.size(features)).first()
+    if first is None:
+        raise ValueError("there are no rows to train on")
+    width = first[0]
     trainer = MultilayerPerceptronClassifier(
         featuresCol="_features",
         labelCol=label,

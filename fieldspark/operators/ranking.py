@@ -30,7 +30,11 @@ def bucketed_rank(df, keys, bucket, order, name, total=None, few_buckets=False):
     if few_buckets:
         starts = F.broadcast(starts)
     inside = F.row_number().over(W.partitionBy(*keys, bucket).orderBy(*order))
-    ranked = df.join(starts, [*keys, bucket]).withColumn(name, F.col("_start") + inside - 1)
+    renamed = starts.withColumnsRenamed({c: f"_at_{c}" for c in (*keys, bucket)})
+    # A missing key is a key like others.
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
+    joined = df.join(renamed, [*same, F.col(bucket) == F.col(f"_at_{bucket}")])
+    ranked = joined.withColumn(name, F.col("_start") + inside - 1)
     return ranked.select(*df.columns, name, *([total] if total else []))
 
 

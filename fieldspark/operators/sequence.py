@@ -7,19 +7,26 @@ from fieldspark.functions import cells, vectors
 from fieldspark.operators.merge import one_per_date
 from fieldspark.operators.ranking import bucketed_rank, hash_rank, sorted_rank
 from fieldspark.schema import LOOKBACK_DAYS, WEATHER
+from fieldspark.storage import broadcast_if_small
 
 # Days per chunk when a series is cut so that one key is never one task.
 CHUNK_DAYS = 64
 
 
 def assemble_sequence(df, keys, date="Date", cols=WEATHER, n=LOOKBACK_DAYS, out="sequence"):
-    """One ordered array of daily structs per key.
+    """One ordered array of daily structs per key, and its number of days.
 
     ``keys`` name one inspection, so a group has the ``n`` rows its look-back
-    produced; shorter or longer groups are left out.
+    produced. Groups of another size stay too: ``{out}_days`` tells them, and
+    ``{out}_complete`` whether there are ``n``.
     """
     entries = F.array_sort(F.collect_list(F.struct(date, *cols)))
-    return df.groupBy(*keys).agg(entries.alias(out)).where(F.size(out) == n)
+    return (
+        df.groupBy(*keys)
+        .agg(entries.alias(out))
+        .withColumn(f"{out}_days", F.size(out))
+        .withColumn(f"{out}_complete", F.size(out) == n)
+    )
 
 
 def attach_sequence(
@@ -49,7 +56,7 @@ def attach_sequence(
         .agg(F.collect_list("_day").alias("_days"))
         .select("_end", window(F.col("_end"), F.col("_days")).alias("_window"))
     )
-    known = inspections.join(F.broadcast(by_end), F.col(date) == F.col("_end"), "left")
+    known = inspections.join(broadcast_if_small(by_end), F.col(date) == F.col("_end"), "left")
     return known.withColumn(out, F.coalesce("_window", window(F.col(date)))).drop("_end", "_window")
 
 
@@ -58,8 +65,8 @@ def moving_kernel(df, key, date, col, weights, pad=True, relu=False, out="kernel
 
     The kernel is centred; a missing day counts as 0 with ``pad`` and voids the
     output without it. Expects one row per (key, date). Series are cut into
-    chunks of days; the few rows within reach of a border are copied to the
-    neighbour chunk, so a long or hot series is many small windows.
+    chunks of days; a row within reach of other chunks is copied to them, so a long
+    or hot series is many small windows.
     """
     left = (len(weights) - 1) // 2
     right = len(weights) - 1 - left
@@ -68,7 +75,8 @@ def moving_kernel(df, key, date, col, weights, pad=True, relu=False, out="kernel
     def chunk(shift):
         return F.floor((day + shift) / CHUNK_DAYS)
 
-    copies = F.array_distinct(F.array(chunk(0), chunk(-right), chunk(left)))
+    # All chunks a row can be within reach of, however long the kernel is.
+    copies = F.sequence(chunk(-right), chunk(left))
     spread = (
         df.withColumn("_day", day)
         .withColumn("_home", chunk(0))
@@ -102,7 +110,8 @@ def pool_windows(df, key, date, col, k, how="max", out="pooled", keep_tail=False
     """Maximum or mean of every full block of ``k`` rows of a key, in date order.
 
     The last block is left out when it is short, unless ``keep_tail``. Expects
-    one row per (key, date); rows are numbered per chunk of days.
+    one row per (key, date); rows are numbered per chunk of days. Rows without a
+    key are one series.
     """
     if how not in ("max", "mean"):
         raise ValueError(f"unknown pooling: {how}")

@@ -27,17 +27,19 @@ def correlation_matrix(df, cols):
     """Pearson r for every pair, over the rows where both are present.
 
     All pairs come from one aggregate. Each column is blanked where its partner
-    is missing, and a constant column gives NULL rather than an error.
+    is missing, and a column that is constant there gives NULL: its smallest and
+    largest value are compared, since sums leave a residue of rounding.
     """
     data = df.select(*[no_nan(F.col(c)).alias(c) for c in cols])
     aggregates = []
     for x, y in combinations(cols, 2):
-        sd_x = F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
-        sd_y = F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y)))
-        r = F.try_divide(F.covar_pop(x, y), sd_x * sd_y)
-        aggregates.append(r.alias(f"{x}~{y}"))
+        in_x = F.when(F.col(y).isNotNull(), F.col(x))
+        in_y = F.when(F.col(x).isNotNull(), F.col(y))
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(in_x) * F.stddev_pop(in_y))
+        varies = (F.min(in_x) < F.max(in_x)) & (F.min(in_y) < F.max(in_y))
+        aggregates.append(F.when(varies, r).alias(f"{x}~{y}"))
     for x in cols:
-        aggregates.append(F.when(F.stddev_pop(x) > 0, F.lit(1.0)).alias(f"{x}~{x}"))
+        aggregates.append(F.when(F.min(x) < F.max(x), F.lit(1.0)).alias(f"{x}~{x}"))
     cells = [
         F.struct(
             F.lit(x).alias("x"),

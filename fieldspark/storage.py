@@ -39,10 +39,14 @@ def broadcast_if_small(df, max_bytes=64 << 20):
     """Broadcast hint only after measuring; above the bound the optimiser
     chooses (shuffled join, skew split at run time). Pass a table that is
     cheap to scan: landed, checkpointed, or aggregated."""
-    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
     per_row = F.lit(16 * len(df.columns))
-    for c in texts:
-        per_row = per_row + F.coalesce(F.octet_length(c), F.lit(0))
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            per_row = per_row + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            # Written out as text a nested value is about as large as in memory.
+            per_row = per_row + F.coalesce(2 * F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
     size = df.agg(F.sum(per_row)).first()[0] or 0
     return F.broadcast(df) if size <= max_bytes else df
 
