@@ -10,11 +10,11 @@ owner have to be compared.
    however often a passage occurs.
 2. Packs send each distinct segment of the remaining owners once, with the smallest
    document that has it.
-3. All segments of a bucket of owners form one text. Its suffixes are sorted (prefix
-   doubling); a stack scan over the common prefixes of neighbours walks the tree of
-   prefix intervals. An interval whose suffixes follow different bytes (or begin
-   their segment) is a maximal repeat; all its suffixes are its occurrences, and the
-   smallest document among them owns it.
+3. The suffixes of all segments of a bucket of owners are sorted, but for those that
+   cannot begin a maximal repeat; a stack scan over the common prefixes of neighbours
+   walks the tree of prefix intervals. An interval whose suffixes follow different
+   bytes (or begin their segment) is a maximal repeat; all its suffixes are its
+   occurrences, and the smallest document among them owns it.
 4. Every pack gets, for its segments, the smallest document of each string, and
    removes what a document has from a smaller one.
 """
@@ -35,7 +35,7 @@ SEED = 24
 # Segments of one owner are cut after so many strings (periodic texts).
 MOST_STRINGS = 256
 PACK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 # Segments of so many bytes, whole owners at a time, are sorted together.
 SORTED_BYTES = 1 << 20
 NO_ID = np.int64(2**63 - 1)
@@ -95,16 +95,15 @@ def _owners(data, length, seed):
 # -- maximal repeats of a set of segments --------------------------------------
 
 
-def _ranks(text):
-    """Ranks of the 32 bytes at each position, by doubling from 8."""
-    padded = np.concatenate([text, np.zeros(64, np.uint8)])
-    words = np.ndarray((len(text) + 32,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    rank = np.unique(words, return_inverse=True)[1]
-    for half in (8, 16):
-        shifted = np.zeros_like(rank)
-        shifted[:-half] = rank[half:]
-        rank = np.unique((rank.astype(np.uint64) << np.uint64(32)) | shifted.astype(np.uint64), return_inverse=True)[1]
-    return rank
+def _string_hashes(text, at, length):
+    """A hash of the ``length`` bytes (8 or more) at each place."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(text),), "<u8", padded, 0, (1,))
+    out = np.zeros(len(at), dtype=np.uint64)
+    for i, offset in enumerate([*range(0, length - 8, 8), length - 8]):
+        out = (out + words[at + offset]) * ODD[i % 3]
+        out ^= out >> np.uint64(29)
+    return mix(out)
 
 
 def _common_prefix(a, b):
@@ -131,8 +130,13 @@ def maximal_repeats(contents, length=LENGTH):
 
 
 def _suffixes(contents, length):
-    """The suffixes that can begin a maximal repeat, in order: (suffix, which, at)."""
-    if length != LENGTH:
+    """The suffixes that can begin a maximal repeat, in order: (suffix, which, at).
+
+    A string of ``length`` bytes that occurs once begins none, nor does one that
+    follows the same byte everywhere; only the other suffixes are sorted. Equal
+    hashes of different strings would only let more of them through.
+    """
+    if length < 8:
         every = [(c[i:], w, i) for w, c in enumerate(contents) for i in range(len(c) - length + 1)]
         return sorted(every), contents, length
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
@@ -144,9 +148,7 @@ def _suffixes(contents, length):
     at = first[which] + inside
     if not len(at):
         return [], contents, length
-    rank = _ranks(text).astype(np.uint64)
-    # Equal first 32 bytes and equal last 32 bytes: equal strings, in their order.
-    key = (rank[at] << np.uint64(32)) | rank[at + length - 32]
+    key = _string_hashes(text, at, length)
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
@@ -191,13 +193,16 @@ def _scan(suffixes, contents, length):
 def smallest_owner(contents, owners, length=LENGTH):
     """For each string of each segment the smallest document that has it.
 
-    ``owners`` holds the smallest document of each segment as a whole. One array per
-    segment, an entry per string.
+    ``owners`` holds the smallest document of each segment as a whole. An array with
+    an entry per string for every segment that shares a string with another one, by
+    its number; the strings of the others have their segment's own document.
     """
-    best = [np.full(max(0, len(c) - length + 1), o, dtype=np.int64) for c, o in zip(contents, owners, strict=True)]
+    best = {}
     for size, occurrences in maximal_repeats(contents, length):
         smallest = min(owners[w] for w, _ in occurrences)
         for w, at in occurrences:
+            if w not in best:
+                best[w] = np.full(len(contents[w]) - length + 1, owners[w], dtype=np.int64)
             part = best[w][at : at + size - length + 1]
             np.minimum(part, smallest, out=part)
     return best
@@ -378,9 +383,9 @@ def _answer(rows):
     best = {}
     for part in _owner_groups(mixed, owners, every):
         compared = smallest_owner([every[i] for i in part], [smallest[i] for i in part])
-        for i, found in zip(part, compared, strict=True):
+        for k, found in compared.items():
             cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
-            best[i] = (
+            best[part[k]] = (
                 np.concatenate([cuts, [len(found)]]).tolist(),
                 found[np.concatenate([[0], cuts])].tolist(),
             )
