@@ -58,12 +58,13 @@ def test_text_that_lost_half_a_character(spark):
     assert [r[0] for r in broken.select(repeats.valid_text("kept")).collect()] == ["a", "ok"]
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_maximal_repeats(seed):
+@pytest.mark.parametrize("length", [4, 8, 11])
+@pytest.mark.parametrize("seed", range(6))
+def test_maximal_repeats(seed, length):
     """All repeats that cannot grow, with all their places."""
     rng = np.random.default_rng(seed)
-    strings = [bytes(rng.integers(97, 99 + seed % 3, rng.integers(0, 40)).astype(np.uint8)) for _ in range(6)]
-    length = 4
+    strings = [bytes(rng.integers(97, 99 + seed % 3, rng.integers(0, 60)).astype(np.uint8)) for _ in range(6)]
+    strings += [strings[i][3:40] for i in range(4)]
     places = {}
     for w, s in enumerate(strings):
         for i in range(len(s)):
