@@ -126,7 +126,9 @@ def maximal_repeats(contents, length=LENGTH):
     A repeat cannot grow to the right (its interval's common prefix) nor to the left:
     its occurrences follow different bytes, or one begins its string.
     """
-    yield from _scan(*_suffixes(contents, length))
+    suffixes = _suffixes(contents, length)
+    for size, _, lower, upper in _scan(suffixes, contents, length):
+        yield size, [(w, at) for _, w, at in suffixes[lower:upper]]
 
 
 def _suffixes(contents, length):
@@ -138,7 +140,7 @@ def _suffixes(contents, length):
     """
     if length < 8:
         every = [(c[i:], w, i) for w, c in enumerate(contents) for i in range(len(c) - length + 1)]
-        return sorted(every), contents, length
+        return sorted(every)
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     first = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(contents), np.uint8)
@@ -147,7 +149,7 @@ def _suffixes(contents, length):
     inside = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
     at = first[which] + inside
     if not len(at):
-        return [], contents, length
+        return []
     key = _string_hashes(text, at, length)
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -158,11 +160,13 @@ def _suffixes(contents, length):
     open_ = np.repeat((count > 1) & ((low < 0) | (low != high)), count)
     chosen = order[open_]
     pairs = zip(which[chosen].tolist(), inside[chosen].tolist(), strict=True)
-    return sorted((contents[w][i:], w, i) for w, i in pairs), contents, length
+    return sorted((contents[w][i:], w, i) for w, i in pairs)
 
 
 def _scan(suffixes, contents, length):
-    """Bottom-up walk over the prefix intervals with a stack of open ones."""
+    """Bottom-up walk over the prefix intervals with a stack of open ones: the common
+    prefix of each maximal repeat, that of the interval around it, its first suffix,
+    and the one behind its last."""
     several = -2
 
     def left_of(which, at):
@@ -183,7 +187,7 @@ def _scan(suffixes, contents, length):
             size, lower, other = stack.pop()
             left = joined(left, other)
             if left == several:
-                yield size, [(w, at) for _, w, at in suffixes[lower:i]]
+                yield size, max(common, stack[-1][0] if stack else 0), lower, i
         if stack and stack[-1][0] == common:
             stack[-1][2] = joined(stack[-1][2], left)
         elif common >= length:
@@ -191,21 +195,25 @@ def _scan(suffixes, contents, length):
 
 
 def smallest_owner(contents, owners, length=LENGTH):
-    """For each string of each segment the smallest document that has it.
+    """For each string of each segment the smallest document that has it, in one
+    array, and where each segment's strings begin there.
 
-    ``owners`` holds the smallest document of each segment as a whole. An array with
-    an entry per string for every segment that shares a string with another one, by
-    its number; the strings of the others have their segment's own document.
+    ``owners`` holds the smallest document of each segment as a whole.
     """
-    best = {}
-    for size, occurrences in maximal_repeats(contents, length):
-        smallest = min(owners[w] for w, _ in occurrences)
-        for w, at in occurrences:
-            if w not in best:
-                best[w] = np.full(len(contents[w]) - length + 1, owners[w], dtype=np.int64)
-            part = best[w][at : at + size - length + 1]
-            np.minimum(part, smallest, out=part)
-    return best
+    strings = np.fromiter((max(0, len(c) - length + 1) for c in contents), np.int64, len(contents))
+    bounds = np.concatenate([[0], np.cumsum(strings)])
+    best = np.repeat(np.asarray(owners, dtype=np.int64), strings)
+    suffixes = _suffixes(contents, length)
+    which = np.fromiter((w for _, w, _ in suffixes), np.int64, len(suffixes))
+    place = bounds[which] + np.fromiter((at for _, _, at in suffixes), np.int64, len(suffixes))
+    owner = np.asarray(owners, dtype=np.int64)[which]
+    for size, around, lower, upper in _scan(suffixes, contents, length):
+        # The interval around this one has all its suffixes and more: what it covers
+        # is settled there with a document no larger.
+        smallest = owner[lower:upper].min()
+        here = place[lower:upper, None] + np.arange(max(0, around - length + 1), size - length + 1)
+        best[here] = np.minimum(best[here], smallest)
+    return best, bounds
 
 
 # -- packs ---------------------------------------------------------------------
@@ -363,46 +371,48 @@ def _owner_groups(rows, owners, contents):
 
 
 def _answer(rows):
-    """The smallest document of every string of the segments of a bucket, by pack."""
+    """The smallest document of every string of the segments of a bucket, by pack: runs
+    of strings with one document, as many as a segment has."""
     received = [_receive(d) for d in rows["data"]]
-    number, owners, smallest = {}, [], []
-    for owner, least, contents in received:
-        for o, d, c in zip(owner.tolist(), least.tolist(), contents, strict=True):
-            i = number.setdefault(c, len(number))
-            if i == len(owners):
-                owners.append(o)
-                smallest.append(d)
-            elif d < smallest[i]:
-                smallest[i] = d
+    number = {}
+    places = [
+        np.fromiter((number.setdefault(c, len(number)) for c in contents), np.int64, len(contents))
+        for _, _, contents in received
+    ]
     every = list(number)
+    smallest = np.full(len(every), NO_ID, dtype=np.int64)
+    owners = np.zeros(len(every), dtype=np.uint64)
+    for at, (owner, least, _) in zip(places, received, strict=True):
+        np.minimum.at(smallest, at, least)
+        owners[at] = owner
     # A segment that has its owner to itself is settled; the others are compared.
-    owners = np.array(owners, dtype=np.uint64)
     _, inverse, count = np.unique(owners, return_inverse=True, return_counts=True)
+    alone = np.flatnonzero(count[inverse] == 1)
     mixed = np.flatnonzero(count[inverse] > 1)
     mixed = mixed[np.argsort(owners[mixed], kind="stable")].tolist()
-    best = {}
+    sizes = np.fromiter(map(len, every), np.int64, len(every)) - LENGTH + 1
+    runs = [(alone, sizes[alone], smallest[alone])]
     for part in _owner_groups(mixed, owners, every):
-        compared = smallest_owner([every[i] for i in part], [smallest[i] for i in part])
-        for k, found in compared.items():
-            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
-            best[part[k]] = (
-                np.concatenate([cuts, [len(found)]]).tolist(),
-                found[np.concatenate([[0], cuts])].tolist(),
-            )
-    out = {"pack": [], "bucket": [], "answer": []}
-    for pack, bucket, (_, _, contents) in zip(rows["pack"], rows["bucket"], received, strict=True):
-        counts, ends, docs = [], [], []
-        for c in contents:
-            i = number[c]
-            cuts, found = best.get(i) or ([len(c) - LENGTH + 1], [smallest[i]])
-            counts.append(len(cuts))
-            ends += cuts
-            docs += found
-        out["pack"].append(pack)
-        out["bucket"].append(bucket)
-        out["answer"].append(
-            _squeeze(np.array([len(counts), len(ends)]), np.array(counts), np.array(docs), np.array(ends))
-        )
+        part = np.array(part)
+        best, bounds = smallest_owner([every[i] for i in part], smallest[part])
+        new = np.ones(len(best), dtype=bool)
+        new[1:] = best[1:] != best[:-1]
+        new[bounds[:-1]] = True
+        first = np.flatnonzero(new)
+        segment = np.searchsorted(bounds, first, side="right") - 1
+        last = np.concatenate([first[1:], [len(best)]])
+        runs.append((part[segment], last - bounds[segment], best[first]))
+    of, ends, docs = (np.concatenate(c) for c in zip(*runs, strict=True))
+    order = np.argsort(of, kind="stable")
+    ends, docs = ends[order], docs[order]
+    counts = np.bincount(of, minlength=len(every))
+    begin = np.cumsum(counts) - counts
+    out = {"pack": rows["pack"], "bucket": rows["bucket"], "answer": []}
+    for at in places:
+        n = counts[at]
+        index = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
+        head = np.array([len(n), len(index)], dtype=np.int64)
+        out["answer"].append(_squeeze(head, n.astype(np.int64), docs[index], ends[index]))
     return out
 
 
