@@ -1,8 +1,13 @@
 """Dense scoring, training, scoring and run history."""
 
+import math
+
+import numpy as np
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldspark.catalog.base import combined, query, rounded, sql6, vectors, with_views
+from fieldspark.catalog.base import combined, query, rounded, sql6, table, vectors, with_views
 from fieldspark.operators import model
 from fieldspark.operators.order import hash_split
 from fieldspark.plans import training
@@ -77,41 +82,148 @@ def _classes(spark, sf_dir):
     return hash_split(rows.withColumnRenamed("v", "features"), "vec_id")
 
 
-def _fit(spark, sf_dir):
-    rows = _classes(spark, sf_dir)
-    train = rows.where(F.col("split") == "train")
-    return rows, model.train_classifier(train)
+DRAW = "CAST('0x' || substr(md5('42-' || vec_id), 1, 8) AS BIGINT) % 100"
+SPLIT = f"CASE WHEN {DRAW} < 70 THEN 'train' WHEN {DRAW} < 85 THEN 'validation' ELSE 'test' END"
 
 
-@query("train_classifier")
+@query(
+    "train_classifier",
+    with_views(
+        "vectors",
+        f"""SELECT CAST((64 + 1) * 128 + (128 + 1) * 64 + (64 + 1) * 32 + (32 + 1) * 16 + (16 + 1) * 2 AS BIGINT) AS n_weights,
+          count(*) AS n_rows, true AS weights_are_finite, count(*) AS n_distributions, true AS beats_majority
+        FROM vectors WHERE {DRAW} < 70""",
+    ),
+)
 def train_classifier(spark, sf_dir):
-    """The fitted weights, one row each."""
-    _, fitted = _fit(spark, sf_dir)
-    weights = [float(w) for w in fitted.weights]
-    return spark.createDataFrame(list(enumerate(weights)), "position int, weight double")
+    """What must hold of a fitted network, whatever its weights: how many they are, that
+    every training row gets a distribution, and that the objective is not above the
+    loss of always giving the classes their shares."""
+    rows = cut_lineage(_classes(spark, sf_dir).where(F.col("split") == "train"))
+    fitted = model.train_classifier(rows)
+    weights = fitted.weights.toArray()
+    scored = model.score_classifier(fitted, rows)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = sum(counts.values())
+    majority = -sum(c / n * math.log(c / n) for c in counts.values())
+    objective = fitted.summary().objectiveHistory[-1]
+    return scored.agg(
+        F.lit(len(weights)).cast("long").alias("n_weights"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(bool(np.isfinite(weights).all())).alias("weights_are_finite"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("n_distributions"),
+        F.lit(bool(objective <= majority)).alias("beats_majority"),
+    )
 
 
-@query("score_classifier")
+def _given_weights(rows):
+    """A network of two hidden neurons out of the data: the mean vector of each class,
+    then two outputs that weigh one against the other. Its size is that of the
+    network; weights are listed input by input, then the biases."""
+    means = (
+        rows.select("label", F.posexplode("features").alias("pos", "x"))
+        .groupBy("pos")
+        .pivot("label", [0, 1])
+        .agg(F.avg("x"))
+        .orderBy("pos")
+        .collect()
+    )
+    hidden = [x for r in means for x in (r["0"], r["1"])]
+    return Vectors.dense([*hidden, 0.01, 0.01, 1.0, -1.0, -1.0, 1.0, 0.02, -0.02])
+
+
+@query(
+    "score_classifier",
+    with_views(
+        "vectors",
+        f"""SELECT vec_id, {SPLIT} AS split, CAST(label % 2 AS INTEGER) AS label,
+          {sql6("exp(a - b + 0.02) / (exp(a - b + 0.02) + exp(b - a - 0.02))")} AS probability_0,
+          {sql6("exp(b - a - 0.02) / (exp(a - b + 0.02) + exp(b - a - 0.02))")} AS probability_1,
+          CAST(CASE WHEN a - b + 0.02 >= b - a - 0.02 THEN 0 ELSE 1 END AS INTEGER) AS predicted
+        FROM (SELECT vec_id, label, 1 / (1 + exp(-(list_inner_product(v, m0.w) + 0.01))) AS a,
+          1 / (1 + exp(-(list_inner_product(v, m1.w) + 0.01))) AS b
+          FROM vectors, (SELECT w FROM means WHERE p = 0) m0, (SELECT w FROM means WHERE p = 1) m1)""",
+        means="""SELECT p, list(x ORDER BY pos) AS w FROM (
+          SELECT p, pos, avg(x) AS x FROM (
+            SELECT label % 2 AS p, unnest(range(len(v))) AS pos, unnest(v) AS x FROM vectors) GROUP BY 1, 2) GROUP BY 1""",
+    ),
+)
 def score_classifier(spark, sf_dir):
-    rows, fitted = _fit(spark, sf_dir)
-    return model.score_classifier(fitted, rows).select("vec_id", "split", "label", "probability", "predicted")
+    """Probabilities and predictions of a network whose weights are known."""
+    rows = _classes(spark, sf_dir)
+    fitted = model.train_classifier(
+        rows, hidden=(2,), max_iter=0, initial_weights=_given_weights(rows)
+    )
+    scored = model.score_classifier(fitted, rows)
+    return rounded(
+        scored.select(
+            "vec_id",
+            "split",
+            F.col("label").cast("int").alias("label"),
+            F.get("probability", F.lit(0)).alias("probability_0"),
+            F.get("probability", F.lit(1)).alias("probability_1"),
+            "predicted",
+        ),
+        "probability_0",
+        "probability_1",
+    )
 
 
-@query("run_history")
+@query(
+    "run_history",
+    f"""WITH log AS (
+      SELECT CAST(row_number() OVER (ORDER BY month) AS INTEGER) AS epoch, objective, validation_loss, validation_accuracy
+      FROM (SELECT date_trunc('month', o_orderdate) AS month, {sql6("avg(o_totalprice)")} AS objective,
+        {sql6("max(o_totalprice)")} AS validation_loss,
+        CASE WHEN count(*) % 7 <> 0 THEN avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) END AS validation_accuracy
+        FROM orders GROUP BY 1))
+    SELECT *, epoch = (SELECT epoch FROM log WHERE validation_accuracy IS NOT NULL
+        ORDER BY validation_accuracy DESC, epoch LIMIT 1) AS is_best,
+      epoch = (SELECT max(epoch) FROM log) AS is_last FROM log""",
+)
 def run_history(spark, sf_dir):
-    rows = cut_lineage(_classes(spark, sf_dir))
-    _, history = model.train_with_history(
-        rows.where(F.col("split") == "train"),
-        rows.where(F.col("split") == "validation"),
-        epochs=EPOCHS,
-        iterations=ITERATIONS,
+    """A log with an epoch for each month of orders, its best and last marked."""
+    orders = table(spark, sf_dir, "orders")
+    finished = F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
+    months = orders.groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(
+        F.avg("o_totalprice").alias("objective"),
+        F.max("o_totalprice").alias("validation_loss"),
+        F.when(F.count(F.lit(1)) % 7 != 0, finished).alias("validation_accuracy"),
     )
-    return model.run_history(spark, history)
+    # As many rows as there are months.
+    log = cut_lineage(
+        rounded(months, "objective", "validation_loss").select(
+            F.row_number().over(W.orderBy("month")).alias("epoch"),
+            "objective",
+            "validation_loss",
+            "validation_accuracy",
+        )
+    )
+    return model.mark_epochs(log)
 
 
-@query("train_and_evaluate")
+@query(
+    "train_and_evaluate",
+    with_views(
+        "combined",
+        """SELECT split, count(*) AS n, count(*) AS n_scored, true AS loss_is_finite, true AS accuracy_is_a_share,
+          CAST(25 AS BIGINT) AS epochs
+        FROM (SELECT CASE WHEN draw < 70 THEN 'train' WHEN draw < 85 THEN 'validation' ELSE 'test' END AS split
+          FROM (SELECT CAST('0x' || substr(md5('42-' || "SiteID" || '-' || CAST("Date" AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS draw FROM combined))
+        GROUP BY 1""",
+    ),
+)
 def train_and_evaluate(spark, sf_dir):
-    """Combined table to matrices, model and loss and accuracy per split."""
+    """Combined table to matrices, model and loss and accuracy per split: what must
+    hold of them after a full run."""
     rows = cut_lineage(training.matrices(cut_lineage(combined(spark, sf_dir))).rows)
-    _, _, scores = training.train_and_evaluate(rows, epochs=EPOCHS, iterations=ITERATIONS)
-    return scores
+    _, history, scores = training.train_and_evaluate(rows, epochs=EPOCHS, iterations=ITERATIONS)
+    return scores.select(
+        "split",
+        "n",
+        "n_scored",
+        (~F.isnan("loss") & (F.col("loss") < float("inf"))).alias("loss_is_finite"),
+        F.col("accuracy").between(0, 1).alias("accuracy_is_a_share"),
+        F.lit(len(history)).cast("long").alias("epochs"),
+    )

@@ -161,6 +161,19 @@ def run_history(spark, history):
     log = spark.createDataFrame(
         history, "epoch int, objective double, validation_loss double, validation_accuracy double"
     )
-    best = log.agg(F.max_by("epoch", F.struct("validation_accuracy", -F.col("epoch")))).scalar()
+    return mark_epochs(log)
+
+
+def mark_epochs(log):
+    """A run log with its best epoch (the earliest of the most accurate) and its last
+    one marked; an epoch without an accuracy is never the best."""
+    known = F.col("validation_accuracy").isNotNull()
+    order = F.struct("validation_accuracy", -F.col("epoch"))
+    best = log.agg(F.max_by("epoch", F.when(known, order))).scalar()
     last = log.agg(F.max("epoch")).scalar()
-    return log.withColumns({"is_best": F.col("epoch") == best, "is_last": F.col("epoch") == last})
+    return log.withColumns(
+        {
+            "is_best": F.coalesce(F.col("epoch") == best, F.lit(False)),
+            "is_last": F.col("epoch") == last,
+        }
+    )

@@ -160,6 +160,27 @@ def test_dense_score_is_the_matrix_product(spark):
     assert np.allclose([r["scores"] for r in got], h)
 
 
+def test_history_of_a_run_marks_best_and_last(spark):
+    rnd = np.random.default_rng(6)
+    xs = rnd.normal(size=(120, 2))
+    rows = spark.createDataFrame([([float(v) for v in x], int(x[0] > 0)) for x in xs], "features array<double>, label int")
+    _, history = model.train_with_history(rows, rows, hidden=(3,), epochs=4, iterations=2)
+    marked = sorted(model.run_history(spark, history).collect())
+    best = max(marked, key=lambda r: (r["validation_accuracy"], -r["epoch"]))
+    assert [r["epoch"] for r in marked if r["is_best"]] == [best["epoch"]]
+    assert [r["epoch"] for r in marked if r["is_last"]] == [4]
+    assert marked[-1]["objective"] <= marked[0]["objective"]
+    with pytest.raises(ValueError, match="no rows"):
+        model.train_classifier(rows.where("label > 5"))
+
+
+def test_missing_vectors_have_no_scores(spark):
+    weights = spark.createDataFrame([(0, 0, 1.0, [2.0, 0.0])], "layer int, neuron int, bias double, weights array<double>")
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None)], "i int, x array<double>")
+    got = {r["i"]: r["scores"] for r in model.dense_score(rows, "x", model.read_layers(weights)).collect()}
+    assert got == {1: [7.0], 2: None}
+
+
 def test_training_learns_a_separable_rule(spark):
     rnd = np.random.default_rng(5)
     xs = rnd.normal(size=(400, 3))
