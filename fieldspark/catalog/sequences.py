@@ -157,11 +157,9 @@ def pool_mean(spark, sf_dir):
 def pool_null_key(spark, sf_dir):
     """The first site has no name: its blocks are there like all others."""
     rows = _landed(spark, sf_dir, "Wetness")
-    first = rows.agg(F.min("SiteID").alias("_first"))
-    nameless = rows.join(F.broadcast(first)).withColumn(
-        "SiteID", F.when(F.col("SiteID") != F.col("_first"), F.col("SiteID"))
-    )
-    return rounded(sequence.pool_windows(nameless.drop("_first"), "SiteID", "Date", "Wetness", 3), "pooled")
+    first = rows.agg(F.min("SiteID")).first()[0]
+    nameless = rows.withColumn("SiteID", F.when(F.col("SiteID") != first, F.col("SiteID")))
+    return rounded(sequence.pool_windows(nameless, "SiteID", "Date", "Wetness", 3), "pooled")
 
 
 @query(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from fieldspark.functions.cells import parse_us_date
 from fieldspark.operators.clean import (
     blank_to_null,
-    conform,
     drop_excess,
     filter_report,
     is_excess,
@@ -36,8 +35,31 @@ from fieldspark.storage import cut_lineage
 def read_combined(spark, path, fmt="csv", tokens=(), on_error="drop", seq=None):
     """A combined table as typed rows, from CSV or from a typed format."""
     if fmt == "csv":
-        return typed(read_inspections(spark, path, COMBINED_TEXT, seq=seq), tokens, on_error)
-    return conform(spark.read.format(fmt).load(path), COMBINED)
+        rows = read_inspections(spark, path, COMBINED_TEXT, seq=seq, others=True)
+        return typed(rows.drop("_bad_record"), tokens, on_error)
+    rows = _conformed(spark, path, fmt)
+    # Files of a typed format have no line order; any fixed order tells repeats apart.
+    return rows.withColumn(seq, F.monotonically_increasing_id()) if seq else rows
+
+
+def _conformed(spark, path, fmt):
+    """The known columns with their types, then all others as they are."""
+    rows = spark.read.format(fmt).load(path)
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in COMBINED_COLUMNS]
+    known = [
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
+        for f in COMBINED
+    ]
+    return rows.select(*known, *others)
+
+
+def _in_order(rows):
+    """Known columns first, then the others; not the helpers of a merge."""
+    helpers = {"seq", "is_recorded", "inspected_on", "_bad_record"}
+    return rows.select(
+        *COMBINED_COLUMNS,
+        *[F.col(f"`{c}`") for c in rows.columns if c not in {*COMBINED_COLUMNS, *helpers}],
+    )
 
 
 def combine(
@@ -51,11 +73,10 @@ def combine(
     fmt="csv",
 ):
     """Expand inspections, attach landed weather, merge into an existing table."""
-    raw = read_inspections(spark, inspections, seq="seq").drop("_bad_record")
+    raw = read_inspections(spark, inspections, seq="seq", others=True).drop("_bad_record")
     there = None
     if existing:
-        rows = read_combined(spark, existing, on_error="fail", seq="seq").drop("_bad_record")
-        there = with_recorded_flag(rows)
+        there = with_recorded_flag(read_combined(spark, existing, fmt, on_error="fail", seq="seq"))
     merged = build_combined(
         typed(raw),
         read_weather_json(spark, weather),
@@ -64,14 +85,14 @@ def combine(
         policy=policy,
         existing_unique=existing_unique,
     )
-    return write_table(merged.select(*COMBINED_COLUMNS), out, fmt)
+    return write_table(_in_order(merged), out, fmt)
 
 
 def _as_landed(spark, path, fmt):
     """The table as it is: CSV stays text, so nothing unreadable is lost."""
     if fmt == "csv":
-        return read_inspections(spark, path, COMBINED_TEXT).select(*COMBINED_COLUMNS)
-    return conform(spark.read.format(fmt).load(path), COMBINED)
+        return _in_order(read_inspections(spark, path, COMBINED_TEXT, others=True))
+    return _conformed(spark, path, fmt)
 
 
 def backfill(spark, combined, weather, out, fmt="csv"):
@@ -99,8 +120,9 @@ def describe_tables(spark, combined, out, fmt="csv"):
 
 def train(spark, combined, out, fmt="csv", epochs=25, iterations=5, days=LOOKBACK_DAYS):
     """Matrices, model, run history and loss and accuracy per split."""
-    rows = read_combined(spark, combined, fmt, NA_TOKENS, "fail").select(*COMBINED_COLUMNS)
-    matrices = training.matrices(cut_lineage(rows), days=days)
+    rows = read_combined(spark, combined, fmt, NA_TOKENS, "fail")
+    # Typed files are read again as they are; text is converted once.
+    matrices = training.matrices(cut_lineage(rows) if fmt == "csv" else rows, days=days)
     write_table(matrices.rows, f"{out}/matrices", "parquet")
     landed = spark.read.parquet(f"{out}/matrices")
     model, history, scores = training.train_and_evaluate(landed, epochs=epochs, iterations=iterations)

@@ -43,10 +43,10 @@ def dense_score(df, col, layers, out="scores"):
     def forward(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         stack = shared.value
         for batch in batches:
-            out = pd.Series([None] * len(batch), dtype=object)
+            out = [None] * len(batch)
             there = np.flatnonzero(batch.notna().to_numpy())
             if not len(there):
-                yield out
+                yield pd.Series(out, dtype=object)
                 continue
             stacked = np.stack(batch.iloc[there].to_numpy()).astype(float)
             x = np.nan_to_num(stacked, nan=0.0, posinf=0.0, neginf=0.0)
@@ -55,8 +55,8 @@ def dense_score(df, col, layers, out="scores"):
                 if i < len(stack) - 1:
                     x = np.maximum(x, 0.0)
             for i, scores in zip(there, x):
-                out.iat[i] = scores
-            yield out
+                out[i] = scores
+            yield pd.Series(out, dtype=object)
 
     return df.withColumn(out, forward(vectors.doubles(F.col(col))))
 

@@ -53,6 +53,38 @@ def hash_rank(df, key, seed, name="rank", digits=4, total=None):
     return ranked.drop("_md5", "_bucket")
 
 
+def hash_cuts(df, key, seed, percents, digits=4):
+    """The places in the order of ``hash_rank`` at which parts of the rows end: for each
+    percentage the (md5, key...) of the first row behind it, None behind the last row.
+
+    Buckets are counted, at most 16^digits numbers; rows are ranked inside the one
+    bucket that holds each place. No other row is shuffled or sorted.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    hashed = df.select(*keys, md5_key(seed, *keys).alias("_md5"))
+    hashed = hashed.withColumn("_bucket", F.substring("_md5", 1, digits))
+    sizes = sorted((r["_bucket"], r["count"]) for r in hashed.groupBy("_bucket").count().collect())
+    total = sum(n for _, n in sizes)
+    wanted = {}
+    for p in percents:
+        place, start = total * p // 100, 0
+        for bucket, n in sizes:
+            if place < start + n:
+                wanted[p] = (bucket, place - start)
+                break
+            start += n
+    borders = hashed.where(F.col("_bucket").isin(sorted({b for b, _ in wanted.values()})))
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy("_md5", *keys)) - 1
+    pairs = F.struct("_bucket", inside.alias("_at"))
+    hits = [F.struct(F.lit(b).alias("_bucket"), F.lit(at).cast("int").alias("_at")) for b, at in wanted.values()]
+    rows = borders.select("_md5", *keys, pairs.alias("_place"))
+    found = {
+        (r["_place"]["_bucket"], r["_place"]["_at"]): (r["_md5"], *[r[k] for k in keys])
+        for r in (rows.where(F.col("_place").isin(hits)).collect() if hits else [])
+    }
+    return [found[wanted[p]] if p in wanted else None for p in percents]
+
+
 def sorted_rank(df, order, name="rank", total=None):
     """0-based rank in the order of any unique sortable columns.
 

@@ -4,8 +4,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldspark.functions import cells, vectors
+from fieldspark.functions.cells import md5_key
 from fieldspark.operators.merge import one_per_date
-from fieldspark.operators.ranking import bucketed_rank, hash_rank, sorted_rank
+from fieldspark.operators.ranking import bucketed_rank, hash_cuts, sorted_rank
 from fieldspark.schema import LOOKBACK_DAYS, WEATHER
 from fieldspark.storage import broadcast_if_small
 
@@ -147,15 +148,27 @@ def assign_batches(df, order, size, drop_last=True, out="batch"):
 
 
 def exact_split(df, key, seed=42, percents=(70, 85), out="split", digits=4):
-    """Seeded shuffle, then the first 70 %, the next up to 85 %, the rest."""
-    ranked = hash_rank(df, key, seed, "_rank", digits, total="_total")
-    first, second = (F.floor(F.col("_total") * p / 100) for p in percents)
-    part = (
-        F.when(F.col("_rank") < first, "train")
-        .when(F.col("_rank") < second, "validation")
-        .otherwise("test")
-    )
-    return ranked.withColumn(out, part).drop("_rank", "_total")
+    """Seeded shuffle, then the first 70 %, the next up to 85 %, the rest.
+
+    Two values of the shuffled order are the borders; every row is compared with
+    them, none is moved.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    place = F.struct(md5_key(seed, *keys).alias("_md5"), *keys)
+
+    def before(cut):
+        if cut is None:
+            return F.lit(True)
+        named = zip(["_md5", *keys], cut)
+        return place < F.struct(*[F.lit(v).cast(_kind(df, c)).alias(c) for c, v in named])
+
+    first, second = (before(c) for c in hash_cuts(df, keys, seed, percents, digits))
+    part = F.when(first, "train").when(second, "validation").otherwise("test")
+    return df.withColumn(out, part)
+
+
+def _kind(df, c):
+    return "string" if c == "_md5" else df.schema[c].dataType
 
 
 def time_series(df, date, col):

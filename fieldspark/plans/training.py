@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.cells import no_nan
 from fieldspark.operators import calendar, clean, features, model, order
@@ -47,21 +48,29 @@ def encode(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
     The count that defines the label is left out of the inputs unless
     ``keep_label_source``. Dictionaries are fitted on the training part unless
     ``fit_on`` is "all"; a site they do not know gets the code -1. With ``days``
-    above 1 the weather family also holds that many days as a series.
-    Returns the table, the weather columns and the site columns.
+    above 1 the weather family also holds that many days as a series. Columns that
+    the combined table does not name are site features too: text as categories,
+    numbers as numbers. Returns the table, the weather columns and the site columns.
     """
-    labelled = clean.threshold_label(combined.select(*KEYS, *CATEGORIES, *SITE_NUMBERS, *WEATHER))
+    known = {*KEYS, *CATEGORIES, *SITE_NUMBERS, *WEATHER}
+    others = {f.name: f.dataType for f in combined.schema if f.name not in known}
+    texts = [c for c, kind in others.items() if kind.simpleString() == "string"]
+    numbers = [c for c, kind in others.items() if isinstance(kind, T.NumericType)]
+    categories = [*CATEGORIES, *texts]
+    labelled = clean.threshold_label(
+        combined.select(*KEYS, *categories, *SITE_NUMBERS, *numbers, *WEATHER)
+    )
     labelled, series = day_series(labelled, days) if days > 1 else (labelled, [])
     split = order.hash_split(labelled, KEYS, seed)
     dated = calendar.date_parts(calendar.date_ordinal(split))
     filled = clean.fill_category(
-        clean.fill_numeric(dated, SITE_NUMBERS + WEATHER), ["SiteID", *CATEGORIES]
+        clean.fill_numeric(dated, [*SITE_NUMBERS, *numbers, *WEATHER]), ["SiteID", *categories]
     )
     seen = filled.where(F.col("split") == "train") if fit_on == "train" else filled
-    dictionary = cut_lineage(fit_dictionaries(seen, ["SiteID", *CATEGORIES]))
+    dictionary = cut_lineage(fit_dictionaries(seen, ["SiteID", *categories]))
     coded = apply_dictionary(filled, dictionary, "SiteID", SITE_CODE)
     coded = coded.fillna(UNKNOWN_SITE, [SITE_CODE])
-    encoded = features.one_hot_columns(coded, CATEGORIES, dictionary)
+    encoded = features.one_hot_columns(coded, categories, dictionary)
     dropped = [*KEYS, "split"] if keep_label_source else [*KEYS, "split", "DipCount"]
     weather, site = clean.split_features(encoded, LABEL, [*dropped, *series])
     return encoded, series + weather, sorted(site, key=lambda c: c != SITE_CODE)

@@ -45,39 +45,74 @@ def _options(dialect):
     return options
 
 
-def _by_name(header, name):
-    """Column for ``name``; a name repeated in the header (the reader numbers
-    repeats by position) means its last occurrence."""
-    same = [h for i, h in enumerate(header) if h in (name, f"{name}{i}")]
+def _files(spark, path):
+    """The files below a path, without reading them."""
+    rows = spark.read.format("binaryFile").load(path).select("path").collect()
+    return sorted(r["path"] for r in rows)
+
+
+def _header(spark, file, options):
+    """The reader's column names and the names as the file has them. The reader numbers
+    repeated names by position."""
+    raw = spark.read.options(**{**options, "header": False}).csv(file).first()
+    names = spark.read.options(**{**options, "header": True}).csv(file).columns
+    return tuple(names), tuple(raw or names)
+
+
+def _by_name(names, raw, name):
+    """Column for ``name``; a name repeated in the header means its last occurrence."""
+    same = [n for n, r in zip(names, raw) if r == name or (n == name and r is None)]
     return F.col(f"`{same[-1]}`") if same else F.lit(None).cast("string")
 
 
-def read_inspections(spark, path, schema=INSPECTION_TEXT, dialect=None, seq=None):
+def read_inspections(
+    spark, path, schema=INSPECTION_TEXT, dialect=None, seq=None, mixed_headers=False, others=False
+):
     """CSV with a header, every field as text, bound by column name.
 
     Columns absent from the file are NULL and a malformed line stays visible in
-    ``_bad_record``; empty lines are skipped. ``seq`` names an extra column with
-    the row's number in file order, for the merges that depend on it.
+    ``_bad_record``; empty lines are skipped. All files must have the same header,
+    else the read fails; with ``mixed_headers`` every file's header is looked at
+    and each file is bound by its own. ``others`` keeps the columns that ``schema``
+    does not name. ``seq`` names an extra column with the row's number in file
+    order, for the merges that depend on it.
     """
     options = {"header": True, **_options(dialect)}
-    header = spark.read.options(**options).csv(path).columns
-    rows = (
-        spark.read.schema(text_schema(header).add(BAD_RECORD, "string"))
-        .options(columnNameOfCorruptRecord=BAD_RECORD, **options)
-        .csv(path)
-    )
-    columns = [_by_name(header, f.name).alias(f.name) for f in schema]
+    files = _files(spark, path)
+    if not files:
+        raise ValueError(f"no files at {path}")
+    headers = {}
+    for file in files if mixed_headers else files[:1]:
+        headers.setdefault(_header(spark, file, options), []).append(file)
+    known = [f.name for f in schema]
+    parts = []
+    for (names, raw), group in headers.items():
+        # The reader compares headers itself, except repeated names, which it renames.
+        checked = len(files) > 1 and not mixed_headers and names == raw
+        rows = (
+            spark.read.schema(text_schema(names).add(BAD_RECORD, "string"))
+            .options(columnNameOfCorruptRecord=BAD_RECORD, **options)
+            .option("enforceSchema", not checked)
+            .csv(group if mixed_headers else path)
+        )
+        columns = [_by_name(names, raw, c).alias(c) for c in known]
+        if others:
+            columns += [_by_name(names, raw, c).alias(c) for c in dict.fromkeys(raw) if c and c not in known]
+        columns.append(F.col(BAD_RECORD))
+        if seq:
+            columns += [
+                F.col("_metadata.file_path").alias("_file"),
+                F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_row"),
+            ]
+        parts.append(rows.select(*columns))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
     if not seq:
-        return rows.select(*columns, BAD_RECORD)
+        return rows
     place = ["_file", "_block", "_row"]
-    placed = rows.select(
-        *columns,
-        BAD_RECORD,
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    return sorted_rank(placed, place, seq).drop(*place)
+    return sorted_rank(rows, place, seq).drop(*place)
 
 
 def read_positional(spark, path, columns=COMBINED_COLUMNS, dialect=None):
@@ -88,25 +123,34 @@ def read_positional(spark, path, columns=COMBINED_COLUMNS, dialect=None):
     return rows.select(*[cells.blank_to_null(F.col(c)).alias(c) for c in columns])
 
 
-def read_weather_json(spark, path):
+def read_weather_json(spark, path, bad_records=False):
     """Landed payloads, one JSON object per line: the requested ``date`` (or the
     date of the first weather entry) and its weather. Whatever a payload lacks
-    is NULL; a payload without any date is dropped."""
+    is NULL; a payload without any date is dropped. With ``bad_records`` lines that
+    are no JSON stay visible in ``_bad_record``."""
     landed = T.StructType([T.StructField("date", T.StringType()), *WEATHER_PAYLOAD.fields])
-    rows = spark.read.schema(landed).option("mode", "PERMISSIVE").json(path)
+    rows = (
+        spark.read.schema(landed.add(BAD_RECORD, "string"))
+        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_RECORD)
+        .json(path)
+    )
     first = F.get("data.weather", F.lit(0))
     texts = [
         first["avgtempC"],
         first["precipMM"],
         F.get(first["hourly"], F.lit(0))["cloudcover"],
     ]
-    return rows.select(
+    read = rows.select(
         F.try_to_date(F.coalesce("date", first["date"]), "yyyy-M-d").alias("Date"),
         *[
             cells.no_nan(cells.blank_to_null(t, NA_TOKENS).try_cast("double")).alias(n)
             for t, n in zip(texts, WEATHER)
         ],
-    ).where(F.col("Date").isNotNull())
+        BAD_RECORD,
+    )
+    if bad_records:
+        return read.where(F.col("Date").isNotNull() | F.col(BAD_RECORD).isNotNull())
+    return read.where(F.col("Date").isNotNull()).drop(BAD_RECORD)
 
 
 def read_run_log(spark, path):

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 from test_merge import SCHEMA, as_rows, random_inspections
 
 from fieldspark import jobs
-from fieldspark.operators import model
+from fieldspark.operators import boxplot, evaluate, features, model, sequence, stats
+from fieldspark.operators.merge import merge_insert_only
+from fieldspark.operators.stats import fit_dictionaries
 from fieldspark.plans import training
 from fieldspark.plans.combined import build_combined, expand_inspections
 from fieldspark.schema import COMBINED_COLUMNS
@@ -252,3 +254,90 @@ def test_file_jobs(spark, tmp_path):
     scores = spark.read.parquet(f"{p['run']}/scores").collect()
     assert sum(r["n"] for r in scores) == counts["after"]
     assert spark.read.parquet(f"{p['run']}/history").where("is_last").first()["epoch"] == 2
+
+
+def test_jobs_keep_other_columns_and_formats(spark, tmp_path):
+    """A column the schema does not name goes through every job, in CSV and Parquet."""
+    header = "SiteID,WetlandType,MosquitoRank,CattailMosquito,CulexFound,TreatedBy,Date,Wetness,Action,DipCount,Material,Notes"
+    first = [f"s{i % 3},1,High,Yes,,Ann,05/{10 + i:02d}/2024,{i % 4},Pump,0.{i},Bti,note {i % 4}" for i in range(12)]
+    later = ["s9,1,High,Yes,,Ann,05/20/2024,2,Pump,0.5,Bti,late"]
+    for name, lines in (("in.csv", first), ("more.csv", later)):
+        (tmp_path / name).write_text("\n".join([header, *lines]) + "\n")
+    day = datetime.date(2024, 5, 1)
+    weather_lines = [
+        {"date": f"{day + datetime.timedelta(days=n):%Y-%m-%d}", "data": {"weather": [{"avgtempC": str(n), "precipMM": "1", "hourly": [{"cloudcover": "5"}]}]}}
+        for n in range(0, 30, 2)
+    ]
+    (tmp_path / "w.json").write_text("\n".join(map(json.dumps, weather_lines)))
+    land, more, days = (str(tmp_path / n) for n in ("in.csv", "more.csv", "w.json"))
+    for fmt in ("csv", "parquet"):
+        v1, v2, v3, v4, run = (str(tmp_path / f"{fmt}-{n}") for n in ("v1", "v2", "v3", "v4", "run"))
+        jobs.combine(spark, land, days, v1, fmt=fmt)
+        jobs.combine(spark, more, days, v2, existing=v1, fmt=fmt)
+        rows = jobs.read_combined(spark, v2, fmt)
+        assert rows.columns == [*COMBINED_COLUMNS, "Notes"]
+        assert rows.count() == jobs.read_combined(spark, v1, fmt).count() + 5
+        assert {r["Notes"] for r in rows.where("SiteID = 's9'").collect()} == {"late"}
+        jobs.backfill(spark, v2, days, v3, fmt)
+        counts = jobs.filter_excess(spark, v3, v4, fmt)
+        kept = jobs.read_combined(spark, v4, fmt)
+        assert "Notes" in kept.columns and kept.count() == counts["after"]
+        encoded, _, site = training.encode(kept)
+        assert any(c.startswith("Notes_note") for c in site)
+
+
+def test_more_categories_than_a_table_had_columns(spark):
+    rows = spark.range(2600).select(F.format_string("v%05d", "id").alias("c"))
+    codes = fit_dictionaries(rows, ["c"])
+    first = features.one_hot_columns(rows.where("c = 'v00007'"), ["c"], codes).first()
+    assert len(first) == 2600 and sum(first) == 1 and first["c_v00007"] == 1
+
+
+def test_every_group_is_assembled(spark):
+    rows = [("a", datetime.date(2024, 5, d), 1.0, 1.0, 1.0) for d in range(1, 6)] * 2
+    table = spark.createDataFrame(rows, "k string, Date date, Temperature double, Precipitation double, CloudCoverage double")
+    got = sequence.assemble_sequence(table, ["k"]).first()
+    assert got["sequence_days"] == 10 and not got["sequence_complete"]
+
+
+def test_constant_columns_correlate_with_nothing(spark):
+    rows = spark.range(1000).select(F.lit(0.1).alias("x"), F.col("id").cast("double").alias("y"))
+    got = {(r["x"], r["y"]): r["r"] for r in stats.correlation_matrix(rows, ["x", "y"]).collect()}
+    assert got == {("x", "x"): None, ("x", "y"): None, ("y", "x"): None, ("y", "y"): 1.0}
+
+
+def test_missing_labels_are_no_hits_and_have_no_loss(spark):
+    rows = [([0.9, 0.1], 0, 0), ([0.2, 0.8], 1, None), ([0.5, 0.5], None, None), ([0.3, 0.7], 1, 7)]
+    table = spark.createDataFrame(rows, "probability array<double>, predicted int, label int")
+    accuracy = evaluate.accuracy(table).first()
+    whole = evaluate.evaluate(table.withColumn("split", F.lit("s"))).first()
+    loss = evaluate.log_loss(table, plus_epsilon=True).first()
+    assert (accuracy["n"], accuracy["accuracy"]) == (4, 0.25) == (whole["n"], whole["accuracy"])
+    assert whole["n_scored"] == loss["n_scored"] == 1
+
+
+def test_a_site_without_a_name_has_a_box(spark):
+    rows = [(None, float(i)) for i in range(9)] + [("a", 1.0)]
+    got = {r["s"]: r["median"] for r in boxplot.boxplot_stats(spark.createDataFrame(rows, "s string, x double"), "x", "s").collect()}
+    assert got == {None: 4.0, "a": 1.0}
+
+
+def test_existing_rows_are_not_shuffled_for_a_small_delivery(spark):
+    existing = spark.range(5000).select(
+        F.format_string("s%d", F.col("id") % 50).alias("SiteID"),
+        F.date_add(F.lit(datetime.date(2020, 1, 1)), (F.col("id") / 50).cast("int")).alias("Date"),
+        F.lit(True).alias("is_recorded"),
+        F.col("id").alias("seq"),
+        F.col("id").alias("payload"),
+    )
+    new = existing.limit(20).withColumn("SiteID", F.lit("new"))
+    merged = merge_insert_only(existing, new, "seq", existing_unique=True)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert merged.count() == existing.count() + merged.where("SiteID = 'new'").count()
+
+
+def test_exact_split_moves_no_row(spark):
+    rows = spark.range(1000).withColumn("payload", F.lit("x"))
+    plan = sequence.exact_split(rows, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan

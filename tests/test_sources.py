@@ -37,6 +37,30 @@ def test_repeated_header_means_the_last_one(spark, tmp_path):
     assert read_inspections(spark, path, ABC).drop("_bad_record").collect() == [("3", "2", None)]
 
 
+def test_a_name_that_ends_in_its_position_is_no_repeat(spark, tmp_path):
+    path = land(tmp_path, "SiteID,Date,x,y,z,w,Date6\ns,d,1,2,3,4,other\n")
+    row = read_inspections(spark, path, text_schema(["SiteID", "Date"]), others=True).first()
+    assert row["Date"] == "d" and row["Date6"] == "other"
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    land(tmp_path, "SiteID,Action\ns1,Pump\n", "a.csv")
+    land(tmp_path, "Action,SiteID,Notes\nDredge,s2,n\n", "b.csv")
+    schema = text_schema(["SiteID", "Action"])
+    with pytest.raises(Exception, match="(?i)header"):
+        read_inspections(spark, str(tmp_path), schema).collect()
+    rows = read_inspections(spark, str(tmp_path), schema, mixed_headers=True, others=True, seq="seq")
+    got = [(r["SiteID"], r["Action"], r["Notes"]) for r in rows.orderBy("seq").collect()]
+    assert got == [("s1", "Pump", None), ("s2", "Dredge", "n")]
+
+
+def test_unreadable_weather_lines_stay_visible(spark, tmp_path):
+    path = land(tmp_path, '{"date": "2024-05-01", "data": {"weather": []}}\n{broken\n', "w.json")
+    assert read_weather_json(spark, path).count() == 1
+    rows = read_weather_json(spark, path, bad_records=True).collect()
+    assert sorted(r["_bad_record"] or "" for r in rows) == ["", "{broken"]
+
+
 def test_file_order_over_files_and_partitions(spark, tmp_path):
     for n in range(4):
         land(tmp_path, "a\n" + "".join(f"{n * 100 + i}\n" for i in range(100)), f"part-{n}.csv")
