@@ -30,7 +30,8 @@ from fieldspark.storage import broadcast_if_small, cut_lineage, new_path
 
 WORDS = 4
 PERCENT = 85
-BATCH = 4 << 20
+# Tables of powers are as long as a batch and stay in the worker.
+BATCH = 1 << 20
 SIGNATURE_BUCKET_BYTES = 48 << 20
 # So many sketches are compared in one task.
 SKETCHES = 1 << 15
@@ -55,7 +56,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n):
     if n > len(_POWERS[0]):
-        size = max(n, 2 * len(_POWERS[0]))
+        size = n + (n >> 3)
         for i, base in enumerate((BASE, INVERSE)):
             grown = np.full(size, base, dtype=np.uint64)
             grown[0] = 1

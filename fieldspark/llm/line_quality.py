@@ -27,6 +27,7 @@ from fieldspark.llm.common import (
 # of their id, and so many lines of them; the rest of a longer document is left out
 # of learning only.
 SAMPLE_DOCS = 4000
+BATCH = 2 << 20
 SAMPLE_LINES = 400
 STEPS = 120
 FEATURES = (
@@ -278,7 +279,7 @@ def train(docs, labels, sample_docs=SAMPLE_DOCS, steps=STEPS):
             "sizes": [size[k].tobytes() for k in kept],
         }
 
-    rows = map_batches(texts, extract, "doc_id long, quality int, features binary, sizes binary")
+    rows = map_batches(texts, extract, "doc_id long, quality int, features binary, sizes binary", BATCH)
     rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.features))[: 2 * sample_docs]
     if not rows:
         return None
@@ -312,6 +313,7 @@ def score(docs, model):
         ids_and_texts(docs),
         lambda batch: {"doc_id": batch.column(0), "score": _scores(model, batch.column(1))},
         "doc_id long, score double",
+        BATCH,
     )
 
 
@@ -325,7 +327,7 @@ def keep_good(docs, model, threshold=0.5, text_col="text"):
                 texts = batch.column(place).fill_null("")
                 yield batch.filter(pa.array(_scores(model, texts) >= threshold))
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, BATCH)
     return docs.mapInArrow(keep, docs.schema)
 
 
@@ -345,4 +347,4 @@ def line_labels(docs, model):
                     "good": good,
                 }
 
-    return iterate_batches(ids_and_texts(docs), run, "doc_id long, line long, good double")
+    return iterate_batches(ids_and_texts(docs), run, "doc_id long, line long, good double", BATCH)

@@ -34,7 +34,7 @@ LENGTH = 50
 SEED = 24
 # Segments of one owner are cut after so many strings (periodic texts).
 MOST_STRINGS = 256
-PACK_BYTES = 2 << 20
+PACK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 # Segments of so many bytes, whole owners at a time, are sorted together.
 SORTED_BYTES = 1 << 20
