@@ -1,5 +1,7 @@
 """What several operators of this subpackage share."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -44,10 +46,20 @@ def map_batches(df, fn, schema, max_bytes=BATCH_BYTES):
             if columns is not None:
                 arrays = [_array(columns[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back():
+    """Return memory that the task has freed to the system: workers serve many tasks,
+    of other operators too, and share the executor's memory with each other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def iterate_batches(df, fn, schema, max_bytes=BATCH_BYTES):
     """``fn(iterator of batches) -> iterator of dicts of columns`` per partition."""
     bound_batches(df.sparkSession, max_bytes)
@@ -57,6 +69,7 @@ def iterate_batches(df, fn, schema, max_bytes=BATCH_BYTES):
         for columns in fn(batches):
             arrays = [_array(columns[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

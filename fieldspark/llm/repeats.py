@@ -27,7 +27,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import iterate_batches, map_batches, mix, text_bytes
+from fieldspark.llm.common import give_back, iterate_batches, map_batches, mix, text_bytes
 from fieldspark.storage import new_path
 
 LENGTH = 50
@@ -521,6 +521,7 @@ def remove_repeats(docs, id_col="doc_id", text_col="text"):
                 found = _marks(row["answered"], row["answers"])
                 marks = _marks(row["buckets"], row["marks"]) if found else {}
                 yield _cleaned(pack, _remove(pack, marks, found))
+        give_back()
 
     joined = packs.join(marks, "pack", "left").join(answers, "pack", "left")
     return joined.mapInArrow(clean, out_schema)
@@ -568,6 +569,8 @@ def _by_bucket(df, fn, schema):
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(rows):
-        return pd.DataFrame(fn({c: rows[c].tolist() for c in rows.columns}), columns=names)
+        found = pd.DataFrame(fn({c: rows[c].tolist() for c in rows.columns}), columns=names)
+        give_back()
+        return found
 
     return df.groupBy("bucket").applyInPandas(run, schema)
