@@ -281,3 +281,40 @@ def training_features(spark, sf_dir):
         "ordinal",
         "wetness",
     )
+
+
+TRAINING_VIEWS = {
+    "numbered": """SELECT *, CASE WHEN draw < 70 THEN 'train' WHEN draw < 85 THEN 'validation' ELSE 'test' END AS split
+      FROM (SELECT *, CAST('0x' || substr(md5('42-' || "SiteID" || '-' || CAST("Date" AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS draw FROM combined)""",
+    "codes": """SELECT "SiteID", row_number() OVER (ORDER BY "SiteID") - 1 AS code
+      FROM (SELECT DISTINCT "SiteID" FROM numbered WHERE split = 'train')""",
+    "numbers": """SELECT n."SiteID", n."Date", split, unnest(['Temperature', 'Precipitation', 'CloudCoverage', 'DateOrdinal', 'Month', 'Day', 'Year',
+        'SiteCode', 'WetlandType', 'Wetness']) AS name,
+      unnest([coalesce("Temperature", 0), coalesce("Precipitation", 0), coalesce("CloudCoverage", 0), n."Date" - DATE '1970-01-01' + 719163,
+        month(n."Date"), day(n."Date"), year(n."Date"), coalesce(code, -1), coalesce("WetlandType", 0), coalesce("Wetness", 0)]) AS x
+      FROM numbered n LEFT JOIN codes USING ("SiteID")""",
+    "texts": """SELECT "SiteID", "Date", split, unnest(['MosquitoRank', 'CattailMosquito', 'CulexFound', 'TreatedBy', 'Action', 'Material']) AS col,
+      unnest([coalesce("MosquitoRank", 'Missing'), coalesce("CattailMosquito", 'Missing'), coalesce("CulexFound", 'Missing'),
+        coalesce("TreatedBy", 'Missing'), coalesce("Action", 'Missing'), coalesce("Material", 'Missing')]) AS v FROM numbered""",
+    "flags": """SELECT t."SiteID", t."Date", t.split, t.col || '_' || d.v AS name, CASE WHEN t.v = d.v THEN 1 ELSE 0 END AS x
+      FROM texts t JOIN (SELECT DISTINCT col, v FROM texts WHERE split = 'train') d ON t.col = d.col""",
+    "inputs": "SELECT * FROM numbers UNION ALL SELECT * FROM flags",
+    "fitted": """SELECT name, avg(x) AS mean, CASE WHEN min(x) < max(x) THEN stddev_pop(x) ELSE 1 END AS spread
+      FROM inputs WHERE split = 'train' GROUP BY 1""",
+}
+
+
+@query(
+    "training_matrix",
+    with_views(
+        "combined",
+        f"""SELECT "SiteID", "Date", name, {sql6("(x - mean) / spread")} AS value FROM inputs JOIN fitted USING (name)""",
+        **TRAINING_VIEWS,
+    ),
+)
+def training_matrix(spark, sf_dir):
+    """Every element of the standardised matrices, by the name of its column."""
+    m = training.matrices(cut_lineage(combined(spark, sf_dir)))
+    names = F.array(*map(F.lit, m.weather_columns + m.site_columns))
+    cells = m.rows.select(*KEYS, F.posexplode("features").alias("_at", "value"))
+    return rounded(cells.select(*KEYS, F.get(names, F.col("_at")).alias("name"), "value"), "value")

@@ -55,10 +55,9 @@ def _conformed(spark, path, fmt):
 
 def _in_order(rows):
     """Known columns first, then the others; not the helpers of a merge."""
-    helpers = {"seq", "is_recorded", "inspected_on", "_bad_record"}
     return rows.select(
         *COMBINED_COLUMNS,
-        *[F.col(f"`{c}`") for c in rows.columns if c not in {*COMBINED_COLUMNS, *helpers}],
+        *[F.col(f"`{c}`") for c in rows.columns if c not in {*COMBINED_COLUMNS, *training.HELPERS}],
     )
 
 

@@ -13,7 +13,7 @@ def label_encode(df, col, order="sorted", order_col=None, out=None):
     return apply_dictionary(df, fit_dictionary(df, col, order, order_col), col, out)
 
 
-def _categories(dictionary, cols, max_card):
+def categories(dictionary, cols, max_card=None):
     """Values per column in code order; with ``max_card`` they are counted first."""
     if max_card is not None:
         sizes = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}
@@ -33,7 +33,7 @@ def one_hot_columns(df, cols, dictionary, max_card=None):
     planning; the rows then need one projection and no join. For more values
     than a table can have columns use ``one_hot_vectors``.
     """
-    values = _categories(dictionary, cols, max_card)
+    values = categories(dictionary, cols, max_card)
     kept = [F.col(c) for c in df.columns if c not in cols]
     flags = [
         F.col(c).eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}") for c in cols for v in values[c]

@@ -1,5 +1,6 @@
 """From the combined table to feature matrices, a model and its scores."""
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions.cells import no_nan
+from fieldspark.functions.vectors import let
 from fieldspark.operators import calendar, clean, features, model, order
 from fieldspark.operators.evaluate import evaluate
 from fieldspark.operators.merge import apply_dictionary
@@ -18,6 +20,8 @@ from fieldspark.storage import cut_lineage
 LABEL = "Breeding"
 SITE_CODE = "SiteCode"
 UNKNOWN_SITE = -1
+# Columns of a merge that say nothing about a site.
+HELPERS = ("seq", "is_recorded", "inspected_on", "_bad_record")
 
 
 @dataclass
@@ -42,17 +46,20 @@ def day_series(rows, days):
     return series.withColumns(columns).drop("_series"), list(columns)
 
 
-def encode(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
-    """Label, date numbers, site code and one 0/1 column per category value.
+@dataclass
+class Coded:
+    """Filled rows with date numbers and site code, before categories are encoded."""
 
-    The count that defines the label is left out of the inputs unless
-    ``keep_label_source``. Dictionaries are fitted on the training part unless
-    ``fit_on`` is "all"; a site they do not know gets the code -1. With ``days``
-    above 1 the weather family also holds that many days as a series. Columns that
-    the combined table does not name are site features too: text as categories,
-    numbers as numbers. Returns the table, the weather columns and the site columns.
-    """
-    known = {*KEYS, *CATEGORIES, *SITE_NUMBERS, *WEATHER}
+    rows: DataFrame
+    seen: DataFrame
+    dictionary: DataFrame
+    categories: list
+    series: list
+
+
+def coded_rows(combined, seed=42, fit_on="train", days=1):
+    """Label, split, date numbers and site code; dictionaries of the categories."""
+    known = {*KEYS, *CATEGORIES, *SITE_NUMBERS, *WEATHER, *HELPERS}
     others = {f.name: f.dataType for f in combined.schema if f.name not in known}
     texts = [c for c, kind in others.items() if kind.simpleString() == "string"]
     numbers = [c for c, kind in others.items() if isinstance(kind, T.NumericType)]
@@ -68,26 +75,83 @@ def encode(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
     )
     seen = filled.where(F.col("split") == "train") if fit_on == "train" else filled
     dictionary = cut_lineage(fit_dictionaries(seen, ["SiteID", *categories]))
-    coded = apply_dictionary(filled, dictionary, "SiteID", SITE_CODE)
-    coded = coded.fillna(UNKNOWN_SITE, [SITE_CODE])
-    encoded = features.one_hot_columns(coded, categories, dictionary)
-    dropped = [*KEYS, "split"] if keep_label_source else [*KEYS, "split", "DipCount"]
-    weather, site = clean.split_features(encoded, LABEL, [*dropped, *series])
-    return encoded, series + weather, sorted(site, key=lambda c: c != SITE_CODE)
+    coded = apply_dictionary(filled, dictionary, "SiteID", SITE_CODE).fillna(UNKNOWN_SITE, [SITE_CODE])
+    seen = coded.where(F.col("split") == "train") if fit_on == "train" else coded
+    return Coded(coded, seen, dictionary, categories, series)
+
+
+def _families(rows, series, keep_label_source, categories=()):
+    dropped = [*KEYS, "split", *categories] if keep_label_source else [*KEYS, "split", "DipCount", *categories]
+    weather, site = clean.split_features(rows, LABEL, [*dropped, *series])
+    return series + weather, sorted(site, key=lambda c: c != SITE_CODE)
+
+
+def encode(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
+    """Label, date numbers, site code and one 0/1 column per category value.
+
+    The count that defines the label is left out of the inputs unless
+    ``keep_label_source``. Dictionaries are fitted on the training part unless
+    ``fit_on`` is "all"; a site they do not know gets the code -1. With ``days``
+    above 1 the weather family also holds that many days as a series. Columns that
+    the combined table does not name are site features too: text as categories,
+    numbers as numbers. Returns the table, the weather columns and the site columns.
+    """
+    c = coded_rows(combined, seed, fit_on, days)
+    encoded = features.one_hot_columns(c.rows, c.categories, c.dictionary)
+    return encoded, *_families(encoded, c.series, keep_label_source)
+
+
+def _scaled_categories(coded):
+    """Per category one array: the standardised 0/1 value of every dictionary value.
+
+    Shares come from one count per value; nothing is as wide as the dictionary but
+    the array itself, which holds two numbers a value as constants. Returns the
+    expressions and the names of the elements.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in coded.categories]))
+    counts = coded.seen.select(cells.alias("_cell")).groupBy("_cell.column", "_cell.value").agg(F.count(F.lit(1)).alias("n"))
+    shares = {(r["column"], r["value"]): r["n"] for r in counts.collect()}
+    total = coded.seen.count()
+    values = features.categories(coded.dictionary, coded.categories)
+    arrays, names = [], []
+    for c in coded.categories:
+        absent, present = [], []
+        for v in values[c]:
+            share = shares.get((c, v), 0) / total if total else 0.0
+            spread = math.sqrt(share * (1 - share)) or 1.0
+            absent.append(-share / spread)
+            present.append((1 - share) / spread)
+            names.append(f"{c}_{v}")
+        if values[c]:
+            arrays.append(_scaled_flags(F.col(c), values[c], absent, present))
+    return arrays, names
+
+
+def _scaled_flags(value, values, absent, present):
+    """``absent`` with the entry of the row's value taken from ``present``."""
+    zeros, ones = F.array(*map(F.lit, absent)), F.array(*map(F.lit, present))
+
+    def at(place):
+        return F.transform(zeros, lambda x, i: F.when(i == place, F.get(ones, i)).otherwise(x))
+
+    return let(F.array_position(F.array(*map(F.lit, values)), value) - 1, at)
 
 
 def matrices(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
-    """Standardised weather and site arrays per row, and both joined."""
-    encoded, weather, site = encode(combined, seed, keep_label_source, fit_on, days)
-    seen = encoded.where(F.col("split") == "train") if fit_on == "train" else encoded
-    scaled = features.standardize(encoded, fit_standardizer(seen, weather + site))
+    """Standardised weather and site arrays per row, and both joined. Categories go
+    straight into the site array: no table has a column per value."""
+    coded = coded_rows(combined, seed, fit_on, days)
+    weather, numbers = _families(coded.rows, coded.series, keep_label_source, coded.categories)
+    scaled = features.standardize(coded.rows, fit_standardizer(coded.seen, weather + numbers))
+    arrays, names = _scaled_categories(coded)
     rows = features.assemble_vector(scaled, weather, "weather")
-    rows = features.assemble_vector(rows, site, "site")
+    rows = features.assemble_vector(rows, numbers, "_numbers")
+    rows = rows.withColumn("site", F.concat("_numbers", *arrays))
     rows = features.assemble_vector(rows, ["weather", "site"], "features")
     return Matrices(
         rows.select(*KEYS, "split", F.col(LABEL).alias("label"), "weather", "site", "features"),
         weather,
-        site,
+        [*numbers, *names],
     )
 
 
