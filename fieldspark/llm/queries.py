@@ -123,7 +123,42 @@ def op9_top_k(spark, sf_dir):
     )
 
 
-@query("op10_remove_repeats")
+@query(
+    "op10_remove_repeats",
+    """
+    WITH d AS (
+      SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), n AS (
+      SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d
+    ), s AS (
+      SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+      FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM n WHERE n >= 50)
+    ), f AS (
+      SELECT g, min(doc_id) AS first_id FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)
+    ), hit AS (
+      SELECT s.doc_id, s.i FROM s JOIN f ON s.g = f.g WHERE s.doc_id > f.first_id
+    ), cut AS (
+      SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh
+      FROM hit
+    ), numbered AS (
+      SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cut
+    ), runs AS (
+      SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, k
+    ), sums AS (
+      SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last FROM runs GROUP BY doc_id
+    ), pieces AS (
+      SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM runs
+      UNION ALL
+      SELECT sums.doc_id, last, n FROM sums JOIN n ON n.doc_id = sums.doc_id
+    ), kept AS (
+      SELECT pieces.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS h
+      FROM pieces JOIN n ON n.doc_id = pieces.doc_id GROUP BY pieces.doc_id
+    )
+    SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+    FROM n LEFT JOIN sums ON sums.doc_id = n.doc_id LEFT JOIN kept ON kept.doc_id = n.doc_id
+    """,
+)
 def op10_remove_repeats(spark, sf_dir):
     """Every document without the 50-byte strings that an earlier document has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
