@@ -190,7 +190,8 @@ class Model:
 
 def train(docs, sample=SAMPLE_PARAGRAPHS):
     """A model for the corpus ``docs``; the templates alone if it is empty."""
-    rows = cut_lineage(_vectors(training_rows(docs, sample)))
+    # A bounded sample: in two tasks, so that a step of the solver sums two gradients.
+    rows = cut_lineage(_vectors(training_rows(docs, sample)).coalesce(2))
     fold = F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(5))
     weights = F.when(F.col("label") == 0, 0.2).otherwise(1.0)
     regression = LogisticRegression(
