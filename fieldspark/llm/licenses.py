@@ -1,16 +1,24 @@
-"""Licence notices in documents: a trained paragraph classifier, confirmed by templates.
+"""Licence notices in documents: a trained window classifier, confirmed by templates.
 
 Paragraphs are lines. Their words and pairs of neighbouring words are counted into a
 sparse vector, and a multinomial logistic regression gives the probability of every
-licence family and of "unknown". It learns families from windows of the templates
-below and "unknown" from a bounded sample of the corpus's own paragraphs that are
+kind of licence and of "unknown". It learns kinds from windows of the templates below
+and "unknown" from a bounded sample of the corpus's own paragraphs that are
 unlike all templates. On a part held back, the scale of the scores is fitted, so that
-a probability means what it says. A family that wins is compared with its templates:
-the share of the paragraph's word pairs that they have confirms it or not.
+a probability means what it says.
+
+A paragraph is scored whole and, where enough of its word pairs are known, in windows
+of several sizes, so a notice is found inside a longer line. A kind that wins is
+compared with its templates in both directions: the share of the window's word pairs
+that the kind's templates have, and the share of a template's that the window has.
+Names, versions and variants (nc, nd, sa, lesser, affero, 2 or 3) must be the same in
+both, and none may stand right outside the window.
 
 Everything runs on DataFrame functions and Spark ML.
 """
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -20,59 +28,263 @@ from fieldspark.llm.common import ids_and_texts, let
 from fieldspark.storage import cut_lineage
 
 UNKNOWN = "unknown"
-# Short notices and opening sentences of public licences: fixed values.
+# Ways to name a licence in a notice.
+PATTERNS = [
+    "{}",
+    "Licensed under {}.",
+    "Licensed under the {}.",
+    "Released under the {}.",
+    "Available under the {}.",
+    "This work is licensed under the {}.",
+    "This project is licensed under the terms of the {}.",
+    "This software is distributed under the terms of the {}.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {}",
+]
+
+
+def _creative_commons():
+    """Names of the six licences in the versions 2.0 to 4.0."""
+    variants = {
+        "by": "Attribution",
+        "by-nc": "Attribution-NonCommercial",
+        "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+        "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+        "by-nd": "Attribution-NoDerivatives",
+        "by-sa": "Attribution-ShareAlike",
+    }
+    for code, name in variants.items():
+        for version, port in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+            yield f"cc-{code}-{version}", (
+                "cc",
+                [f"Creative Commons {name} {version} {port} License", f"CC {code.upper()} {version}"],
+                [
+                    f"This work is licensed under a Creative Commons {name} {version} {port} License.",
+                    f"This work is licensed under a Creative Commons {name} {version} License.",
+                    f"http://creativecommons.org/licenses/{code}/{version}/",
+                ],
+            )
+
+
+def _gnu():
+    """Names and notices of the general, lesser and affero licences."""
+    for code, name, versions in (
+        ("gpl", "General", ("2", "3")),
+        ("lgpl", "Lesser General", ("2.1", "3")),
+        ("agpl", "Affero General", ("3",)),
+    ):
+        for version in versions:
+            full = f"GNU {name} Public License"
+            spdx = f"{code.upper()}-{version if '.' in version else version + '.0'}"
+            yield spdx.lower(), (
+                "gnu",
+                [
+                    f"{full}, version {version}",
+                    f"{full} v{version}",
+                    f"{code.upper()} v{version}",
+                    f"{code.upper()}v{version}",
+                    f"GNU {code.upper()} version {version}",
+                    spdx,
+                ],
+                [
+                    *(
+                        f"This {thing} is free software: you can redistribute it and/or modify it under the terms "
+                        f"of the {full} as published by the Free Software Foundation, either version {version} of "
+                        "the License, or (at your option) any later version."
+                        for thing in ("program", "library")
+                    ),
+                    f"under the terms of the {full} version {version} as published by the Free Software Foundation",
+                    *(f"SPDX-License-Identifier: {spdx}{end}" for end in ("", "-or-later", "-only")),
+                ],
+            )
+
+
+# Kind, names and notices of public licences: fixed values.
+LICENCES = {
+    "apache-1.1": ("apache", ["Apache License, Version 1.1", "Apache Software License, Version 1.1"], []),
+    "apache-2.0": (
+        "apache",
+        ["Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0", "Apache-2.0"],
+        [
+            "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+            "except in compliance with the License. You may obtain a copy of the License at "
+            "http://www.apache.org/licenses/LICENSE-2.0",
+            "Unless required by applicable law or agreed to in writing, software distributed under the "
+            "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+            "either express or implied.",
+            "SPDX-License-Identifier: Apache-2.0",
+        ],
+    ),
+    "artistic-2.0": ("artistic", ["Artistic License 2.0", "Artistic-2.0"], ["SPDX-License-Identifier: Artistic-2.0"]),
+    # The sentence that the two, three and four clause licences share.
+    "bsd": (
+        "bsd",
+        [],
+        [
+            "Redistribution and use in source and binary forms, with or without modification, are "
+            "permitted provided that the following conditions are met:",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions "
+            "and the following disclaimer.",
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+            "and the following disclaimer in the documentation and/or other materials provided with the "
+            "distribution.",
+        ],
+    ),
+    "bsd-2-clause": (
+        "bsd",
+        ["BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"],
+        ["SPDX-License-Identifier: BSD-2-Clause"],
+    ),
+    "bsd-3-clause": (
+        "bsd",
+        ["BSD 3-Clause License", "New BSD License", "BSD-3-Clause"],
+        [
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+            "or promote products derived from this software without specific prior written permission.",
+            "SPDX-License-Identifier: BSD-3-Clause",
+        ],
+    ),
+    "bsl-1.0": (
+        "boost",
+        ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"],
+        [
+            "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt "
+            "or copy at http://www.boost.org/LICENSE_1_0.txt)",
+            "SPDX-License-Identifier: BSL-1.0",
+        ],
+    ),
+    **dict(_creative_commons()),
+    "cc0-1.0": (
+        "cc0",
+        ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0", "CC0-1.0"],
+        [
+            "To the extent possible under law, the author has waived all copyright and related or neighboring "
+            "rights to this work.",
+            "https://creativecommons.org/publicdomain/zero/1.0/",
+            "SPDX-License-Identifier: CC0-1.0",
+        ],
+    ),
+    "epl-1.0": ("eclipse", ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "EPL-1.0"], []),
+    "epl-2.0": (
+        "eclipse",
+        ["Eclipse Public License 2.0", "Eclipse Public License v. 2.0", "Eclipse Public License v2.0", "EPL-2.0"],
+        [
+            "This program and the accompanying materials are made available under the terms of the Eclipse "
+            "Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+            "SPDX-License-Identifier: EPL-2.0",
+        ],
+    ),
+    **dict(_gnu()),
+    "isc": (
+        "isc",
+        ["ISC License"],
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+            "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+            "in all copies.",
+            "SPDX-License-Identifier: ISC",
+        ],
+    ),
+    "mit": (
+        "mit",
+        ["MIT License", "MIT License (MIT)"],
+        [
+            "Licensed under MIT.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+            "and associated documentation files (the \"Software\"), to deal in the Software without "
+            "restriction",
+            "The above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the Software.",
+            "SPDX-License-Identifier: MIT",
+        ],
+    ),
+    "mit-0": ("mit", ["MIT No Attribution License", "MIT-0 License"], ["SPDX-License-Identifier: MIT-0"]),
+    "mpl-1.1": (
+        "mozilla",
+        ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL-1.1"],
+        ["SPDX-License-Identifier: MPL-1.1"],
+    ),
+    "mpl-2.0": (
+        "mozilla",
+        ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
+        [
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+            "If a copy of the MPL was not distributed with this file, You can obtain one at "
+            "https://mozilla.org/MPL/2.0/.",
+            "SPDX-License-Identifier: MPL-2.0",
+        ],
+    ),
+    "unlicense": (
+        "unlicense",
+        ["The Unlicense"],
+        [
+            "This is free and unencumbered software released into the public domain.",
+            "SPDX-License-Identifier: Unlicense",
+        ],
+    ),
+    "zlib": (
+        "zlib",
+        ["zlib License"],
+        [
+            "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+            "authors be held liable for any damages arising from the use of this software.",
+            "SPDX-License-Identifier: Zlib",
+        ],
+    ),
+}
 TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
-        "except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the "
-        "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
-        "either express or implied.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "bsd-3-clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met:",
-        "Released under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ],
-    "cc-by-4.0": [
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY 4.0.",
-    ],
-    "cc-by-nc-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International "
-        "License.",
-    ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of "
-        "the GNU General Public License as published by the Free Software Foundation, either version "
-        "3 of the License, or (at your option) any later version.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ],
-    "mit": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-        "and associated documentation files (the \"Software\"), to deal in the Software without "
-        "restriction",
-        "SPDX-License-Identifier: MIT",
-    ],
-    "mpl-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
+    family: [*(p.format(name) for name in names for p in PATTERNS), *notices]
+    for family, (_, names, notices) in LICENCES.items()
+}
+KINDS = [UNKNOWN, *sorted({kind for kind, _, _ in LICENCES.values()})]
+# Words, and pairs of words, that name a licence or its variant, and what they stand
+# for. A version's ".0" is left out: "version 2" and "2.0" are the same.
+QUALIFIERS = {
+    "nc": ["nc"],
+    "noncommercial": ["nc"],
+    "non commercial": ["nc"],
+    "nd": ["nd"],
+    "noderivatives": ["nd"],
+    "noderivs": ["nd"],
+    "no derivatives": ["nd"],
+    "sa": ["sa"],
+    "sharealike": ["sa"],
+    "share alike": ["sa"],
+    "lesser": ["lesser"],
+    "affero": ["affero"],
+    "no attribution": ["mit-0"],
+    "mit 0": ["mit-0"],
+    **{str(n): [str(n)] for n in range(1, 10)},
+    **{f"v{n}": [str(n)] for n in range(1, 10)},
+}
+MARKS = {
+    **QUALIFIERS,
+    "simplified bsd": ["2"],
+    "new bsd": ["3"],
+    "general public": ["gpl"],
+    "gpl": ["gpl"],
+    "lgpl": ["gpl", "lesser"],
+    "agpl": ["gpl", "affero"],
+    **{f"gplv{n}": ["gpl", str(n)] for n in (1, 2, 3)},
+    "lgplv2": ["gpl", "lesser", "2"],
+    "lgplv3": ["gpl", "lesser", "3"],
+    "agplv3": ["gpl", "affero", "3"],
+    "creative commons": ["cc"],
+    "creativecommons org": ["cc"],
+    "cc": ["cc"],
+    "cc0": ["cc", "zero", "1"],
+    "zero": ["zero"],
+    "mpl": ["mozilla"],
+    "epl": ["eclipse"],
+    "bsl": ["boost"],
+    **{n: [n] for n in "apache artistic boost bsd eclipse isc mit mozilla unlicense zlib".split()},
 }
-FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
 FEATURES = 1 << 14
 # "Unknown" is learned from at most so many paragraphs.
 SAMPLE_PARAGRAPHS = 20_000
-WINDOW_WORDS = (4, 6, 9, 14, 24)
-CONFIRMED = 0.5
-# A family less likely than this stays unknown.
+TRAINING_WORDS = (4, 6, 9, 14, 24)
+WINDOW_WORDS = (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 20, 24, 30, 36, 45, 55)
+CONFIRMED = 0.6
+# A kind less likely than this stays unknown.
 LEAST_PROBABILITY = 0.5
 SCALES = [0.1, 0.15, 0.25, 0.4, 0.6, 0.8, 1.0, 1.25, 1.6, 2.0]
 
@@ -98,23 +310,33 @@ def paragraphs(docs):
     )
 
 
-def _template_rows(spark):
-    rows = [(f, t) for f in FAMILIES[1:] for t in TEMPLATES[f]]
-    return spark.createDataFrame(rows, "family string, text string")
+def template_words(text):
+    """What ``words_of`` gives for a template, in Python."""
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-def _template_pairs(spark):
-    """All word pairs of each family's templates, one row a family."""
-    return (
-        _template_rows(spark)
-        .select("family", F.explode(pairs_of(words_of(F.col("text")))).alias("pair"))
-        .groupBy("family")
-        .agg(F.sort_array(F.collect_set("pair")).alias("template"))
-    )
+def template_pairs(words):
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def marks_of(words):
+    """Names, versions and variants among ``words``, in order of the alphabet."""
+    grams = words + template_pairs(words)
+    return sorted({m for g in grams for m in MARKS.get(g, [])})
+
+
+def _templates():
+    """Distinct templates as (kind, family, words)."""
+    rows = {(LICENCES[f][0], f, tuple(template_words(t))) for f in TEMPLATES for t in TEMPLATES[f]}
+    return [(k, f, list(w)) for k, f, w in sorted(rows)]
+
 
+def _known_pairs(kind=None):
+    return sorted({p for k, _, w in _templates() if kind in (None, k) for p in template_pairs(w)})
 
-def _known_pairs(spark):
-    return [r["pair"] for r in _template_pairs(spark).select(F.explode("template").alias("pair")).distinct().collect()]
+
+def _strings(values):
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
 
 def _share(words, pairs):
@@ -133,22 +355,11 @@ def _vectors(rows):
     return counted.transform(grams).drop("grams")
 
 
-def training_rows(docs, sample=SAMPLE_PARAGRAPHS):
-    """``words, label``: template windows of their families, sampled paragraphs of none."""
-    spark = docs.sparkSession
-    templates = _template_rows(spark).withColumn("words", words_of(F.col("text")))
-    n = F.size("words")
-    whole = templates.select("family", "words", F.lit(0).alias("size"))
-    windows = (
-        templates.withColumn("size", F.explode(F.array(*map(F.lit, WINDOW_WORDS))))
-        .where(n > F.col("size"))
-        .withColumn("at", F.explode(F.sequence(F.lit(1), n - F.col("size") + 1)))
-        .select("family", F.slice("words", F.col("at"), F.col("size")).alias("words"), "size")
-    )
-    label = F.create_map(*[x for i, f in enumerate(FAMILIES) for x in (F.lit(f), F.lit(float(i)))])
-    known = whole.unionByName(windows).select("words", label[F.col("family")].alias("label"))
-    every = F.array(*map(F.lit, _known_pairs(spark)))
-    picked = (
+def unlike_templates(docs, sample=SAMPLE_PARAGRAPHS):
+    """``words`` of the paragraphs with the smallest hashes, at most ``sample``, that are
+    unlike all templates."""
+    every = F.array(*map(F.lit, _known_pairs()))
+    return (
         paragraphs(docs)
         .select("text")
         .orderBy(F.xxhash64("text"), "text")
@@ -156,7 +367,20 @@ def training_rows(docs, sample=SAMPLE_PARAGRAPHS):
         .select(words_of(F.col("text")).alias("words"))
         .where((F.size("words") > 0) & (_share(F.col("words"), every) < 0.3))
     )
-    return known.unionByName(picked.select("words", F.lit(0.0).alias("label")))
+
+
+def training_rows(docs, sample=SAMPLE_PARAGRAPHS):
+    """``words, label``: template windows of their kinds, sampled paragraphs of none."""
+    kinds = {}
+    for kind, _, words in _templates():
+        kinds.setdefault(tuple(words), set()).add(kind)
+        for size in TRAINING_WORDS:
+            for at in range(len(words) - size + 1):
+                kinds.setdefault(tuple(words[at : at + size]), set()).add(kind)
+    # A window that several kinds have tells nothing.
+    known = [(list(w), float(KINDS.index(min(k)))) for w, k in sorted(kinds.items()) if len(k) == 1]
+    known = docs.sparkSession.createDataFrame(known, "words array<string>, label double")
+    return known.unionByName(unlike_templates(docs, sample).select("words", F.lit(0.0).alias("label")))
 
 
 class Model:
@@ -166,8 +390,8 @@ class Model:
         self.regression, self.scale = regression, scale
 
     def best(self, vectors):
-        """``vectors`` with ``best``: the place of the likeliest family among
-        ``FAMILIES``, from 1, and its probability."""
+        """``vectors`` with ``best``: the place of the likeliest kind among ``KINDS``,
+        from 1, and its probability."""
 
         def choose(raw):
             return let(
@@ -215,35 +439,124 @@ def train(docs, sample=SAMPLE_PARAGRAPHS):
     return Model(regression, min(known)[1] if known else 1.0)
 
 
+def _windows(words, known):
+    """The whole paragraph, and every window that begins and has enough pairs in
+    ``known`` to be confirmed: arrays of (at, n), ``at`` from 1."""
+
+    def around(flags):
+        total = F.size(flags) + 1
+
+        def sized(at):
+            sizes = F.array_distinct(
+                F.transform(F.array(*map(F.lit, WINDOW_WORDS)), lambda n: F.least(n, total - at + 1))
+            )
+            return F.transform(sizes, lambda n: F.struct(at.alias("at"), n.alias("n")))
+
+        def enough(w):
+            of = F.slice(flags, w["at"], w["n"] - 1)
+            return (w["n"] > 1) & (F.aggregate(of, F.lit(0), lambda t, x: t + x) >= CONFIRMED * (w["n"] - 1))
+
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1))), lambda i: F.get(flags, i - 1) == 1)
+        whole = F.array(F.struct(F.lit(1).alias("at"), total.alias("n")))
+        some = F.exists(flags, lambda x: x == 1)
+        found = F.flatten(F.transform(starts, lambda at: F.filter(sized(at), enough)))
+        return F.when(some, F.array_distinct(F.concat(whole, found))).otherwise(whole)
+
+    flags = F.transform(pairs_of(words), lambda p: F.when(p.isin(known), 1).otherwise(0))
+    return let(flags, around)
+
+
+def _marks(words):
+    """``marks_of`` as an expression."""
+    marks = F.create_map(*[x for k, v in MARKS.items() for x in (F.lit(k), _strings(v))])
+    grams = F.filter(F.concat(words, pairs_of(words)), lambda g: g.isin(list(MARKS)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(grams, lambda g: marks[g]))))
+
+
 def scan(docs, model):
     """Paragraphs that the classifier takes for a licence notice.
 
-    ``doc_id, paragraph, family, probability, similarity, confirmed``. A null or
-    blank text has no paragraph; null ids and repeated rows are reported row by row;
-    an empty table gives an empty result. Nothing is shuffled.
+    ``doc_id, paragraph, family, probability, similarity, confirmed``. A paragraph
+    with confirmed notices has a row for each licence they name; one that is taken
+    for a notice as a whole and has none confirmed has one row, with the family most
+    like it. A null or blank text has no paragraph; null ids and repeated rows are
+    reported row by row; an empty table gives an empty result. Only what the
+    classifier found is shuffled.
     """
     spark = docs.sparkSession
-    lines = paragraphs(docs).withColumn("words", words_of(F.col("text"))).drop("text")
+    lines = (
+        paragraphs(docs)
+        .withColumn("line", words_of(F.col("text")))
+        .where(F.size("line") > 0)
+        .select("doc_id", "paragraph", "line", F.monotonically_increasing_id().alias("row"))
+        .withColumn("window", F.explode(_windows(F.col("line"), _known_pairs())))
+    )
+    at, n = F.col("window.at"), F.col("window.n")
+    before = F.slice("line", F.greatest(at - 2, F.lit(1)), at - F.greatest(at - 2, F.lit(1)))
+    after = F.slice("line", at + n, 1)
+    # Pairs that begin or end outside.
+    joint = F.transform(
+        F.array(at - 3, at - 2, at + n - 2, at + n - 1),
+        lambda i: F.concat(F.get("line", i), F.lit(" "), F.get("line", i + 1)),
+    )
+    qualifiers = _strings(list(QUALIFIERS))
+    named_outside = F.filter(before, lambda w: ~w.rlike("^v?[0-9]$"))
+    cut = F.arrays_overlap(F.concat(named_outside, after, joint), qualifiers)
+    rows = lines.select(
+        "doc_id",
+        "paragraph",
+        "row",
+        (n == F.size("line")).alias("whole"),
+        F.slice("line", at, n).alias("words"),
+        F.coalesce(cut, F.lit(False)).alias("cut"),
+    )
     found = (F.col("best.place") > 1) & (F.col("best.probability") >= LEAST_PROBABILITY)
-    named = model.best(_vectors(lines)).where(found)
-    families = F.array(*map(F.lit, FAMILIES))
-    template = {r["family"]: r["template"] for r in _template_pairs(spark).collect()}
-    similarity = F.lit(0.0)
-    for family, pairs in sorted(template.items()):
-        similarity = F.when(
-            F.col("family") == family, _share(F.col("words"), F.array(*map(F.lit, pairs)))
-        ).otherwise(similarity)
-    return (
-        named.withColumn("family", F.element_at(families, F.col("best.place")))
-        .withColumn("similarity", similarity)
-        .select(
-            "doc_id",
-            F.col("paragraph").cast("long").alias("paragraph"),
-            "family",
-            F.col("best.probability").alias("probability"),
-            "similarity",
-            (F.col("similarity") >= CONFIRMED).alias("confirmed"),
-        )
+    kinds = F.array(*map(F.lit, KINDS))
+    named = (
+        model.best(_vectors(rows))
+        .where(found)
+        .withColumn("kind", F.element_at(kinds, F.col("best.place")))
+        .withColumn("marks", _marks(F.col("words")))
+        .withColumn("pairs", F.array_distinct(pairs_of(F.col("words"))))
+    )
+    templates = spark.createDataFrame(
+        [(k, f, sorted(set(template_pairs(w))), marks_of(w)) for k, f, w in _templates() if len(w) > 1],
+        "kind string, family string, template array<string>, template_marks array<string>",
+    )
+    has = spark.createDataFrame([(k, _known_pairs(k)) for k in KINDS[1:]], "kind string, known array<string>")
+    own = F.size(F.array_intersect("pairs", "known")) / F.greatest(F.size("pairs"), F.lit(1))
+    measured = (
+        named.join(F.broadcast(has), "kind")
+        .withColumn("own", own)
+        .where((F.col("own") >= CONFIRMED) & ~F.col("cut") | F.col("whole"))
+        .drop("known")
+    )
+    # Only a whole paragraph is compared with templates of other marks.
+    same = F.col("marks") == F.col("template_marks")
+    pairs_with = (measured["kind"] == templates["kind"]) & (same | F.col("whole"))
+    common = F.size(F.array_intersect("pairs", "template"))
+    compared = (
+        measured.join(F.broadcast(templates), pairs_with)
+        .withColumn("similarity", F.least(F.col("own"), common / F.size("template")))
+        .withColumn("confirmed", (F.col("similarity") >= CONFIRMED) & same & ~F.col("cut"))
+        .where("confirmed OR whole")
+    )
+    rank = F.struct("confirmed", "similarity", "best.probability", "family")
+    per_licence = compared.groupBy("row", "doc_id", "paragraph", F.when(F.col("confirmed"), F.col("marks")).alias("marks"))
+    best = per_licence.agg(F.max(rank).alias("top"))
+    several = best.groupBy("row", "doc_id", "paragraph").agg(F.collect_list("top").alias("all"))
+    confirmed = F.filter("all", lambda t: t["confirmed"])
+    return several.select(
+        "doc_id",
+        F.col("paragraph").cast("long").alias("paragraph"),
+        F.explode(F.when(F.size(confirmed) > 0, confirmed).otherwise(F.col("all"))).alias("top"),
+    ).select(
+        "doc_id",
+        "paragraph",
+        "top.family",
+        "top.probability",
+        "top.similarity",
+        "top.confirmed",
     )
 
 
