@@ -3,7 +3,7 @@
 Paragraphs are lines. Their words and pairs of neighbouring words are counted into a
 sparse vector, and a multinomial logistic regression gives the probability of every
 kind of licence and of "unknown". It learns kinds from windows of the templates below
-and "unknown" from a bounded sample of the corpus's own paragraphs that are
+and "unknown" from a bounded sample of the corpus's own distinct paragraphs that are
 unlike all templates. On a part held back, the scale of the scores is fitted, so that
 a probability means what it says.
 
@@ -281,6 +281,7 @@ MARKS = {
 FEATURES = 1 << 14
 # "Unknown" is learned from at most so many paragraphs.
 SAMPLE_PARAGRAPHS = 20_000
+HASH_PARTS = 1 << 16
 TRAINING_WORDS = (4, 6, 9, 14, 24)
 WINDOW_WORDS = (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 20, 24, 30, 36, 45, 55)
 CONFIRMED = 0.6
@@ -356,17 +357,33 @@ def _vectors(rows):
 
 
 def unlike_templates(docs, sample=SAMPLE_PARAGRAPHS):
-    """``words`` of the paragraphs with the smallest hashes, at most ``sample``, that are
-    unlike all templates."""
+    """``words`` of at most ``sample`` distinct paragraphs that are unlike all templates:
+    those with the smallest hashes."""
+    lines = paragraphs(docs).select("text", F.xxhash64("text").alias("hash"))
+    part = F.shiftrightunsigned("hash", 48)
+    counts = dict(lines.select("hash").distinct().groupBy(part.alias("part")).count().collect())
     every = F.array(*map(F.lit, _known_pairs()))
-    return (
-        paragraphs(docs)
-        .select("text")
-        .orderBy(F.xxhash64("text"), "text")
-        .limit(sample)
-        .select(words_of(F.col("text")).alias("words"))
-        .where((F.size("words") > 0) & (_share(F.col("words"), every) < 0.3))
-    )
+    wanted, below, rows = sample, 0, None
+    # Twice as many distinct texts as long as too many of them are template-like.
+    while below < HASH_PARTS:
+        have = 0
+        while below < HASH_PARTS and have < wanted:
+            have += counts.get(below, 0)
+            below += 1
+        words = words_of(F.col("text"))
+        rows = cut_lineage(
+            lines.where(part < below)
+            .dropDuplicates(["hash", "text"])
+            .withColumn("words", words)
+            .where((F.size("words") > 0) & (_share(F.col("words"), every) < 0.3))
+            .select("words", "hash", "text")
+        )
+        if rows.count() >= sample:
+            break
+        if have >= sum(counts.values()):
+            break
+        wanted, below = 2 * max(wanted, have), 0
+    return rows.orderBy(part, "hash", "text").limit(sample).select("words")
 
 
 def training_rows(docs, sample=SAMPLE_PARAGRAPHS):

@@ -54,3 +54,10 @@ def test_each_family_is_found_by_its_templates(spark, model):
     docs = documents(spark, [(i, t) for i, (_, t) in enumerate(rows)])
     got = confirmed(docs, model)
     assert [(f, t, got.get(i)) for i, (f, t) in enumerate(rows) if got.get(i) != {f}] == []
+
+
+def test_unknown_is_learned_from_distinct_lines(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = [(i, f"stone river{i % 30}\n-----\n{notice}") for i in range(1200)]
+    learned = licenses.training_rows(documents(spark, rows), sample=20).where("label = 0").collect()
+    assert len(learned) == len({tuple(r.words) for r in learned}) == 20
