@@ -444,6 +444,11 @@ def document_sets(docs, words=WORDS):
     return map_batches(docs, run, schema, BATCH)
 
 
+def _named(texts, words):
+    node, check = set_hashes(shingle_sets(texts, words))
+    return {"node": node, "check": check}
+
+
 def jaccard_components(docs, words=WORDS, percent=PERCENT):
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -513,11 +518,11 @@ def links(texts, sets, words=WORDS, percent=PERCENT):
     if not near.limit(1).count():
         return None
     grouped = components(near).withColumnRenamed("label", "candidate")
+    # A row of each set gives its text: by id, or by the set's hashes if no row has one.
     distinct = (
         sets.where("n_shingles > 0")
         .groupBy("node", "check", "n_shingles")
         .agg(F.min("doc_id").alias("doc_id"))
-        .where("doc_id IS NOT NULL")
     )
     members = cut_lineage(distinct.join(grouped, "node"))
     sizes = members.groupBy("candidate").agg(
@@ -544,11 +549,21 @@ def links(texts, sets, words=WORDS, percent=PERCENT):
             "set": [s.tobytes() for s, ok in zip(found, same, strict=True) if ok],
         }
 
-    chosen = texts.where("doc_id IS NOT NULL").join(broadcast_if_small(members), "doc_id")
+    chosen = texts.where("doc_id IS NOT NULL").join(broadcast_if_small(members.where("doc_id IS NOT NULL")), "doc_id")
+    schema = "node long, candidate long, block int, blocks int, anchor long, set binary"
     sets_path = new_path(spark, "member-sets")
-    map_batches(
-        chosen, extract, "node long, candidate long, block int, blocks int, anchor long, set binary", BATCH
-    ).write.parquet(sets_path)
+    map_batches(chosen, extract, schema, BATCH).write.parquet(sets_path)
+    nameless = members.where("doc_id IS NULL").drop("doc_id")
+    if nameless.limit(1).count():
+        # A set comes once, from the one row with the smallest text that has it.
+        hashed = map_batches(
+            texts.where("doc_id IS NULL").select("doc_id", "text"),
+            lambda b: {"text": b.column("text"), **_named(b.column("text"), words)},
+            "text string, node long, check long",
+            BATCH,
+        )
+        rows = hashed.join(broadcast_if_small(nameless), ["node", "check"]).groupBy(*members.drop("doc_id").columns)
+        map_batches(rows.agg(F.min("text").alias("text")), extract, schema, BATCH).write.mode("append").parquet(sets_path)
     stored = spark.read.parquet(sets_path)
 
     # First every block on its own, together with one common set of its candidate
