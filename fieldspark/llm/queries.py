@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, jaccard_join, licenses, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
+from fieldspark.llm import bpe, conversation_trie, jaccard_join, licenses, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -231,3 +231,52 @@ def op4_license_scan(spark, sf_dir):
     """Paragraphs of all documents that are licence notices."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(docs))
+
+
+@query(
+    "op11_conversation_trie",
+    """
+    WITH t AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+             {'r': coalesce(role, ''), 't': coalesce(text, '')} AS m
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (
+      SELECT conv_id, list(m ORDER BY i) AS ms FROM t GROUP BY conv_id
+    ), bits AS (
+      SELECT conv_id, ms, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+               lambda x: list_transform(range(8), lambda b: (ascii(x) >> b) & 1))) AS bs
+      FROM own
+    ), h AS (
+      SELECT conv_id, ms, xor(list_reduce(list_prepend(4294967295::BIGINT, bs),
+               lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 4 AS h
+      FROM bits
+    ), r AS (
+      SELECT h.conv_id, list_concat(coalesce(b.ms, [])[:h.h], h.ms[h.h + 1:]) AS ms
+      FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20
+    ), p AS (
+      SELECT conv_id, len(ms) AS n, unnest(range(len(ms) + 1)) AS depth, ms FROM r
+    ), k AS (
+      SELECT conv_id, n, depth, ms[:depth] AS pre, CASE WHEN depth > 0 THEN ms[:depth - 1] END AS up,
+             CASE WHEN depth > 0 THEN len(regexp_extract_all(ms[depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+      FROM p
+    ), node AS (
+      SELECT pre, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+      FROM k GROUP BY pre
+    ), kids AS (
+      SELECT up AS pre, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up
+    ), full_node AS (
+      SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON kids.pre = node.pre
+    ), below AS (
+      SELECT pre[:unnest(range(depth + 1))] AS top, (n_convs - 1) * words AS saved, CAST(n_children = 0 AS BIGINT) AS leaf FROM full_node
+    ), sums AS (
+      SELECT top, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM below GROUP BY top
+    )
+    SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+           CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+    FROM full_node f JOIN sums s ON s.top = f.pre LEFT JOIN full_node u ON u.pre = f.up
+    """,
+)
+def op11_conversation_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations."""
+    return conversation_trie.conversation_nodes(table(spark, sf_dir, "conversations"))
