@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, conversation_trie, jaccard_join, licenses, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
+from fieldspark.llm import bpe, conversation_trie, jaccard_join, lexical, licenses, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -280,3 +280,43 @@ def op4_license_scan(spark, sf_dir):
 def op11_conversation_trie(spark, sf_dir):
     """Every node of the trie of rebuilt conversations."""
     return conversation_trie.conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op13_ranked_search",
+    """
+    WITH t AS (
+      SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+      FROM documents
+    ), d AS (
+      SELECT k, doc_id, ws, len(ws) AS n FROM t WHERE len(ws) > 0
+    ), c AS (
+      SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM d
+    ), w AS (
+      SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ws) AS term FROM d) GROUP BY k, term
+    ), df AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+      FROM (SELECT term, count(*) AS df FROM w GROUP BY term), c
+    ), i AS (
+      SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    ), u AS (
+      SELECT q, term, count(*) AS times FROM (
+        SELECT q, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY q, term
+    ), s AS (
+      SELECT q, w.k, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // l)))) AS BIGINT) AS score
+      FROM u JOIN w ON u.term = w.term JOIN df ON df.term = w.term JOIN d ON d.k = w.k, c
+      GROUP BY q, w.k
+    ), r AS (
+      SELECT q, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+      FROM s JOIN d ON d.k = s.k WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM r JOIN i ON i.q = r.q WHERE rank <= 10
+    """,
+)
+def op13_ranked_search(spark, sf_dir):
+    """The ten best documents for every benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
