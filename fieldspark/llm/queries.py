@@ -3,7 +3,21 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, conversation_trie, jaccard_join, lexical, licenses, line_quality, packing, repeats, spotsigs, token_counts, topk, warc
+from fieldspark.llm import (
+    bpe,
+    conversation_trie,
+    jaccard_join,
+    kneser_ney,
+    lexical,
+    licenses,
+    line_quality,
+    packing,
+    repeats,
+    spotsigs,
+    token_counts,
+    topk,
+    warc,
+)
 from fieldspark.llm.common import table
 
 QUERIES = {}
@@ -320,3 +334,9 @@ def op11_conversation_trie(spark, sf_dir):
 def op13_ranked_search(spark, sf_dir):
     """The ten best documents for every benchmark item."""
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_language_model")
+def op12_language_model(spark, sf_dir):
+    """Every document scored by a trigram model of four fifths of them."""
+    return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
