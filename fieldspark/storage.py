@@ -61,8 +61,18 @@ def path_exists(spark, path):
     return files.exists(location)
 
 
+def matching_paths(spark, pattern):
+    """Paths that a pattern with wildcards matches; only names are read."""
+    files, location = _file_system(spark, pattern)
+    return [str(s.getPath()) for s in files.globStatus(location) or ()]
+
+
 def finished_folders(spark, path):
     """Names of the folders below ``path`` whose write was committed."""
+    return [p.split("/")[-2] for p in matching_paths(spark, f"{path}/*/_SUCCESS")]
+
+
+def remove_folder(spark, path):
+    """Delete a folder that no table refers to any more."""
     files, location = _file_system(spark, path)
-    names = [s.getPath().getName() for s in files.listStatus(location) if s.isDirectory()]
-    return [n for n in names if path_exists(spark, f"{path}/{n}/_SUCCESS")]
+    return files.delete(location, True)
