@@ -14,6 +14,10 @@ from fieldspark.storage import broadcast_if_small, cut_lineage
 WHISKER_REACH = 1.5
 QUARTILES = (0.25, 0.5, 0.75)
 BOX = ("q1", "median", "q3")
+# One task puts at most so many distinct values in order.
+MOST_VALUES = 1 << 16
+# Into so many parts a larger bucket is cut; its number grows by as many bits.
+PART_BITS = 6
 
 
 def _value_buckets(values, cuts):
@@ -25,8 +29,9 @@ def _value_buckets(values, cuts):
     points = values.approxQuantile("_x", [i / cuts for i in range(1, cuts)], 0.5 / cuts)
     splits = [float("-inf"), *sorted(set(points) - {float("inf"), float("-inf")}), float("inf")]
     if len(splits) < 3:
-        return values.withColumn("_bucket", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket").transform(values)
+        return values.withColumn("_bucket", F.lit(0).cast("long"))
+    cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket").transform(values)
+    return cut.withColumn("_bucket", F.col("_bucket").cast("long"))
 
 
 def _wanted_ranks(sizes, key, probabilities):
@@ -56,15 +61,51 @@ def _wanted_ranks(sizes, key, probabilities):
     return placed.where(holds_any).select(key, "_bucket", "n", inside.alias("_ranks"))
 
 
-def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
+def _narrow(counted, wanted, key, most):
+    """Cut buckets with over ``most`` distinct values and keep the parts that hold a
+    wanted place, until none is larger.
+
+    ``counted`` has the distinct values of the wanted buckets with their counts. The
+    cuts are approximate quantiles of a bucket's own distinct values, so each round
+    leaves about one in ``2^PART_BITS`` of them whatever their distribution, and counts
+    alone tell which part holds a place.
+    """
+    parts = 1 << PART_BITS
+    while True:
+        sizes = counted.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_distinct"))
+        if (sizes.agg(F.max("_distinct")).first()[0] or 0) <= most:
+            return counted, wanted
+        large = sizes.where(F.col("_distinct") > most).select(key, "_bucket")
+        points = F.percentile_approx("_x", [i / parts for i in range(1, parts)], 100 * parts)
+        cuts = join_keys(counted, broadcast_if_small(large), [key, "_bucket"], "left_semi")
+        cuts = cut_lineage(cuts.groupBy(key, "_bucket").agg(points.alias("_cuts")))
+        cut = join_keys(counted, broadcast_if_small(cuts), [key, "_bucket"], "left")
+        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_x"))), F.lit(0))
+        cut = cut.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
+        filled = cut.groupBy(key, "_bucket", "_part").agg(F.sum("_n").alias("_size"))
+        prior = W.partitionBy(key, "_bucket").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        filled = filled.withColumn("_start", F.coalesce(F.sum("_size").over(prior), F.lit(0)))
+        moved = F.transform(
+            "_ranks", lambda r: F.struct(r["name"].alias("name"), (r["at"] - F.col("_start")).alias("at"))
+        )
+        inside = F.filter(moved, lambda r: (r["at"] >= 0) & (r["at"] < F.col("_size")))
+        found = join_keys(filled, wanted, [key, "_bucket"], "inner").withColumn("_ranks", inside)
+        found = cut_lineage(found.where(F.size("_ranks") > 0).select(key, "_bucket", "_part", "n", "_ranks"))
+        numbered = (F.shiftleft("_bucket", PART_BITS) + F.col("_part")).alias("_bucket")
+        kept = join_keys(cut, broadcast_if_small(found.select(key, "_bucket", "_part")), [key, "_bucket", "_part"], "left_semi")
+        counted = cut_lineage(kept.select(key, numbered, "_x", "_n"))
+        wanted = found.select(key, numbered, "n", "_ranks")
+
+
+def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256, most=MOST_VALUES):
     """Linearly interpolated quantiles per key, as columns q0, q1, ... and ``n``.
 
     Rows without a key are a group of their own, as in every other group-by here.
     A first pass counts the value buckets of every key, which locates the bucket
     of each wanted rank. A second pass looks at those buckets alone: equal
-    values are counted together and the counts summed in order, each bucket by
-    its own task. A key holding most of the table is read by all tasks and
-    shuffled by none.
+    values are counted together, buckets with over ``most`` of them are cut again
+    around the wanted ranks, and what is left of each is put in order by its own
+    task. A key holding most of the table is read by all tasks and shuffled by none.
     """
     values = df.select(F.col(key), no_nan(F.col(col)).alias("_x"))
     values = values.where(F.col("_x").isNotNull())
@@ -73,7 +114,8 @@ def exact_quantiles(df, col, key, probabilities=QUARTILES, cuts=256):
     wanted = cut_lineage(_wanted_ranks(sizes, key, probabilities))
 
     near = join_keys(values, broadcast_if_small(wanted.select(key, "_bucket")), [key, "_bucket"], "inner")
-    counted = near.groupBy(key, "_bucket", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(near.groupBy(key, "_bucket", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    counted, wanted = _narrow(counted, wanted, key, most)
     upto = W.partitionBy(key, "_bucket").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
     summed = counted.withColumn("_upto", F.sum("_n").over(upto))
     hits = join_keys(summed, wanted, [key, "_bucket"], "inner").withColumn(
