@@ -19,6 +19,7 @@ from fieldspark.operators.boxplot import boxplot_stats
 from fieldspark.operators.features import log1p_col
 from fieldspark.operators.order import argmax_class, hash_split
 from fieldspark.operators.sequence import time_series
+from fieldspark.storage import cut_lineage
 
 
 @query(
@@ -115,6 +116,28 @@ def fit_dictionary_first_seen(spark, sf_dir):
     return stats.fit_dictionaries(inspections(spark, sf_dir), CODED, "first_seen", "seq")
 
 
+def _extended_sql():
+    union = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", "{c}" AS value, CAST(row_number() OVER (ORDER BY late, seen) - 1 AS INTEGER) AS code
+        FROM (SELECT "{c}", min(seq % 3) AS late,
+                min_by(seq, [seq % 3, seq]) AS seen
+              FROM inspections WHERE "{c}" IS NOT NULL GROUP BY 1)"""
+        for c in CODED
+    )
+    return with_views("inspections", union)
+
+
+@query("extend_dictionaries", _extended_sql())
+def extend_dictionaries(spark, sf_dir):
+    """Three deliveries one after the other; values keep the codes they were given."""
+    rows = inspections(spark, sf_dir)
+    part = lambda i: rows.where(F.col("seq") % 3 == i)
+    dictionary = stats.fit_dictionaries(part(0), CODED, "first_seen", "seq")
+    for i in (1, 2):
+        dictionary = stats.extend_dictionaries(cut_lineage(dictionary), part(i), CODED, order_col="seq")
+    return dictionary
+
+
 @query(
     "column_profile",
     " UNION ALL ".join(

@@ -32,14 +32,19 @@ from fieldspark.sources.writers import FORMATS, write_table
 from fieldspark.storage import cut_lineage
 
 
-def read_combined(spark, path, fmt="csv", tokens=(), on_error="drop", seq=None):
+def read_combined(spark, path, fmt="csv", tokens=(), on_error="drop", place=None):
     """A combined table as typed rows, from CSV or from a typed format."""
     if fmt == "csv":
-        rows = read_inspections(spark, path, COMBINED_TEXT, seq=seq, others=True)
+        rows = read_inspections(spark, path, COMBINED_TEXT, place=place, others=True)
         return typed(rows.drop("_bad_record"), tokens, on_error)
     rows = _conformed(spark, path, fmt)
+    if not place:
+        return rows
     # Files of a typed format have no line order; any fixed order tells repeats apart.
-    return rows.withColumn(seq, F.monotonically_increasing_id()) if seq else rows
+    row = F.monotonically_increasing_id()
+    return rows.withColumn(
+        place, F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), row.alias("row"))
+    )
 
 
 def _conformed(spark, path, fmt):
@@ -72,10 +77,10 @@ def combine(
     fmt="csv",
 ):
     """Expand inspections, attach landed weather, merge into an existing table."""
-    raw = read_inspections(spark, inspections, seq="seq", others=True).drop("_bad_record")
+    raw = read_inspections(spark, inspections, place="seq", others=True).drop("_bad_record")
     there = None
     if existing:
-        there = with_recorded_flag(read_combined(spark, existing, fmt, on_error="fail", seq="seq"))
+        there = with_recorded_flag(read_combined(spark, existing, fmt, on_error="fail", place="seq"))
     merged = build_combined(
         typed(raw),
         read_weather_json(spark, weather),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import cells, vectors
 from fieldspark.functions.cells import md5_key
-from fieldspark.operators.merge import one_per_date
+from fieldspark.operators.merge import join_keys, one_per_date
 from fieldspark.operators.ranking import bucketed_rank, hash_cuts, sorted_rank
 from fieldspark.schema import LOOKBACK_DAYS, WEATHER
 from fieldspark.storage import broadcast_if_small
@@ -138,13 +138,20 @@ def global_mean_pool(df, key, col, out="mean"):
 
 
 def assign_batches(df, order, size, drop_last=True, out="batch"):
-    """Number fixed-size batches in the order of unique columns."""
+    """Number fixed-size batches in the order of unique columns.
+
+    Only those columns are sorted and written once; the other columns meet their
+    row's number by key.
+    """
     order = order if isinstance(order, (list, tuple)) else [order]
-    ranked = sorted_rank(df, order, "_rank", total="_total")
+    ranked = sorted_rank(df.select(*order), order, "_rank", total="_total")
     batch = F.floor(F.col("_rank") / size)
     if drop_last:
         ranked = ranked.where(batch < F.floor(F.col("_total") / size))
-    return ranked.withColumn(out, batch).drop("_rank", "_total")
+    numbered = ranked.select(*order, batch.alias(out))
+    if set(df.columns) == set(order):
+        return numbered.select(*df.columns, out)
+    return join_keys(df, numbered, order, "inner")
 
 
 def exact_split(df, key, seed=42, percents=(70, 85), out="split", digits=4):

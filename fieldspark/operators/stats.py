@@ -119,13 +119,8 @@ def fit_standardizer(df, cols):
     )
 
 
-def fit_dictionaries(df, cols, order="sorted", order_col=None):
-    """Distinct values of several columns with codes 0, 1, ... per column.
-
-    ``order`` is "sorted" (by value, numbers as numbers) or "first_seen" (by the
-    smallest ``order_col``). One scan for all columns; only distinct values are
-    sorted. Returns (column, value, code).
-    """
+def _distinct_values(df, cols, order, order_col):
+    """(column, value, seen): each value with what it is ordered by."""
     if order not in ("sorted", "first_seen"):
         raise ValueError(f"unknown dictionary order: {order}")
 
@@ -141,12 +136,16 @@ def fit_dictionaries(df, cols, order="sorted", order_col=None):
         )
         for c in cols
     ]
-    distinct = (
+    return (
         df.select(F.inline(F.array(*entries)))
         .where(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.min("seen").alias("seen"))
     )
+
+
+def _coded(distinct):
+    """(column, value, code) with codes 0, 1, ... per column."""
     ranked = sorted_rank(distinct, ["column", "seen", "value"], "rank")
     starts = ranked.groupBy("column").agg(F.min("rank").alias("start"))
     return ranked.join(F.broadcast(starts), "column").select(
@@ -154,5 +153,32 @@ def fit_dictionaries(df, cols, order="sorted", order_col=None):
     )
 
 
+def fit_dictionaries(df, cols, order="sorted", order_col=None):
+    """Distinct values of several columns with codes 0, 1, ... per column.
+
+    ``order`` is "sorted" (by value, numbers as numbers) or "first_seen" (by the
+    smallest ``order_col``). One scan for all columns; only distinct values are
+    sorted. Returns (column, value, code).
+    """
+    return _coded(_distinct_values(df, cols, order, order_col))
+
+
+def extend_dictionaries(dictionary, df, cols, order="first_seen", order_col=None):
+    """The dictionary with the values of a later delivery appended.
+
+    Codes that were given stay; a value that is new to a column gets the next free
+    code of that column, new values in the order of ``fit_dictionaries``. Only the
+    distinct new values are sorted. The delivery may have columns that the dictionary
+    does not know yet.
+    """
+    known = dictionary.select("column", "value")
+    fresh = _distinct_values(df, cols, order, order_col).join(known, ["column", "value"], "left_anti")
+    # A row a column.
+    used = dictionary.groupBy("column").agg((F.max("code") + 1).alias("used"))
+    added = _coded(fresh).join(F.broadcast(used), "column", "left")
+    code = (F.col("code") + F.coalesce("used", F.lit(0))).cast("int").alias("code")
+    return dictionary.select("column", "value", "code").union(added.select("column", "value", code))
+
+
 def fit_dictionary(df, col, order="sorted", order_col=None):
     return fit_dictionaries(df, [col], order, order_col)

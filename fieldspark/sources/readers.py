@@ -66,7 +66,7 @@ def _by_name(names, raw, name):
 
 
 def read_inspections(
-    spark, path, schema=INSPECTION_TEXT, dialect=None, seq=None, mixed_headers=False, others=False
+    spark, path, schema=INSPECTION_TEXT, dialect=None, seq=None, mixed_headers=False, others=False, place=None
 ):
     """CSV with a header, every field as text, bound by column name.
 
@@ -74,8 +74,10 @@ def read_inspections(
     ``_bad_record``; empty lines are skipped. All files must have the same header,
     else the read fails; with ``mixed_headers`` every file's header is looked at
     and each file is bound by its own. ``others`` keeps the columns that ``schema``
-    does not name. ``seq`` names an extra column with the row's number in file
-    order, for the merges that depend on it.
+    does not name. ``place`` names an extra column that orders the rows as the files
+    have them, for the merges that depend on it: a struct of file, block and row in the
+    block, which costs no sort. ``seq`` names one with the row's number, for which all
+    rows are sorted and written once.
     """
     options = {"header": True, **_options(dialect)}
     files = _files(spark, path)
@@ -99,20 +101,21 @@ def read_inspections(
         if others:
             columns += [_by_name(names, raw, c).alias(c) for c in dict.fromkeys(raw) if c and c not in known]
         columns.append(F.col(BAD_RECORD))
-        if seq:
-            columns += [
-                F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.file_block_start").alias("_block"),
-                F.monotonically_increasing_id().alias("_row"),
-            ]
+        if seq or place:
+            at = F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            )
+            columns.append(at.alias(place or "_place"))
         parts.append(rows.select(*columns))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
     if not seq:
         return rows
-    place = ["_file", "_block", "_row"]
-    return sorted_rank(rows, place, seq).drop(*place)
+    numbered = sorted_rank(rows, [place or "_place"], seq)
+    return numbered if place else numbered.drop("_place")
 
 
 def read_positional(spark, path, columns=COMBINED_COLUMNS, dialect=None):
