@@ -1,5 +1,6 @@
 """Encoders, scaling and row-wise vector functions."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fieldspark.catalog.base import (
@@ -314,7 +315,96 @@ TRAINING_VIEWS = {
 )
 def training_matrix(spark, sf_dir):
     """Every element of the standardised matrices, by the name of its column."""
-    m = training.matrices(cut_lineage(combined(spark, sf_dir)))
+    return _named_cells(training.matrices(cut_lineage(combined(spark, sf_dir))))
+
+
+def _named_cells(m):
     names = F.array(*map(F.lit, m.weather_columns + m.site_columns))
     cells = m.rows.select(*KEYS, F.posexplode("features").alias("_at", "value"))
     return rounded(cells.select(*KEYS, F.get(names, F.col("_at")).alias("name"), "value"), "value")
+
+
+FIELDS = ("Temperature", "Precipitation", "CloudCoverage")
+KERNEL_SQL = {
+    "mean3": "(a + b + c) / 3",
+    "rise": "c - a",
+    "peak": "2 * b - a - c",
+}
+SERIES_VIEWS = {
+    "daily": """SELECT "Date", max({'t': "Temperature", 'p': "Precipitation", 'c': "CloudCoverage"}) AS d
+      FROM combined WHERE "Temperature" IS NOT NULL GROUP BY 1""",
+    "series": """SELECT n."SiteID", n."Date", split, back, coalesce(d.t, 0) AS t, coalesce(d.p, 0) AS p, coalesce(d.c, 0) AS c
+      FROM (SELECT *, unnest(range(5)) AS back FROM numbered) n LEFT JOIN daily ON daily."Date" = n."Date" - CAST(back AS INTEGER)""",
+    "days": """SELECT "SiteID", "Date", split, unnest(['Temperature_', 'Precipitation_', 'CloudCoverage_']) || back AS name, unnest([t, p, c]) AS x
+      FROM series WHERE back > 0""",
+    "triples": " UNION ALL ".join(
+        f"""SELECT "SiteID", "Date", split, '{name}' AS field, back,
+          lead({col}, 2) OVER w AS a, lead({col}) OVER w AS b, {col} AS c FROM series
+          WINDOW w AS (PARTITION BY "SiteID", "Date" ORDER BY back)"""
+        for name, col in zip(FIELDS, "tpc")
+    ),
+    "convolved": " UNION ALL ".join(
+        f"""SELECT "SiteID", "Date", split, field || '_{name}_' AS stem, back, greatest({expression}, 0) AS x
+          FROM triples WHERE back < 3"""
+        for name, expression in KERNEL_SQL.items()
+    ),
+    "kernels": """SELECT "SiteID", "Date", split, stem || back AS name, x FROM convolved
+      UNION ALL SELECT "SiteID", "Date", split, stem || 'max', max(x) FROM convolved GROUP BY "SiteID", "Date", split, stem
+      UNION ALL SELECT "SiteID", "Date", split, stem || 'avg', avg(x) FROM convolved GROUP BY "SiteID", "Date", split, stem""",
+}
+ALL_INPUTS = {
+    **{k: v for k, v in TRAINING_VIEWS.items() if k not in ("inputs", "fitted")},
+    **SERIES_VIEWS,
+    "inputs": "SELECT * FROM numbers UNION ALL SELECT * FROM flags UNION ALL SELECT * FROM days UNION ALL SELECT * FROM kernels",
+    "fitted": TRAINING_VIEWS["fitted"],
+}
+
+
+@query(
+    "training_matrix_days",
+    with_views(
+        "combined",
+        f"""SELECT "SiteID", "Date", name, {sql6("(x - mean) / spread")} AS value FROM inputs JOIN fitted USING (name)""",
+        **ALL_INPUTS,
+    ),
+)
+def training_matrix_days(spark, sf_dir):
+    """Every element with the five look-back days, their kernels and pools."""
+    return _named_cells(training.matrices(cut_lineage(combined(spark, sf_dir)), days=5, kernels=True))
+
+
+MOST_VALUES = 32
+
+
+@query(
+    "sparse_training_matrix",
+    with_views(
+        "combined",
+        f"""SELECT "SiteID", "Date", name, {sql6("value")} AS value FROM (
+          SELECT i."SiteID", i."Date", name, (x - mean) / spread AS value
+          FROM (SELECT * FROM numbers UNION ALL SELECT * FROM days UNION ALL SELECT * FROM kernels) i JOIN fitted USING (name)
+          UNION ALL
+          SELECT "SiteID", "Date", name, 1 / spread FROM named JOIN spreads USING (name) WHERE spread > 0)
+        WHERE value <> 0""",
+        **{k: v for k, v in ALL_INPUTS.items() if k not in ("flags", "inputs", "fitted")},
+        fitted="""SELECT name, avg(x) AS mean, CASE WHEN min(x) < max(x) THEN stddev_pop(x) ELSE 1 END AS spread
+          FROM (SELECT * FROM numbers UNION ALL SELECT * FROM days UNION ALL SELECT * FROM kernels) WHERE split = 'train' GROUP BY 1""",
+        named=f"""SELECT "SiteID", "Date", split, col || '_' || v AS name FROM texts
+          UNION ALL SELECT "SiteID", "Date", split, 'Notes#' || CAST('0x' || substr(md5('hashed-' || notes), 1, 8) AS BIGINT) % {MOST_VALUES}
+          FROM (SELECT *, 'seen at ' || "SiteID" || ' on ' || CAST("Date" AS VARCHAR) AS notes FROM numbered)""",
+        spreads="""SELECT name, sqrt((m - m * m / n) / (n - 1)) AS spread FROM (
+            SELECT name, count(*)::DOUBLE AS m FROM named WHERE split = 'train' GROUP BY 1),
+          (SELECT count(*)::DOUBLE AS n FROM numbered WHERE split = 'train')""",
+    ),
+)
+def sparse_training_matrix(spark, sf_dir):
+    """Every element that is not 0 of the sparse inputs, with a text column that has a
+    value of its own in every row."""
+    rows = combined(spark, sf_dir)
+    note = F.concat(F.lit("seen at "), "SiteID", F.lit(" on "), F.col("Date").cast("string"))
+    m = training.sparse_matrices(
+        cut_lineage(rows.withColumn("Notes", note)), days=5, kernels=True, most_values=MOST_VALUES
+    )
+    cells = m.rows.select(*KEYS, F.posexplode(vector_to_array("features")).alias("position", "value"))
+    named = cells.where("value <> 0").join(F.broadcast(m.names), "position")
+    return rounded(named.select(*KEYS, "name", "value"), "value")

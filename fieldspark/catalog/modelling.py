@@ -13,9 +13,9 @@ from fieldspark.operators.order import hash_split
 from fieldspark.plans import training
 from fieldspark.storage import cut_lineage
 
-# As many epochs as a full training run has.
+# As many epochs as a full training run has, and iterations as the job's.
 EPOCHS = 25
-ITERATIONS = 2
+ITERATIONS = 5
 
 
 def centroid_layers(spark, sf_dir):
@@ -208,22 +208,35 @@ def run_history(spark, sf_dir):
     with_views(
         "combined",
         """SELECT split, count(*) AS n, count(*) AS n_scored, true AS loss_is_finite, true AS accuracy_is_a_share,
-          CAST(25 AS BIGINT) AS epochs
-        FROM (SELECT CASE WHEN draw < 70 THEN 'train' WHEN draw < 85 THEN 'validation' ELSE 'test' END AS split
-          FROM (SELECT CAST('0x' || substr(md5('42-' || "SiteID" || '-' || CAST("Date" AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS draw FROM combined))
+          CASE WHEN split = 'train' THEN true END AS beats_the_majority, CASE WHEN split = 'train' THEN true END AS beats_the_shares,
+          max(label) AS positives_there, CAST(25 AS BIGINT) AS epochs
+        FROM (SELECT CASE WHEN draw < 70 THEN 'train' WHEN draw < 85 THEN 'validation' ELSE 'test' END AS split, label
+          FROM (SELECT CAST('0x' || substr(md5('42-' || "SiteID" || '-' || CAST("Date" AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS draw,
+            CAST(coalesce("DipCount" > 0.1, false) AS INTEGER) AS label FROM combined))
         GROUP BY 1""",
     ),
 )
 def train_and_evaluate(spark, sf_dir):
-    """Combined table to matrices, model and loss and accuracy per split: what must
-    hold of them after a full run."""
-    rows = cut_lineage(training.matrices(cut_lineage(combined(spark, sf_dir))).rows)
+    """Combined table to matrices of five days with kernels, model, and loss and accuracy
+    per split: what must hold of them after a full run. On the training part the model
+    must be right more often than the larger class is there, and lose less than an answer
+    that gives both classes their shares."""
+    matrices = training.sparse_matrices(cut_lineage(combined(spark, sf_dir)), days=5, kernels=True)
+    rows = cut_lineage(matrices.rows)
     _, history, scores = training.train_and_evaluate(rows, epochs=EPOCHS, iterations=ITERATIONS)
+    shares = rows.groupBy("split").agg(F.avg("label").alias("share"), F.max("label").alias("positives_there"))
+    scores = scores.join(shares, "split")
+    share = F.col("share")
+    by_share = -(share * F.ln(share) + (1 - share) * F.ln(1 - share))
+    trained = F.col("split") == "train"
     return scores.select(
         "split",
         "n",
         "n_scored",
         (~F.isnan("loss") & (F.col("loss") < float("inf"))).alias("loss_is_finite"),
         F.col("accuracy").between(0, 1).alias("accuracy_is_a_share"),
+        F.when(trained, F.col("accuracy") > F.greatest(share, 1 - share)).alias("beats_the_majority"),
+        F.when(trained, F.col("loss") < 0.9 * by_share).alias("beats_the_shares"),
+        "positives_there",
         F.lit(len(history)).cast("long").alias("epochs"),
     )

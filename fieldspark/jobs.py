@@ -123,10 +123,13 @@ def describe_tables(spark, combined, out, fmt="csv"):
 
 
 def train(spark, combined, out, fmt="csv", epochs=25, iterations=5, days=LOOKBACK_DAYS):
-    """Matrices, model, run history and loss and accuracy per split."""
+    """Matrices, model, run history and loss and accuracy per split. The inputs are the
+    look-back days, their kernels, the numbers and all categories, sparse."""
     rows = read_combined(spark, combined, fmt, NA_TOKENS, "fail")
     # Typed files are read again as they are; text is converted once.
-    matrices = training.matrices(cut_lineage(rows) if fmt == "csv" else rows, days=days)
+    rows = cut_lineage(rows) if fmt == "csv" else rows
+    matrices = training.sparse_matrices(rows, days=days, kernels=True)
+    write_table(matrices.names, f"{out}/names", "parquet")
     write_table(matrices.rows, f"{out}/matrices", "parquet")
     landed = spark.read.parquet(f"{out}/matrices")
     model, history, scores = training.train_and_evaluate(landed, epochs=epochs, iterations=iterations)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
 from fieldspark.functions import vectors
@@ -62,6 +63,8 @@ def dense_score(df, col, layers, out="scores"):
 
 
 def _with_vector(df, features):
+    if isinstance(df.schema[features].dataType, VectorUDT):
+        return df.withColumn("_features", F.col(features))
     return df.withColumn("_features", array_to_vector(vectors.doubles(F.col(features))))
 
 
@@ -75,12 +78,12 @@ def train_classifier(
     max_iter=25,
     initial_weights=None,
 ):
-    """Fit the hidden stack on an array column; gradients are summed over all
+    """Fit the hidden stack on an array or vector column; gradients are summed over all
     partitions, only the weights return to the driver."""
-    first = df.select(F.size(features)).first()
+    first = df.select(features).first()
     if first is None:
         raise ValueError("there are no rows to train on")
-    width = first[0]
+    width = len(first[0])
     trainer = MultilayerPerceptronClassifier(
         featuresCol="_features",
         labelCol=label,

@@ -3,11 +3,14 @@
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.functions.cells import no_nan
+from fieldspark.functions import vectors
+from fieldspark.functions.cells import md5_key, no_nan
 from fieldspark.functions.vectors import let
 from fieldspark.operators import calendar, clean, features, model, order
 from fieldspark.operators.evaluate import evaluate
@@ -20,6 +23,12 @@ from fieldspark.storage import cut_lineage
 LABEL = "Breeding"
 SITE_CODE = "SiteCode"
 UNKNOWN_SITE = -1
+# Fixed kernels over a weather series: three days' mean, a rise from the day before the
+# last to the day after the next, and a peak between two days.
+KERNELS = {"mean3": (1 / 3, 1 / 3, 1 / 3), "rise": (-1.0, 0.0, 1.0), "peak": (-1.0, 2.0, -1.0)}
+# A text column with more values than this is encoded by hash, into as many columns.
+MOST_VALUES = 4096
+HASHED = "hashed"
 # Columns of a merge that say nothing about a site.
 HELPERS = ("seq", "is_recorded", "inspected_on", "_bad_record")
 
@@ -33,9 +42,15 @@ class Matrices:
     site_columns: list
 
 
-def day_series(rows, days):
+def day_series(rows, days, kernels=False):
     """The weather of the ``days`` days up to each row's date, one column per
-    field and day (``Temperature_1`` is the day before), missing days as 0."""
+    field and day (``Temperature_1`` is the day before), missing days as 0.
+
+    With ``kernels`` also what the convolution branch makes of a series: every kernel at
+    every place that it fits, rectified (``Temperature_rise_0`` ends on the row's own
+    day), and each kernel's largest and mean value. The arrays are per calendar day, so
+    all of it is one projection of the rows.
+    """
     known = rows.select("Date", *WEATHER).where(F.col(WEATHER[0]).isNotNull())
     series = attach_sequence(rows, known, n=days, out="_series")
     columns = {}
@@ -43,7 +58,21 @@ def day_series(rows, days):
         for c in WEATHER:
             value = F.get("_series", F.lit(days - 1 - back))[c]
             columns[f"{c}_{back}"] = F.coalesce(no_nan(value), F.lit(0.0))
-    return series.withColumns(columns).drop("_series"), list(columns)
+    arrays = {}
+    for c in WEATHER if kernels else ():
+        field = F.transform(F.col("_series")[c], lambda x: F.coalesce(no_nan(x), F.lit(0.0)))
+        for name, weights in KERNELS.items():
+            if days < len(weights):
+                continue
+            held = f"_{c}_{name}"
+            arrays[held] = vectors.convolve(field, weights, 0, True)
+            places = days - len(weights) + 1
+            for at in range(places):
+                columns[f"{c}_{name}_{places - 1 - at}"] = F.get(held, F.lit(at))
+            columns[f"{c}_{name}_max"] = F.array_max(held)
+            columns[f"{c}_{name}_avg"] = vectors.mean(F.col(held))
+    series = series.withColumns(arrays).withColumns(columns) if arrays else series.withColumns(columns)
+    return series.drop("_series", *arrays), list(columns)
 
 
 @dataclass
@@ -57,7 +86,7 @@ class Coded:
     series: list
 
 
-def coded_rows(combined, seed=42, fit_on="train", days=1):
+def coded_rows(combined, seed=42, fit_on="train", days=1, kernels=False):
     """Label, split, date numbers and site code; dictionaries of the categories."""
     known = {*KEYS, *CATEGORIES, *SITE_NUMBERS, *WEATHER, *HELPERS}
     others = {f.name: f.dataType for f in combined.schema if f.name not in known}
@@ -67,7 +96,7 @@ def coded_rows(combined, seed=42, fit_on="train", days=1):
     labelled = clean.threshold_label(
         combined.select(*KEYS, *categories, *SITE_NUMBERS, *numbers, *WEATHER)
     )
-    labelled, series = day_series(labelled, days) if days > 1 else (labelled, [])
+    labelled, series = day_series(labelled, days, kernels) if days > 1 else (labelled, [])
     split = order.hash_split(labelled, KEYS, seed)
     dated = calendar.date_parts(calendar.date_ordinal(split))
     filled = clean.fill_category(
@@ -137,10 +166,12 @@ def _scaled_flags(value, values, absent, present):
     return let(F.array_position(F.array(*map(F.lit, values)), value) - 1, at)
 
 
-def matrices(combined, seed=42, keep_label_source=False, fit_on="train", days=1):
+def matrices(combined, seed=42, keep_label_source=False, fit_on="train", days=1, kernels=False):
     """Standardised weather and site arrays per row, and both joined. Categories go
-    straight into the site array: no table has a column per value."""
-    coded = coded_rows(combined, seed, fit_on, days)
+    straight into the site array: no table has a column per value. The arrays are dense
+    and as wide as the dictionary; for text of any number of values use
+    ``sparse_matrices``."""
+    coded = coded_rows(combined, seed, fit_on, days, kernels)
     weather, numbers = _families(coded.rows, coded.series, keep_label_source, coded.categories)
     scaled = features.standardize(coded.rows, fit_standardizer(coded.seen, weather + numbers))
     arrays, names = _scaled_categories(coded)
@@ -155,6 +186,99 @@ def matrices(combined, seed=42, keep_label_source=False, fit_on="train", days=1)
     )
 
 
+@dataclass
+class SparseMatrices:
+    """Rows with a dense ``weather`` array and a sparse ``features`` vector: first the
+    standardised numbers ``dense_columns``, then the categories, whose places are in the
+    table ``names`` (position, name)."""
+
+    rows: DataFrame
+    dense_columns: list
+    names: DataFrame
+    width: int
+
+
+def sparse_matrices(
+    combined, seed=42, keep_label_source=False, fit_on="train", days=1, kernels=False, most_values=MOST_VALUES
+):
+    """The same inputs with categories as sparse vectors.
+
+    A category's code comes from a join with the dictionary, which stays a table; a
+    column with more than ``most_values`` values takes the hash of the value modulo that
+    number instead, so the width depends on the number of columns and not on the rows,
+    and no text is left out. 0/1 columns are divided by their standard deviation
+    (of the fitted part, n - 1) and not centred, which keeps zeros zero: the constant
+    that centring would take off is the bias of the first layer. A value unknown to the
+    fitted part has no column.
+    """
+    coded = coded_rows(combined, seed, fit_on, days, kernels)
+    weather, numbers = _families(coded.rows, coded.series, keep_label_source, coded.categories)
+    rows = features.standardize(coded.rows, fit_standardizer(coded.seen, weather + numbers))
+    rows = features.assemble_vector(rows, weather, "weather")
+    rows = features.assemble_vector(rows, weather + numbers, "_numbers")
+    # One row a column.
+    sizes = {r["column"]: r["count"] for r in coded.dictionary.groupBy("column").count().collect()}
+    widths, start, places = {}, len(weather) + len(numbers), []
+    for c in coded.categories:
+        n = sizes.get(c, 0)
+        if n > most_values:
+            code = F.conv(F.substring(md5_key(HASHED, c), 1, 8), 16, 10).cast("long") % most_values
+            rows = rows.withColumn(f"_code_{c}", code)
+            buckets = combined.sparkSession.range(most_values).select(
+                (F.col("id") + start).cast("int").alias("position"), F.concat(F.lit(f"{c}#"), "id").alias("name")
+            )
+            places.append(buckets)
+        elif n:
+            rows = apply_dictionary(rows, coded.dictionary, c, f"_code_{c}")
+            own = coded.dictionary.where(F.col("column") == c)
+            places.append(
+                own.select((F.col("code") + start).alias("position"), F.concat(F.lit(f"{c}_"), "value").alias("name"))
+            )
+        else:
+            continue
+        widths[c] = min(n, most_values)
+        start += widths[c] + 1  # one place for values that have no code, which stays 0
+    rows = _one_hot(rows, widths)
+    seen = rows.where(F.col("split") == "train") if fit_on == "train" else rows
+    if widths:
+        scaler = StandardScaler(inputCol="_flags", outputCol="_scaled", withMean=False, withStd=True)
+        rows = scaler.fit(seen).transform(rows)
+    rows = rows.withColumn("_dense", array_to_vector("_numbers"))
+    parts = ["_dense", "_scaled"] if widths else ["_dense"]
+    rows = VectorAssembler(inputCols=parts, outputCol="features").transform(rows)
+    named = combined.sparkSession.createDataFrame(list(enumerate(weather + numbers)), "position int, name string")
+    for part in places:
+        named = named.union(part)
+    return SparseMatrices(
+        rows.select(*KEYS, "split", F.col(LABEL).alias("label"), "weather", "features"),
+        weather + numbers,
+        named,
+        start,
+    )
+
+
+def _one_hot(rows, widths):
+    """Codes in ``_code_{column}`` as one sparse vector ``_flags``."""
+    if not widths:
+        return rows
+    spark = rows.sparkSession
+    cols = list(widths)
+    largest = spark.createDataFrame(
+        [tuple(float(widths[c] - 1) for c in cols)], ", ".join(f"`_code_{c}` double" for c in cols)
+    )
+    encoder = OneHotEncoder(
+        inputCols=[f"_code_{c}" for c in cols],
+        outputCols=[f"_flag_{c}" for c in cols],
+        dropLast=False,
+        handleInvalid="keep",
+    ).fit(largest)
+    filled = rows.withColumns(
+        {f"_code_{c}": F.coalesce(F.col(f"_code_{c}"), F.lit(widths[c])).cast("double") for c in cols}
+    )
+    flags = encoder.transform(filled)
+    return VectorAssembler(inputCols=[f"_flag_{c}" for c in cols], outputCol="_flags").transform(flags)
+
+
 def train_and_evaluate(rows, hidden=model.HIDDEN_LAYERS, epochs=5, iterations=5, seed=42):
     """Train on the training part, score everything, one row per split.
 
