@@ -12,6 +12,7 @@ document's label; every document is scored.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import (
@@ -24,11 +25,9 @@ from fieldspark.llm.common import (
 )
 
 # At most so many labelled documents are learned from, those with the smallest hash
-# of their id, and so many lines of them; the rest of a longer document is left out
-# of learning only.
+# of their id, with all their lines.
 SAMPLE_DOCS = 4000
 BATCH = 2 << 20
-SAMPLE_LINES = 400
 STEPS = 120
 FEATURES = (
     "one upper digit point symbol space repeat repeat_two length ending marked lone shout "
@@ -257,7 +256,7 @@ def train(docs, labels, sample_docs=SAMPLE_DOCS, steps=STEPS):
     ``labels`` holds ``doc_id`` and ``quality``; rows with a null in either, or with
     a quality other than 0 and 1, do not count, and of several labels of one id the
     smallest does. At most ``sample_docs`` documents reach the driver, as features of
-    their first ``SAMPLE_LINES`` lines.
+    all their lines; of rows that share an id one does, chosen by a hash of its text.
     """
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -267,11 +266,14 @@ def train(docs, labels, sample_docs=SAMPLE_DOCS, steps=STEPS):
         .limit(sample_docs)
     )
     texts = ids_and_texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    # Each task cuts its rows to one an id before they are shuffled.
+    turn = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    texts = texts.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
     def extract(batch):
         features, per_text, size, _ = line_features(batch.column(1))
         ends = np.cumsum(per_text)
-        kept = [slice(e - n, e - n + min(n, SAMPLE_LINES)) for e, n in zip(ends, per_text, strict=True)]
+        kept = [slice(e - n, e) for e, n in zip(ends, per_text, strict=True)]
         return {
             "doc_id": batch.column(0),
             "quality": batch.column(2),
@@ -280,7 +282,7 @@ def train(docs, labels, sample_docs=SAMPLE_DOCS, steps=STEPS):
         }
 
     rows = map_batches(texts, extract, "doc_id long, quality int, features binary, sizes binary", BATCH)
-    rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.features))[: 2 * sample_docs]
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     if not rows:
         return None
     parts = [np.frombuffer(r.features, np.float32).reshape(-1, len(FEATURES)) for r in rows]

@@ -459,7 +459,7 @@ def _remove(pack, marks, answers):
     return np.cumsum(step[:-1]) > 0
 
 
-def remove_repeats(docs, id_col="doc_id", text_col="text"):
+def remove_repeats(docs, id_col="doc_id", text_col="text", whole_characters=False):
     """``docs`` with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and
     ``removed`` (begin and end of each removed run, flat), all its columns kept.
 
@@ -467,7 +467,9 @@ def remove_repeats(docs, id_col="doc_id", text_col="text"):
     document with a smaller id; strings are judged on the input. A null text is an
     empty one. A null id counts as larger than all others; rows that repeat an id do
     not remove from each other. Columns of ``docs`` named like the new ones are
-    replaced; an empty table gives an empty result.
+    replaced; an empty table gives an empty result. With ``whole_characters`` a
+    character that loses a byte goes as a whole, so ``kept`` is text again; nothing
+    else of the text changes.
     """
     spark = docs.sparkSession
     added = ["kept", "n_bytes", "n_removed", "removed"]
@@ -520,19 +522,22 @@ def remove_repeats(docs, id_col="doc_id", text_col="text"):
                 pack = Pack(_unpack(row["data"]), id_at, text_at, bits)
                 found = _marks(row["answered"], row["answers"])
                 marks = _marks(row["buckets"], row["marks"]) if found else {}
-                yield _cleaned(pack, _remove(pack, marks, found))
+                gone = _remove(pack, marks, found)
+                yield _cleaned(pack, _widened(pack, gone) if whole_characters else gone)
         give_back()
 
     joined = packs.join(marks, "pack", "left").join(answers, "pack", "left")
     return joined.mapInArrow(clean, out_schema)
 
 
-def valid_text(column):
-    """Bytes as text; what is left of a character that lost a byte is dropped."""
-    bad = "\ufffd"
-    return F.when(F.expr(f"is_valid_utf8(cast({column} as string))"), F.col(column).cast("string")).otherwise(
-        F.replace(F.expr(f"make_valid_utf8(cast({column} as string))"), F.lit(bad), F.lit(""))
-    )
+def _widened(pack, gone):
+    """The bytes of all characters of which a byte is gone."""
+    if not gone.any():
+        return gone
+    first = (pack.data & 0xC0) != 0x80
+    first[pack.starts[:-1][pack.starts[:-1] < len(first)]] = True
+    lost = np.logical_or.reduceat(gone, np.flatnonzero(first))
+    return lost[np.cumsum(first) - 1]
 
 
 def _cleaned(pack, gone):

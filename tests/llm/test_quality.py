@@ -123,3 +123,13 @@ def test_pipeline_takes_awkward_rows(spark, tmp_path):
     labels.where(F.lit(False)).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_one_row_of_a_labelled_id_is_learned_from(spark, monkeypatch):
+    rows = [(1, f"Good line {i} of prose.\nAnother one.") for i in range(3000)] + [(2, "xx || ##\n" * 500), (3, "Fine text.")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(lq, "fit", lambda f, n, t, s, old=lq.fit: (seen.append((n.tolist(), t.tolist())), old(f, n, t, s))[1])
+    assert lq.train(documents(spark, rows), labels) is not None
+    # All 500 lines of the second text, and one text of the first id.
+    assert seen == [([2, 501, 1], [1, 0, 0])]

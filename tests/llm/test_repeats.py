@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 from cases import awkward, documents, empty, prose
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from fieldspark.llm import jaccard_join, repeats
 from fieldspark.llm.graph import components
 
@@ -53,9 +56,41 @@ def test_no_documents(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
-def test_text_that_lost_half_a_character(spark):
-    broken = spark.createDataFrame([(bytearray("aé".encode()[:2]),), (bytearray(b"ok"),)], "kept binary")
-    assert [r[0] for r in broken.select(repeats.valid_text("kept")).collect()] == ["a", "ok"]
+SHARED = "a passage of more than fifty bytes that two documents share word by word"
+
+
+def cleaned_texts(spark, rows, **columns):
+    docs = documents(spark, rows, clashes=False).withColumns(columns)
+    return docs, corpus_pipeline.repeated_passages(spark, docs, None)
+
+
+def test_signs_of_the_input_stay(spark):
+    """A run that cuts one character leaves the U+FFFD that the text itself has."""
+    # The run ends between the two bytes of a character: both texts have its first byte.
+    rows = [(1, SHARED + "\u00e9 first"), (2, "bad \ufffd sign here \ufffd" + SHARED + "\u00e8 two \ufffd end")]
+    _, clean = cleaned_texts(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert got == {1: rows[0][1], 2: "bad \ufffd sign here \ufffd two \ufffd end"}
+
+
+def test_halves_of_two_characters_make_no_third(spark):
+    rows = [(1, "x\u0129" + SHARED + "\u00c4y"), (2, "start \u00e9" + SHARED + "\u00e4 end")]
+    raw = [t.encode() for _, t in rows]
+    # Both texts have the last byte of the character in front and the first of the one behind.
+    assert raw[0][2:3] == raw[1][7:8] == b"\xa9" and b"\xc3" in raw[0][-4:]
+    _, clean = cleaned_texts(spark, rows)
+    assert {r["doc_id"]: r["text"] for r in clean.collect()}[2] == "start  end"
+
+
+def test_columns_named_like_the_operators_stay(spark):
+    rows = [(1, SHARED + " one"), (2, "two " + SHARED)]
+    docs, clean = cleaned_texts(
+        spark, rows, kept=F.lit("mine"), n_bytes=F.lit("b"), n_removed=F.lit(2.5), removed=F.array(F.lit(1)), n_chars=F.lit(9)
+    )
+    assert clean.dtypes == docs.dtypes
+    for r in clean.collect():
+        assert (r["kept"], r["n_bytes"], r["n_removed"], r["removed"]) == ("mine", "b", 2.5, [1])
+        assert r["n_chars"] == len(r["text"])
 
 
 @pytest.mark.parametrize("length", [4, 8, 11])
