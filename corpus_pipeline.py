@@ -36,17 +36,21 @@ def near_copies(spark, docs, sf_dir):
 def repeated_passages(spark, docs, sf_dir):
     """Texts without the 50-byte strings that a document with a smaller id has.
 
-    A character that loses a byte goes as a whole. ``n_chars``, where there is such
-    a column, is that of the new text; a null text stays null.
+    A character that loses a byte goes as a whole; no other character does. ``n_chars``,
+    where there is such a column, is that of the new text; a null text stays null. Other
+    columns stay as they are, whatever they are called.
     """
-    cleaned = repeats.remove_repeats(docs)
-    text = F.when(F.col("text").isNotNull(), repeats.valid_text("kept"))
-    fields = {f.name: f.dataType for f in docs.schema}
-    new = cleaned.withColumn("text", text)
-    if "n_chars" in fields:
-        length = F.when(F.col("text").isNotNull(), F.length("text"))
-        new = new.withColumn("n_chars", F.coalesce(length, F.col("n_chars")).cast(fields["n_chars"]))
-    return new.select([F.col(f"`{c}`") for c in docs.columns])
+    # Under names of their own, no column meets one that the operator adds.
+    own = {c: f"_column_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.toDF(*own.values())
+    cleaned = repeats.remove_repeats(renamed, own["doc_id"], own["text"], whole_characters=True)
+    text = F.when(F.col(own["text"]).isNotNull(), F.col("kept").cast("string"))
+    columns = {c: F.col(n) for c, n in own.items()}
+    columns["text"] = text
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.coalesce(F.length(text), F.col(own["n_chars"])).cast(kind)
+    return cleaned.select([c.alias(name) for name, c in columns.items()])
 
 
 def packed(spark, docs, sf_dir):
