@@ -409,11 +409,12 @@ def prefix_trie(rows, batches=BATCHES):
     parents = nodes.where("depth > 0").select(
         F.col("depth").alias("pd"), F.col("ha").alias("pa"), F.col("hb").alias("pb"), F.col("member").alias("parent")
     )
-    smallest = nodes.where("depth = 0").select(F.col("member").alias("parent"))
-    at_root = nodes.where("pd = 0").crossJoin(F.broadcast(smallest))  # one row
+    # One row, sent to the many children of the root.
+    smallest = nodes.where("depth = 0").select(F.col("depth").alias("pd"), F.col("member").alias("parent"))
+    at_root = nodes.join(F.broadcast(smallest), "pd")
     others = nodes.where("pd > 0").join(parents, ["pd", "pa", "pb"])
     first = nodes.where("depth = 0").withColumn("parent", F.lit(None).cast("long"))
-    nodes = first.unionByName(at_root).unionByName(others)
+    nodes = first.unionByName(at_root.select(first.columns)).unionByName(others.select(first.columns))
     nodes = nodes.join(ends_digests(members.select("conv_id", *NODE)), NODE, "left")
     return expand(cut_lineage(nodes), prefix_rows)
 
