@@ -1,5 +1,7 @@
 """Enrichment, back-fill and keyed merges, and the whole combined table."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldspark.catalog.base import (
@@ -11,6 +13,7 @@ from fieldspark.catalog.base import (
     weather_weekdays,
     with_views,
 )
+from fieldspark.operators import bucketed
 from fieldspark.operators.merge import (
     append_missing,
     apply_dictionary,
@@ -93,6 +96,18 @@ def merge_into_unique(spark, sf_dir):
     return merged.select("seq", "is_recorded", *INSPECTION_COLUMNS)
 
 
+@query("merge_into_bucketed", _merged("is_recorded DESC, side, turn"))
+def merged_buckets(spark, sf_dir):
+    """The existing side lies in buckets of its key and is not moved."""
+    rows = expanded(spark, sf_dir)
+    there = F.coalesce(F.col("MosquitoRank") == "High", F.lit(False))
+    first = merge_insert_only(rows.where(there), rows.where(F.lit(False)), "seq")
+    name = f"existing_{uuid.uuid4().hex}"
+    bucketed.save_bucketed(first, name, buckets=8)
+    merged = bucketed.merge_into_bucketed(spark, name, rows.where(~there), "seq")
+    return bucketed.read_bucketed(spark, merged).select("seq", "is_recorded", *INSPECTION_COLUMNS)
+
+
 @query("merge_insert_only_first", _merged("side, turn"))
 def merge_first(spark, sf_dir):
     return _merge(spark, sf_dir, "first")
