@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow.fs
 
 LARGE = 255
+AT_ONCE = 6
 OPEN_FILES = 1024
 
 
@@ -45,7 +46,7 @@ def read_arrays(path):
     """The arrays of a file: mapped into memory where the folder is mounted, otherwise
     read whole (a file has a bounded size)."""
     if urlparse(path).scheme in ("", "file"):
-        data = np.memmap(urlparse(path).path, np.uint8, "r")
+        data = np.memmap(urlparse(path).path, np.uint8, "r").view(np.ndarray)
     else:
         files, place = pyarrow.fs.FileSystem.from_uri(path)
         with files.open_input_file(place) as source:
@@ -77,7 +78,7 @@ def hash_table(name, keys, *columns, extra=None):
     """Arrays of the table of unsigned 64-bit ``keys`` with columns of counts."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    bits = max(0, int(len(keys) // 4).bit_length() - 1)
+    bits = max(0, int(len(keys) // 3).bit_length() - 1)
     starts = np.searchsorted(_lead(keys, bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     out = {f"{name}_starts": starts.astype(np.uint32), f"{name}_keys": _follow(keys, bits)}
     if columns:
@@ -107,12 +108,13 @@ def find(arrays, name, keys):
     at, end = starts[lead].astype(np.int64), starts[lead + 1].astype(np.int64)
     left = np.flatnonzero(at < end)
     while len(left):
-        here = known[at[left]]
-        hit = here == wanted[left]
-        place[left[hit]] = at[left[hit]]
-        left = left[here < wanted[left]]
-        at[left] += 1
-        left = left[at[left] < end[left]]
+        # A run has a few keys: as many are compared at once.
+        near = at[left][:, None] + np.arange(AT_ONCE)
+        same = (known[np.minimum(near, len(known) - 1)] == wanted[left][:, None]) & (near < end[left][:, None])
+        hit = same.any(axis=1)
+        place[left[hit]] = at[left[hit]] + same[hit].argmax(axis=1)
+        at[left] += AT_ONCE
+        left = left[~hit & (at[left] < end[left])]
     return place
 
 
