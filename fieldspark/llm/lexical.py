@@ -6,7 +6,8 @@ centres and every document goes to the centre whose impacts are most like its ow
 block keeps, for every term, the largest impact that one of its documents has. No
 document of a block can score more than the query does on these maxima, so a block is
 passed over only if that bound is below the score that the k-th best document is known
-to reach; the others are scored exactly, best bound first.
+to reach; the others are scored exactly, best bound first. So are all documents of a
+list of very few.
 
 A sixteenth of the shards is searched first. What their k-th best documents score is the
 bound that the search of all shards starts with.
@@ -14,7 +15,7 @@ bound that the search of all shards starts with.
 Terms are named by 64-bit hashes.
 """
 
-import io
+import json
 import math
 
 import numpy as np
@@ -30,14 +31,19 @@ from fieldspark.storage import new_path
 
 BATCH = 1 << 20
 # Items searched together have at most about so many terms; the others follow in turn.
-GROUP_TERMS = 4096
-SHARD_DOCS = 4096
-SHARD_CELLS = 1 << 24
+GROUP_TERMS = 8192
+SHARD_DOCS = 2048
+SHARD_CELLS = 1 << 23
 BLOCK = 96
+# Posting lists of so few documents have no maxima: those would be longer than the list.
+SHORT = 8
 # Maxima are kept in steps of so much, rounded up, so that each fits a byte.
 STEP = 4096
 SKETCH = 32
+# Bytes of a row group of the index, a few shards.
+ROW_GROUP = 8 << 20
 SEED_SHARDS = 16
+BOUNDLESS = np.iinfo(np.int64).max
 
 
 # -- the queries ---------------------------------------------------------------
@@ -63,13 +69,13 @@ def groups_of(items, id_col, text_col, most=GROUP_TERMS):
         F.col(id_col).cast("long").alias("item_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).distinct()
-    group, terms = [], 0
+    group, terms = [], set()
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         group.append((row["item_id"], row["text"]))
-        terms += len(row["text"]) // 5 + 1
-        if terms >= 2 * most:
+        terms.update(word_hashes(pa.array([row["text"]], pa.string()), ALPHANUMERIC)[0].tolist())
+        if len(terms) >= most:
             yield Queries(group)
-            group, terms = [], 0
+            group, terms = [], set()
     if group:
         yield Queries(group)
 
@@ -134,27 +140,55 @@ def build_shard(doc, place, value, n_docs, n_terms):
     coarse = np.zeros((n_docs, n_terms), np.uint8)
     coarse[doc, place] = -(-value // STEP)
     signs = np.where(mix(np.arange(n_terms * SKETCH, dtype=np.uint64)) & np.uint64(1), 1, -1).reshape(n_terms, SKETCH)
-    sketches = coarse.astype(np.float32) @ signs.astype(np.float32)
+    signs = signs.astype(np.float32)
+    parts = [coarse[at : at + 256].astype(np.float32) @ signs for at in range(0, n_docs, 256)]
+    sketches = np.concatenate(parts)
     sketches /= np.linalg.norm(sketches, axis=1, keepdims=True) + 1e-9
     order = np.argsort(place, kind="stable")
     starts = np.searchsorted(place[order], np.arange(n_terms + 1))
-    members, ends, maxima, first_block = [], [], [], [0]
-    base = 0
+    members, ends, first_block, base = [], [], [0], 0
     for term in range(n_terms):
         docs = doc[order[starts[term] : starts[term + 1]]]
+        own = []
         if len(docs):
             docs, own = cluster(docs, sketches)
             members.append(docs)
             ends.append(own + base)
-            maxima.append(np.maximum.reduceat(coarse[docs], np.append(0, own[:-1]), axis=0))
             base += len(docs)
-        first_block.append(first_block[-1] + (len(own) if len(docs) else 0))
-    return {
-        "members": np.concatenate(members).astype(np.int32) if members else np.zeros(0, np.int32),
-        "ends": np.concatenate(ends) if ends else np.zeros(0, np.int64),
-        "maxima": np.concatenate(maxima) if maxima else np.zeros((0, n_terms), np.uint8),
-        "first_block": np.array(first_block),
-    }
+        first_block.append(first_block[-1] + len(own))
+    members = np.concatenate([np.zeros(0, np.int32), *members]).astype(np.int32)
+    ends = np.concatenate([np.zeros(0, np.int64), *ends])
+    first_block = np.array(first_block)
+    # The block's row among the maxima, or -1.
+    begins = np.append(0, ends[:-1])[: len(ends)]
+    in_list = np.repeat(np.diff(starts), np.diff(first_block))
+    kept = np.flatnonzero(in_list > SHORT)
+    summary = np.full(len(ends), -1, np.int32)
+    summary[kept] = np.arange(len(kept))
+    maxima = np.zeros((len(kept), n_terms), np.uint8)
+    for row, block in enumerate(kept.tolist()):
+        coarse[members[begins[block] : ends[block]]].max(axis=0, out=maxima[row])
+    return {"members": members, "ends": ends, "maxima": maxima, "summary": summary, "first_block": first_block}
+
+
+def to_bytes(arrays):
+    """Arrays as one compressed value."""
+    head = json.dumps([(n, a.dtype.str, a.shape) for n, a in arrays.items()]).encode()
+    out = zstandard.ZstdCompressor(1).compressobj()
+    parts = [out.compress(len(head).to_bytes(8, "little") + head)]
+    parts += [out.compress(np.ascontiguousarray(a)) for a in arrays.values() if a.size]
+    return b"".join([*parts, out.flush()])
+
+
+def from_bytes(value):
+    data = zstandard.ZstdDecompressor().decompressobj().decompress(value)
+    at = 8 + int.from_bytes(data[:8], "little")
+    arrays = {}
+    for name, kind, shape in json.loads(data[8:at]):
+        count = math.prod(shape)
+        arrays[name] = np.frombuffer(data, kind, count, at).reshape(shape)
+        at += count * np.dtype(kind).itemsize
+    return arrays
 
 
 def write_index(counted, n_terms, documents, total, path):
@@ -173,10 +207,8 @@ def write_index(counted, n_terms, documents, total, path):
             "doc": doc.astype(np.int32), "place": place.astype(np.int32), "value": value.astype(np.int32),
             "null": null, "id": np.array([i or 0 for i in rows["doc_id"]], np.int64),
         }
-        out = io.BytesIO()
-        np.savez(out, **arrays)
         seed = int(mix(np.array([number]))[0]) % SEED_SHARDS == 0
-        return {"seed": [seed], "shard": [zstandard.compress(out.getvalue(), 1)]}
+        return {"seed": [seed], "shard": [to_bytes(arrays)]}
 
     def shards(batches):
         number = TaskContext.get().partitionId() << 32
@@ -196,7 +228,11 @@ def write_index(counted, n_terms, documents, total, path):
 
     # Documents with none of the terms count above but are in no list.
     listed = counted.where(F.size("places") > 0)
-    iterate_batches(listed, shards, "seed boolean, shard binary").write.partitionBy("seed").parquet(path)
+    rows = iterate_batches(listed, shards, "seed boolean, shard binary", BATCH)
+    # Values of megabytes: a row group is closed as soon as it is full, and its values are
+    # compressed already.
+    options = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1, "compression": "none"}
+    rows.write.options(**options).parquet(path)
 
 
 # -- the search ----------------------------------------------------------------
@@ -218,7 +254,10 @@ def search_shard(index, wanted, least, best, k):
         blocks = np.concatenate([np.zeros(0, np.int64), *[np.arange(first[t], first[t + 1]) for t in terms]])
         if not len(blocks):
             continue
-        bounds = (index["maxima"][blocks[:, None], terms].astype(np.int64) * STEP) @ weights
+        row = index["summary"][blocks]
+        bounds = np.full(len(blocks), BOUNDLESS)
+        told = np.flatnonzero(row >= 0)
+        bounds[told] = (index["maxima"][row[told][:, None], terms].astype(np.int64) * STEP) @ weights
         order = np.argsort(-bounds, kind="stable")
         blocks, bounds = blocks[order], bounds[order]
         seen = np.zeros(n_docs, dtype=bool)
@@ -252,12 +291,11 @@ def search_index(shards, wanted, least, k):
         best = [[] for _ in wanted]
         for batch in batches:
             for blob in batch.column("shard"):
-                index = np.load(io.BytesIO(zstandard.decompress(blob.as_py())))
-                search_shard({n: index[n] for n in index.files}, wanted, least, best, k)
+                search_shard(from_bytes(blob.as_py()), wanted, least, best, k)
         rows = [(q, None if null else i, score) for q, own in enumerate(best) for score, null, i in own]
         yield {c: [r[j] for r in rows] for j, c in enumerate(("query", "doc_id", "score"))}
 
-    return iterate_batches(shards.select("shard"), search, "query int, doc_id long, score long")
+    return iterate_batches(shards.select("shard"), search, "query int, doc_id long, score long", BATCH)
 
 
 def _ranked(found, k):
@@ -289,7 +327,7 @@ def rank_documents(docs, items, k=10, id_col="doc_id", text_col="text", item_col
             holding[place] = n
         weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * n + 1))) for n in holding.tolist()])
         write_index(counted, len(queries.terms), documents, total, index_at)
-        shards = spark.read.schema("shard binary, seed boolean").parquet(index_at)
+        shards = spark.read.schema("seed boolean, shard binary").parquet(index_at)
         wanted = queries.weighted(weights)
         least = [1] * len(wanted)
         seeds = _ranked(search_index(shards.where("seed"), wanted, least, k), k).where(F.col("rank") == k)
