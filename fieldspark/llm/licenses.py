@@ -7,8 +7,12 @@ and "unknown" from a bounded sample of the corpus's own distinct paragraphs that
 unlike all templates. On a part held back, the scale of the scores is fitted, so that
 a probability means what it says.
 
-A paragraph is scored whole and, where enough of its word pairs are known, in windows
-of several sizes, so a notice is found inside a longer line. A kind that wins is
+A paragraph is scored whole and, where a notice can be, in windows of the lengths that
+templates have and of lengths between, so a notice is found inside a longer line. A
+window that is confirmed has most pairs of a template, so it has one of any part of
+them that is large enough: of each template the pairs with the longest words are its
+anchors, and only windows with an anchor are looked at. Lines are cut into overlapping
+segments first, so the work grows with a line's length. A kind that wins is
 compared with its templates in both directions: the share of the window's word pairs
 that the kind's templates have, and the share of a template's that the window has.
 Names, versions and variants (nc, nd, sa, lesser, affero, 2 or 3) must be the same in
@@ -17,6 +21,7 @@ both, and none may stand right outside the window.
 Everything runs on DataFrame functions and Spark ML.
 """
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -283,7 +288,11 @@ FEATURES = 1 << 14
 SAMPLE_PARAGRAPHS = 20_000
 HASH_PARTS = 1 << 16
 TRAINING_WORDS = (4, 6, 9, 14, 24)
+# Lengths of windows besides those of the templates.
 WINDOW_WORDS = (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 20, 24, 30, 36, 45, 55)
+# Windows of a segment begin at so many words; words around are there to be seen.
+SEGMENT_WORDS = 160
+BEFORE_WORDS, AFTER_WORDS = 3, 2
 CONFIRMED = 0.6
 # A kind less likely than this stays unknown.
 LEAST_PROBABILITY = 0.5
@@ -456,31 +465,95 @@ def train(docs, sample=SAMPLE_PARAGRAPHS):
     return Model(regression, min(known)[1] if known else 1.0)
 
 
-def _windows(words, known):
-    """The whole paragraph, and every window that begins and has enough pairs in
-    ``known`` to be confirmed: arrays of (at, n), ``at`` from 1."""
+def window_sizes():
+    lengths = {len(w) for _, _, w in _templates() if len(w) > 1}
+    return sorted({*lengths, *(n for n in WINDOW_WORDS if n < max(lengths))})
+
+
+def anchors():
+    """Pairs of which every window that is confirmed has one: of each template more than
+    the share that a window may lack, those with the longest words."""
+    chosen = set()
+    for _, _, words in _templates():
+        pairs = sorted(set(template_pairs(words)), key=lambda p: (-max(map(len, p.split())), p))
+        # A window that has none of these has less than CONFIRMED of the template.
+        chosen.update(pairs[: len(pairs) - math.ceil(CONFIRMED * len(pairs)) + 1])
+    return sorted(chosen)
+
+
+def longest_words(pairs):
+    """The longest word of each pair: without one of these there is no such pair."""
+    return sorted({max(p.split(), key=lambda w: (len(w), w)) for p in pairs})
+
+
+def _segments(line):
+    """The line as a whole, and where it has an anchor's word, its segments: ``words``,
+    the place ``first`` of the first window in them, and the number ``starts`` of places
+    at which windows begin, 0 for the whole line."""
+    widest = window_sizes()[-1]
+    entry = lambda words, first, starts: F.struct(
+        words.alias("words"), first.cast("int").alias("first"), starts.cast("int").alias("starts")
+    )
+
+    def segment(at):
+        low = F.greatest(at - BEFORE_WORDS, F.lit(1))
+        high = F.least(at + SEGMENT_WORDS + widest + AFTER_WORDS, F.size(line) + 1)
+        return entry(F.slice(line, low, high - low), at - low + 1, F.least(F.lit(SEGMENT_WORDS), F.size(line) - at + 1))
+
+    whole = F.array(entry(line, F.lit(1), F.lit(0)))
+    ats = F.sequence(F.lit(1), F.size(line), F.lit(SEGMENT_WORDS))
+    may_hold = F.exists(line, lambda w: w.isin(longest_words(anchors())))
+    return F.when(may_hold, F.concat(whole, F.transform(ats, segment))).otherwise(whole)
+
+
+def _windows(segment):
+    """Windows to score as structs of ``words``, whether the line is ``whole`` and whether
+    a name or version is ``cut`` at an edge: the line itself, or the windows of a segment
+    that have an anchor and enough pairs in all templates to be confirmed."""
+    sizes, known, anchored = window_sizes(), _known_pairs(), anchors()
+    qualifiers = _strings(list(QUALIFIERS))
+    words = segment["words"]
+
+    def cut(at, n):
+        low = F.greatest(at - 2, F.lit(1))
+        before = F.filter(F.slice(words, low, at - low), lambda w: ~w.rlike("^v?[0-9]$"))
+        after = F.slice(words, at + n, 1)
+        # Pairs that begin or end outside.
+        joint = F.transform(
+            F.array(at - 3, at - 2, at + n - 2, at + n - 1),
+            lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)),
+        )
+        return F.coalesce(F.arrays_overlap(F.concat(before, after, joint), qualifiers), F.lit(False))
+
+    def window(at, n):
+        return F.struct(
+            F.slice(words, at, n).alias("words"), F.lit(False).alias("whole"), cut(at, n).alias("cut")
+        )
 
     def around(flags):
-        total = F.size(flags) + 1
+        """``flags``: 2 for an anchor, 1 for another known pair."""
+        total = F.size(words)
+        last = segment["first"] + segment["starts"]
+        begins = F.filter(
+            F.sequence(segment["first"], last),
+            lambda i: (i < last)
+            & (F.get(flags, i - 1) > 0)
+            & F.exists(F.slice(flags, i, sizes[-1] - 1), lambda x: x == 2),
+        )
 
         def sized(at):
-            sizes = F.array_distinct(
-                F.transform(F.array(*map(F.lit, WINDOW_WORDS)), lambda n: F.least(n, total - at + 1))
-            )
-            return F.transform(sizes, lambda n: F.struct(at.alias("at"), n.alias("n")))
+            fitting = F.filter(F.array(*map(F.lit, sizes)), lambda n: at + n - 1 <= total)
+            enough = F.filter(fitting, lambda n: let(F.slice(flags, at, n - 1), lambda own: holds(own, n)))
+            return F.transform(enough, lambda n: window(at, n))
 
-        def enough(w):
-            of = F.slice(flags, w["at"], w["n"] - 1)
-            return (w["n"] > 1) & (F.aggregate(of, F.lit(0), lambda t, x: t + x) >= CONFIRMED * (w["n"] - 1))
+        def holds(own, n):
+            return F.exists(own, lambda x: x == 2) & (F.size(F.filter(own, lambda x: x > 0)) >= CONFIRMED * (n - 1))
 
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1))), lambda i: F.get(flags, i - 1) == 1)
-        whole = F.array(F.struct(F.lit(1).alias("at"), total.alias("n")))
-        some = F.exists(flags, lambda x: x == 1)
-        found = F.flatten(F.transform(starts, lambda at: F.filter(sized(at), enough)))
-        return F.when(some, F.array_distinct(F.concat(whole, found))).otherwise(whole)
+        return F.flatten(F.transform(begins, sized))
 
-    flags = F.transform(pairs_of(words), lambda p: F.when(p.isin(known), 1).otherwise(0))
-    return let(flags, around)
+    flag = lambda p: F.when(p.isin(anchored), 2).when(p.isin(known), 1).otherwise(0)
+    itself = F.array(F.struct(words.alias("words"), F.lit(True).alias("whole"), F.lit(False).alias("cut")))
+    return F.when(segment["starts"] == 0, itself).otherwise(let(F.transform(pairs_of(words), flag), around))
 
 
 def _marks(words):
@@ -493,39 +566,22 @@ def _marks(words):
 def scan(docs, model):
     """Paragraphs that the classifier takes for a licence notice.
 
-    ``doc_id, paragraph, family, probability, similarity, confirmed``. A paragraph
+    ``doc_id, paragraph, kind, family, probability, similarity, confirmed``. A paragraph
     with confirmed notices has a row for each licence they name; one that is taken
-    for a notice as a whole and has none confirmed has one row, with the family most
-    like it. A null or blank text has no paragraph; null ids and repeated rows are
+    for a notice as a whole and has none confirmed has one row, with the ``kind`` most
+    like it and no family. A null or blank text has no paragraph; null ids and repeated rows are
     reported row by row; an empty table gives an empty result. Only what the
     classifier found is shuffled.
     """
     spark = docs.sparkSession
-    lines = (
+    rows = (
         paragraphs(docs)
         .withColumn("line", words_of(F.col("text")))
         .where(F.size("line") > 0)
         .select("doc_id", "paragraph", "line", F.monotonically_increasing_id().alias("row"))
-        .withColumn("window", F.explode(_windows(F.col("line"), _known_pairs())))
-    )
-    at, n = F.col("window.at"), F.col("window.n")
-    before = F.slice("line", F.greatest(at - 2, F.lit(1)), at - F.greatest(at - 2, F.lit(1)))
-    after = F.slice("line", at + n, 1)
-    # Pairs that begin or end outside.
-    joint = F.transform(
-        F.array(at - 3, at - 2, at + n - 2, at + n - 1),
-        lambda i: F.concat(F.get("line", i), F.lit(" "), F.get("line", i + 1)),
-    )
-    qualifiers = _strings(list(QUALIFIERS))
-    named_outside = F.filter(before, lambda w: ~w.rlike("^v?[0-9]$"))
-    cut = F.arrays_overlap(F.concat(named_outside, after, joint), qualifiers)
-    rows = lines.select(
-        "doc_id",
-        "paragraph",
-        "row",
-        (n == F.size("line")).alias("whole"),
-        F.slice("line", at, n).alias("words"),
-        F.coalesce(cut, F.lit(False)).alias("cut"),
+        .select("doc_id", "paragraph", "row", F.explode(_segments(F.col("line"))).alias("segment"))
+        .select("doc_id", "paragraph", "row", F.explode(_windows(F.col("segment"))).alias("window"))
+        .select("doc_id", "paragraph", "row", "window.*")
     )
     found = (F.col("best.place") > 1) & (F.col("best.probability") >= LEAST_PROBABILITY)
     kinds = F.array(*map(F.lit, KINDS))
@@ -550,7 +606,8 @@ def scan(docs, model):
     )
     # Only a whole paragraph is compared with templates of other marks.
     same = F.col("marks") == F.col("template_marks")
-    pairs_with = (measured["kind"] == templates["kind"]) & (same | F.col("whole"))
+    templates = templates.withColumnRenamed("kind", "template_kind")
+    pairs_with = (F.col("kind") == F.col("template_kind")) & (same | F.col("whole"))
     common = F.size(F.array_intersect("pairs", "template"))
     compared = (
         measured.join(F.broadcast(templates), pairs_with)
@@ -558,7 +615,7 @@ def scan(docs, model):
         .withColumn("confirmed", (F.col("similarity") >= CONFIRMED) & same & ~F.col("cut"))
         .where("confirmed OR whole")
     )
-    rank = F.struct("confirmed", "similarity", "best.probability", "family")
+    rank = F.struct("confirmed", "similarity", "best.probability", "family", "kind")
     per_licence = compared.groupBy("row", "doc_id", "paragraph", F.when(F.col("confirmed"), F.col("marks")).alias("marks"))
     best = per_licence.agg(F.max(rank).alias("top"))
     several = best.groupBy("row", "doc_id", "paragraph").agg(F.collect_list("top").alias("all"))
@@ -570,7 +627,8 @@ def scan(docs, model):
     ).select(
         "doc_id",
         "paragraph",
-        "top.family",
+        "top.kind",
+        F.when(F.col("top.confirmed"), F.col("top.family")).alias("family"),
         "top.probability",
         "top.similarity",
         "top.confirmed",

@@ -1,7 +1,11 @@
 """Licence notices: neighbours told apart, notices inside lines, distinct sample."""
 
+import random
+import time
+
 import pytest
 from cases import documents, prose
+from pyspark.sql import functions as F
 
 from fieldspark.llm import licenses
 
@@ -61,3 +65,73 @@ def test_unknown_is_learned_from_distinct_lines(spark):
     rows = [(i, f"stone river{i % 30}\n-----\n{notice}") for i in range(1200)]
     learned = licenses.training_rows(documents(spark, rows), sample=20).where("label = 0").collect()
     assert len(learned) == len({tuple(r.words) for r in learned}) == 20
+
+
+def windows_by_hand(line):
+    """Windows of a list of words that have an anchor and enough known pairs."""
+    known, anchored = set(licenses._known_pairs()), set(licenses.anchors())
+    pairs = licenses.template_pairs(line)
+    out = []
+    for at in range(len(line)):
+        for n in licenses.window_sizes():
+            own = pairs[at : at + n - 1]
+            if at + n <= len(line) and own and own[0] in known and anchored & set(own):
+                if sum(p in known for p in own) >= licenses.CONFIRMED * (n - 1):
+                    out.append(tuple(line[at : at + n]))
+    return sorted(out)
+
+
+def test_windows_equal_those_by_hand(spark):
+    rng = random.Random(4)
+    vocabulary = sorted({w for _, _, words in licenses._templates() for w in words})
+    texts = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(3)]
+    notice = " ".join(f"{t} {prose(i, 20)}" for i, t in enumerate(NOTICES)).replace("\n", " ")
+    texts += [notice * 3, prose(7, 50).replace("\n", " "), "mit license"]
+    df = documents(spark, list(enumerate(texts)))
+    lines = licenses.paragraphs(df).withColumn("line", licenses.words_of(F.col("text")))
+    found = lines.select("doc_id", F.explode(licenses._segments(F.col("line"))).alias("s"))
+    found = found.select("doc_id", F.explode(licenses._windows(F.col("s"))).alias("w"))
+    got = {}
+    for r in found.where("NOT w.whole").collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r["w"]["words"]))
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == windows_by_hand(licenses.template_words(text))
+
+
+def test_a_confirmed_window_has_an_anchor():
+    chosen = set(licenses.anchors())
+    for _, _, words in licenses._templates():
+        pairs = set(licenses.template_pairs(words))
+        assert len(pairs - chosen) < licenses.CONFIRMED * len(pairs) or not pairs
+
+
+def test_a_long_line_takes_time_in_proportion(spark, model):
+    rng = random.Random(5)
+    vocabulary = sorted({w for _, _, words in licenses._templates() for w in words})
+    line = " ".join(rng.choices(vocabulary, k=20_000))
+    notice = "Licensed under the Apache License, Version 2.0."
+    start = time.time()
+    found = licenses.scan(documents(spark, [(1, f"{line} {notice} {line}")]), model).collect()
+    assert "apache-2.0" in {r["family"] for r in found}
+    assert time.time() - start < 60
+
+
+def test_marks_and_shares_by_hand(spark):
+    texts = list(NOTICES) + [prose(1, 30), "GNU GPL v2 or later, cc by nc 4 0 license"]
+    rows = [(t, licenses.template_words(t)) for t in texts]
+    df = spark.createDataFrame(rows, "text string, words array<string>")
+    known = licenses._known_pairs("gnu")
+    shares = df.select(
+        licenses.words_of(F.col("text")).alias("w"), licenses._marks(F.col("words")).alias("marks"),
+        licenses._share(F.col("words"), F.array(*map(F.lit, known))).alias("share"),
+    ).collect()
+    for (text, words), r in zip(rows, shares, strict=True):
+        pairs = set(licenses.template_pairs(words))
+        assert (r["w"], r["marks"]) == (words, licenses.marks_of(words))
+        assert r["share"] == pytest.approx(len(pairs & set(known)) / len(pairs) if pairs else 0.0)
+
+
+def test_no_family_where_none_is_confirmed(spark, model):
+    texts = ["This file is licensed under the GNU GPL.", "Licensed under the Apache License, Version 9.0."]
+    for r in licenses.scan(documents(spark, list(enumerate(texts))), model).collect():
+        assert not r["confirmed"] and r["family"] is None and r["kind"] in licenses.KINDS
