@@ -1,5 +1,7 @@
 """Landing-zone readers. Schemas are always given, never inferred."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +16,7 @@ from fieldspark.schema import (
     WEATHER_PAYLOAD,
     text_schema,
 )
+from fieldspark.storage import first_bytes
 
 BAD_RECORD = "_bad_record"
 
@@ -39,12 +42,114 @@ def _options(dialect):
         if key not in DIALECT_OPTIONS:
             raise ValueError(f"unknown dialect option: {key}")
         options[DIALECT_OPTIONS[key]] = value
-    if options.get("encoding", "").upper().startswith(("UTF-16", "UTF-32")):
-        # Lines of wide characters cannot be split as bytes: one task per file.
-        options["multiLine"] = True
     return options
 
 
+# Line ends of wide characters as the bytes of a text that UTF-8 writes the same, and the
+# bytes of a character. Byte order marks by encoding, longest first.
+WIDE_LINE_ENDS = {
+    "UTF-16LE": ("\n\0", 2),
+    "UTF-16BE": ("\0\n", 2),
+    "UTF-32LE": ("\n\0\0\0", 4),
+    "UTF-32BE": ("\0\0\0\n", 4),
+}
+BYTE_ORDER_MARKS = {
+    "UTF-32LE": b"\xff\xfe\0\0",
+    "UTF-32BE": b"\0\0\xfe\xff",
+    "UTF-16LE": b"\xff\xfe",
+    "UTF-16BE": b"\xfe\xff",
+}
+
+
+def _is_wide(options):
+    return options.get("encoding", "").upper().startswith(("UTF-16", "UTF-32"))
+
+
+def _whole_files(options):
+    """Wide characters read by the CSV reader itself: one task a file."""
+    return {**options, "multiLine": True} if _is_wide(options) else options
+
+
+def _byte_order(spark, file, encoding):
+    """The encoding of a file with its byte order, which its first bytes may tell."""
+    encoding = encoding.upper()
+    if encoding in WIDE_LINE_ENDS:
+        return encoding
+    start = first_bytes(spark, file, 4)
+    for name, mark in BYTE_ORDER_MARKS.items():
+        if name.startswith(encoding) and start.startswith(mark):
+            return name
+    return f"{encoding}BE"
+
+
+def _decoded(data, encoding):
+    mark = BYTE_ORDER_MARKS[encoding]
+    bare = F.when(F.substring(data, 1, len(mark)) == F.lit(mark), F.substring(data, len(mark) + 1, 2**31 - 1))
+    bare = F.coalesce(bare, data)
+    if encoding.startswith("UTF-32"):
+        # The order of the bytes is told by a mark.
+        text = F.decode(F.concat(F.lit(mark), bare), "UTF-32")
+        return F.regexp_replace(text, "^\ufeff", "")
+    return F.decode(bare, encoding)
+
+
+def _wide_lines(spark, files, options, header):
+    """Lines of files of wide characters, read by byte ranges as those of narrow ones:
+    ``line, _at``, without header lines. None if they cannot be read so: if a line end's
+    bytes also stand across two characters, a file has another header or the header
+    twice, or quoted fields may hold line breaks.
+    """
+    if options.get("multiLine") or "lineSep" in options:
+        return None
+    parts = []
+    for encoding in sorted({_byte_order(spark, f, options["encoding"]) for f in files}):
+        own = [f for f in files if _byte_order(spark, f, options["encoding"]) == encoding]
+        end, width = WIDE_LINE_ENDS[encoding]
+        data = F.col("value").cast("binary")
+        rows = spark.read.option("lineSep", end).text(own).select(data.alias("data"), _place().alias("_at"))
+        # Lines are cut at characters' borders if no line has a part of a character.
+        broken = F.octet_length("data") % width != 0
+        if rows.where(broken).limit(1).count():
+            return None
+        line = F.regexp_replace(_decoded(F.col("data"), encoding), "\r$", "")
+        parts.append(rows.select(line.alias("line"), "_at"))
+    lines = reduce(lambda a, b: a.union(b), parts)
+    headers = lines.where(F.col("line") == header).groupBy("_at.file").count()
+    single = headers.agg(F.count(F.lit(1)).alias("files"), F.max("count").alias("most")).first()
+    if (single["files"], single["most"]) != (len(files), 1):
+        return None
+    kept = (F.col("line") != header) & (F.trim("line") != "")
+    if "comment" in options:
+        kept = kept & ~F.startswith(F.col("line"), F.lit(options["comment"]))
+    return lines.where(kept)
+
+
+def _place():
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def _rows(spark, path, files, names, options, checked):
+    """Rows of CSV files with the reader's column names, the record as it was where it is
+    malformed, and ``_at``, the row's place."""
+    schema = text_schema(names).add(BAD_RECORD, "string")
+    if _is_wide(options):
+        as_is = {"header": False, "sep": "\0", "quote": "", "escape": ""}
+        as_is |= {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        header = spark.read.options(**{**_whole_files(options), **as_is}).csv(files[0]).first()
+        lines = _wide_lines(spark, files, options, header[0].lstrip("\ufeff")) if header else None
+        if lines is not None:
+            kept = {k: str(v) for k, v in options.items() if k not in ("header", "encoding")}
+            kind = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+            record = F.from_csv("line", kind, {**kept, "columnNameOfCorruptRecord": BAD_RECORD})
+            return lines.select(record.alias("record"), "_at").select("record.*", "_at")
+    reader = spark.read.schema(schema).options(columnNameOfCorruptRecord=BAD_RECORD, **_whole_files(options))
+    return reader.option("enforceSchema", not checked).csv(path).select("*", _place().alias("_at"))
+
+
 def _files(spark, path):
     """The files below a path, without reading them."""
     rows = spark.read.format("binaryFile").load(path).select("path").collect()
@@ -54,6 +159,7 @@ def _files(spark, path):
 def _header(spark, file, options):
     """The reader's column names and the names as the file has them. The reader numbers
     repeated names by position."""
+    options = _whole_files(options)
     raw = spark.read.options(**{**options, "header": False}).csv(file).first()
     names = spark.read.options(**{**options, "header": True}).csv(file).columns
     return tuple(names), tuple(raw or names)
@@ -72,7 +178,7 @@ def read_inspections(
 
     Columns absent from the file are NULL and a malformed line stays visible in
     ``_bad_record``; empty lines are skipped. All files must have the same header,
-    else the read fails; with ``mixed_headers`` every file's header is looked at
+    else the read fails (files of UTF-16 and UTF-32 are not compared); with ``mixed_headers`` every file's header is looked at
     and each file is bound by its own. ``others`` keeps the columns that ``schema``
     does not name. ``place`` names an extra column that orders the rows as the files
     have them, for the merges that depend on it: a struct of file, block and row in the
@@ -91,23 +197,13 @@ def read_inspections(
     for (names, raw), group in headers.items():
         # The reader compares headers itself, except repeated names, which it renames.
         checked = len(files) > 1 and not mixed_headers and names == raw
-        rows = (
-            spark.read.schema(text_schema(names).add(BAD_RECORD, "string"))
-            .options(columnNameOfCorruptRecord=BAD_RECORD, **options)
-            .option("enforceSchema", not checked)
-            .csv(group if mixed_headers else path)
-        )
+        rows = _rows(spark, group if mixed_headers else path, group if mixed_headers else files, names, options, checked)
         columns = [_by_name(names, raw, c).alias(c) for c in known]
         if others:
             columns += [_by_name(names, raw, c).alias(c) for c in dict.fromkeys(raw) if c and c not in known]
         columns.append(F.col(BAD_RECORD))
         if seq or place:
-            at = F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            )
-            columns.append(at.alias(place or "_place"))
+            columns.append(F.col("_at").alias(place or "_place"))
         parts.append(rows.select(*columns))
     rows = parts[0]
     for part in parts[1:]:
@@ -122,7 +218,7 @@ def read_positional(spark, path, columns=COMBINED_COLUMNS, dialect=None):
     """Ignore the header's names and bind columns by position: short rows are
     padded with NULL, extra fields dropped, empty lines skipped, text trimmed."""
     options = {"header": True, "enforceSchema": True, **_options({"trim": True, **(dialect or {})})}
-    rows = spark.read.schema(text_schema(columns)).options(**options).csv(path)
+    rows = spark.read.schema(text_schema(columns)).options(**_whole_files(options)).csv(path)
     return rows.select(*[cells.blank_to_null(F.col(c)).alias(c) for c in columns])
 
 

@@ -76,3 +76,14 @@ def remove_folder(spark, path):
     """Delete a folder that no table refers to any more."""
     files, location = _file_system(spark, path)
     return files.delete(location, True)
+
+
+def first_bytes(spark, path, n):
+    """The first bytes of a file, as the driver reads them."""
+    files, location = _file_system(spark, path)
+    stream = files.open(location)
+    try:
+        read = [stream.read() for _ in range(n)]
+    finally:
+        stream.close()
+    return bytes(b for b in read if b >= 0)
