@@ -14,10 +14,13 @@ gathered: every depth below the exit is a row under the hash of its prefix, and
 smallest and largest next turn of a prefix tell whether strings part there.
 
 Prefixes are named by two 64-bit hashes that are combined by exclusive or, so those of a
-long conversation are computed in chunks by separate tasks.
+long conversation are computed in chunks by separate tasks. They are written once, in
+buckets of string and depth: probes of every round and batch go to the buckets, and the
+prefixes themselves are not shuffled again to meet them.
 """
 
 import hashlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window as W
@@ -29,6 +32,7 @@ from fieldspark.storage import cut_lineage, new_path
 BATCHES = 3
 # Turns of a conversation, and conversations of an equal text, that one task handles together.
 CHUNK = 1 << 12
+BUCKET_ROWS = 1 << 21
 IDS = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
 NODE = ["depth", "ha", "hb"]
@@ -151,7 +155,7 @@ def prefixes(rows, strings):
         {"ha": mixed("ha", "xa"), "hb": mixed("hb", "xb"), "before": F.col("before") + F.coalesce("xw", zero)}
     )
     return rows.select(
-        "conv_id", "length", *NODE, "words", "before",
+        "conv_id", "batch", "length", *NODE, "words", "before",
         F.col("ha").bitwiseXOR(F.col("sym1")).alias("pa"),
         F.col("hb").bitwiseXOR(F.col("sym2")).alias("pb"),
     )
@@ -184,6 +188,21 @@ def _with_handles(nodes, prefix_rows):
     ).drop("named")
 
 
+def write_prefixes(rows, n_rows):
+    """The prefixes as a table in buckets of ``conv_id, depth``; a row each, so buckets
+    are even whatever the lengths of strings."""
+    spark = rows.sparkSession
+    buckets = max(spark.sparkContext.defaultParallelism, n_rows // BUCKET_ROWS)
+    name = f"prefixes_{uuid.uuid4().hex}"
+    dealt = rows.repartition(buckets, "conv_id", "depth")
+    writer = dealt.write.format("parquet").option("path", new_path(spark, "prefixes"))
+    writer.bucketBy(buckets, "conv_id", "depth").sortBy("conv_id", "depth").saveAsTable(name)
+    table = spark.table(name)
+    # The files stay, and what has been read of the catalogue goes on with them.
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def exit_nodes(trie, prefix_rows, strings, longest):
     """Where each string leaves the trie: ``a``, the depth of the deepest node that is a
     prefix of it, and the node whose edge it enters from there, if any (``ed, eha, ehb``
@@ -238,18 +257,18 @@ def _as_hit():
     return [F.col(c).alias(n) for c, n in zip(["depth", "ha", "hb", "pd", "conv_id"], _HIT)]
 
 
-def insert(trie, prefix_rows, strings, longest):
+def insert(trie, prefix_rows, strings, batch, longest):
     """The trie with a batch of strings that it did not have.
 
     ``trie`` is None or a table of nodes: extent ``depth, ha, hb``, ``conv_id`` of a
     string through it, ``pd`` the depth of its parent's extent, handle and name. The
     root is not in it.
     """
-    here = cut_lineage(prefix_rows.join(strings.select("conv_id"), "conv_id", "left_semi"))
+    here = prefix_rows.where(F.col("batch") == batch)
     if trie is None:
         paths = here.withColumns({"a": F.lit(0).cast("long"), "ends": F.col("depth") == F.col("length")})
     else:
-        exits = exit_nodes(trie, here, strings, longest)
+        exits = exit_nodes(trie, prefix_rows, strings.where(F.col("batch") == batch), longest)
         paths = here.join(exits.select("conv_id", "a"), "conv_id").withColumn("ends", F.col("depth") == F.col("length"))
         edges = exits.where("ed IS NOT NULL").select("a", "ed", "eha", "ehb", F.col("owner").alias("conv_id")).distinct()
         edges = cut_lineage(edges)
@@ -386,7 +405,6 @@ def prefix_trie(rows, batches=BATCHES):
     depth 0 for each: the smallest member, depth, the parent's smallest member, members,
     children, childless nodes below, words that sharing saves below, and the SHA-256 of
     the ids of the members that end there."""
-    spark = rows.sparkSession
     members = cut_lineage(whole_strings(rows))
     strings = members.groupBy(NODE).agg(
         F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("mult"), F.first("total").alias("total")
@@ -395,16 +413,14 @@ def prefix_trie(rows, batches=BATCHES):
         "batch", F.pmod(F.xxhash64("ha", "hb"), F.lit(batches))
     )
     strings = cut_lineage(strings)
-    path = new_path(spark, "prefixes")
-    written = prefixes(rows, strings)
-    written.write.parquet(path)
-    prefix_rows = spark.read.schema(written.schema).parquet(path)
-    longest = strings.agg(F.max("length")).first()[0] or 0
+    longest, n_rows = strings.agg(F.max("length"), F.sum(F.col("length") + 1)).first()
+    longest = longest or 0
+    prefix_rows = write_prefixes(prefixes(rows, strings), n_rows or 0)
     # The empty string ends at the root, which every trie has.
     worded = strings.where("length > 0")
     trie = None
     for batch in range(batches):
-        trie = insert(trie, prefix_rows, worded.where(F.col("batch") == batch), longest)
+        trie = insert(trie, prefix_rows, worded, batch, longest)
     nodes = cut_lineage(node_figures(trie, prefix_rows, strings))
     parents = nodes.where("depth > 0").select(
         F.col("depth").alias("pd"), F.col("ha").alias("pa"), F.col("hb").alias("pb"), F.col("member").alias("parent")

@@ -102,3 +102,19 @@ def test_two_fattest(spark):
     df = spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", ct.two_fattest("a", "b") + " AS f")
     for a, b, f in df.collect():
         assert f == max(range(a + 1, b + 1), key=lambda x: x & -x)
+
+
+def test_prefixes_are_not_shuffled_to_meet_probes(spark):
+    rows = spark.range(3000).selectExpr("id % 50 AS conv_id", "id div 50 AS depth", "id AS ha", "id AS hb", "0L AS batch")
+    table = ct.write_prefixes(rows, 3000)
+    assert table.count() == 3000
+    probes = spark.createDataFrame([(1, 5), (2, 9)], "conv_id long, f long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ct._at(table, probes, "f", ha="ha")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert sorted((r["conv_id"], r["ha"]) for r in found.collect()) == [(1, 251), (2, 452)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
