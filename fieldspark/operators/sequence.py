@@ -8,10 +8,12 @@ from fieldspark.functions.cells import md5_key
 from fieldspark.operators.merge import join_keys, one_per_date
 from fieldspark.operators.ranking import bucketed_rank, hash_cuts, sorted_rank
 from fieldspark.schema import LOOKBACK_DAYS, WEATHER
-from fieldspark.storage import broadcast_if_small
+from fieldspark.storage import broadcast_if_small, cut_lineage
 
 # Days per chunk when a series is cut so that one key is never one task.
 CHUNK_DAYS = 64
+# A century of windows of so many days is some tens of megabytes.
+BROADCAST_DAYS = 16
 
 
 def assemble_sequence(df, keys, date="Date", cols=WEATHER, n=LOOKBACK_DAYS, out="sequence"):
@@ -57,7 +59,10 @@ def attach_sequence(
         .agg(F.collect_list("_day").alias("_days"))
         .select("_end", window(F.col("_end"), F.col("_days")).alias("_window"))
     )
-    known = inspections.join(broadcast_if_small(by_end), F.col(date) == F.col("_end"), "left")
+    # At most a row of n days for each date of the calendar: measured only where that
+    # could be much.
+    small = F.broadcast if n <= BROADCAST_DAYS else lambda days: broadcast_if_small(cut_lineage(days))
+    known = inspections.join(small(by_end), F.col(date) == F.col("_end"), "left")
     return known.withColumn(out, F.coalesce("_window", window(F.col(date)))).drop("_end", "_window")
 
 
