@@ -481,9 +481,14 @@ def anchors():
     return sorted(chosen)
 
 
-def longest_words(pairs):
-    """The longest word of each pair: without one of these there is no such pair."""
-    return sorted({max(p.split(), key=lambda w: (len(w), w)) for p in pairs})
+# Words that any text has.
+COMMON = "a an and any as at be by for from in is it no not of on or that the this to with".split()
+
+
+def telling_words(pairs):
+    """A word of each pair, the longest that is not common: without one of these words
+    there is no such pair."""
+    return sorted({max(p.split(), key=lambda w: (w not in COMMON, len(w), w)) for p in pairs})
 
 
 def _segments(line):
@@ -502,7 +507,7 @@ def _segments(line):
 
     whole = F.array(entry(line, F.lit(1), F.lit(0)))
     ats = F.sequence(F.lit(1), F.size(line), F.lit(SEGMENT_WORDS))
-    may_hold = F.exists(line, lambda w: w.isin(longest_words(anchors())))
+    may_hold = F.exists(line, lambda w: w.isin(telling_words(anchors())))
     return F.when(may_hold, F.concat(whole, F.transform(ats, segment))).otherwise(whole)
 
 
