@@ -14,7 +14,7 @@ from fieldspark.catalog.base import (
     vectors,
     with_views,
 )
-from fieldspark.functions.vectors import doubles
+from fieldspark.functions.vectors import doubles, sparse_entries
 from fieldspark.operators import features
 from fieldspark.operators.stats import fit_dictionaries, fit_standardizer
 from fieldspark.plans import training
@@ -88,13 +88,10 @@ def one_hot_columns(spark, sf_dir):
 )
 def one_hot_vectors(spark, sf_dir):
     """Position and value of the element that is set in each sparse vector."""
-    from pyspark.ml.functions import vector_to_array
-
     rows = inspections(spark, sf_dir).select("seq", "SiteID")
     coded = features.one_hot_vectors(rows, ["SiteID"], fit_dictionaries(rows, ["SiteID"]))
-    dense = vector_to_array("SiteID_vector")
-    hot = (F.array_position(dense, F.lit(1.0)) - 1).cast("int")
-    return coded.select("seq", hot.alias("hot"), F.array_max(dense).alias("flag"))
+    entries = coded.select("seq", sparse_entries("SiteID_vector").alias("_set"))
+    return entries.select("seq", F.get("_set.indices", F.lit(0)).alias("hot"), F.array_max("_set.values").alias("flag"))
 
 
 @query(

@@ -25,6 +25,19 @@ def doubles(a):
     return a.cast("array<double>")
 
 
+SPARSE_JSON = "v struct<indices: array<int>, values: array<double>>"
+
+
+def sparse_entries(vector):
+    """The places and values that a sparse vector column stores, as ``indices`` and
+    ``values``.
+
+    ``vector_to_array`` writes out the zeros too, so its work grows with the width. A
+    vector's fields cannot be named in an expression, but they are there in its JSON.
+    """
+    return F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), F.lit(SPARSE_JSON))["v"]
+
+
 def each(a, fn):
     return F.transform(doubles(a), fn)
 

@@ -1,5 +1,6 @@
 """Array functions against numpy, statistics against their definitions."""
 
+import datetime
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from fieldspark import catalog
 from fieldspark.functions import vectors
 from fieldspark.operators import evaluate, features, stats
 from fieldspark.operators.boxplot import boxplot_stats, exact_quantiles
@@ -87,6 +89,31 @@ def test_one_hot_forms(spark):
     assert out(features.one_hot_label(spark.createDataFrame([(0, 1)], "i int, y int"), "y", 3), "label_vector") == [[0, 1, 0]]
 
 
+def test_sparse_entries_do_not_grow_with_the_width(spark):
+    # Written out, these rows hold 40 GB of zeros.
+    codes = spark.range(100_000).select(
+        F.lit("c").alias("column"), F.format_string("v%06d", "id").alias("value"), F.col("id").cast("int").alias("code")
+    )
+    df = spark.range(50_000).select("id", F.format_string("v%06d", F.col("id") * 2 + 1).alias("c"))
+    coded = features.one_hot_vectors(df, ["c"], codes)
+    entries = coded.select("id", vectors.sparse_entries("c_vector").alias("e"))
+    right = (F.col("e.indices") == F.array((F.col("id") * 2 + 1).cast("int"))) & (F.col("e.values") == F.array(F.lit(1.0)))
+    assert entries.where(right).count() == 50_000
+
+
+def test_the_one_hot_query_reads_what_is_set(spark, tmp_path):
+    n = 20_000
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"), F.lit(datetime.datetime(2024, 1, 1)).alias("ts"), (F.col("id") + n).alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("k1").alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    hot = catalog.QUERIES["one_hot_vectors"](spark, str(tmp_path))
+    assert hot.where((F.col("hot") == F.col("seq")) & (F.col("flag") == 1.0)).count() == n
+    # No search through the zeros of a row.
+    assert "array_position" not in hot._jdf.queryExecution().toString()
+
+
 def test_dictionary_orders(spark):
     df = spark.createDataFrame([(5, "b"), (2, "c"), (9, "a"), (1, "b"), (3, None)], "seq int, v string")
     ordered = {r["value"]: r["code"] for r in stats.fit_dictionary(df, "v").collect()}
