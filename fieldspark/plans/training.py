@@ -48,11 +48,11 @@ def day_series(rows, days, kernels=False):
 
     With ``kernels`` also what the convolution branch makes of a series: every kernel at
     every place that it fits, rectified (``Temperature_rise_0`` ends on the row's own
-    day), and each kernel's largest and mean value. The arrays are per calendar day, so
-    all of it is one projection of the rows.
+    day), and each kernel's largest and mean value. All of it depends on the date alone:
+    it is computed once per date that the rows have, at most the calendar's, and looked up.
     """
     known = rows.select("Date", *WEATHER).where(F.col(WEATHER[0]).isNotNull())
-    series = attach_sequence(rows, known, n=days, out="_series")
+    series = attach_sequence(rows.select("Date").distinct(), known, n=days, out="_series")
     columns = {}
     for back in range(days - 1, 0, -1):
         for c in WEATHER:
@@ -72,7 +72,9 @@ def day_series(rows, days, kernels=False):
             columns[f"{c}_{name}_max"] = F.array_max(held)
             columns[f"{c}_{name}_avg"] = vectors.mean(F.col(held))
     series = series.withColumns(arrays).withColumns(columns) if arrays else series.withColumns(columns)
-    return series.drop("_series", *arrays), list(columns)
+    by_date = cut_lineage(series.select(F.col("Date").alias("_day"), *columns))
+    found = rows.join(F.broadcast(by_date), F.col("Date").eqNullSafe(F.col("_day")), "left")
+    return found.drop("_day"), list(columns)
 
 
 @dataclass
@@ -87,7 +89,8 @@ class Coded:
 
 
 def coded_rows(combined, seed=42, fit_on="train", days=1, kernels=False):
-    """Label, split, date numbers and site code; dictionaries of the categories."""
+    """Label, split, date numbers and site code; dictionaries of the categories. The
+    table is read a few times: pass a written or checkpointed one."""
     known = {*KEYS, *CATEGORIES, *SITE_NUMBERS, *WEATHER, *HELPERS}
     others = {f.name: f.dataType for f in combined.schema if f.name not in known}
     texts = [c for c, kind in others.items() if kind.simpleString() == "string"]

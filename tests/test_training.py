@@ -89,3 +89,20 @@ def test_a_value_unknown_to_training_has_no_column(spark):
     names = [r["name"] for r in m.names.collect()]
     assert "Notes_usual" in names and "Notes_late" not in names
     assert m.rows.count() == combined.count()
+
+
+def test_series_are_made_once_per_date(spark):
+    days = [datetime.date(2024, 1, d) for d in (1, 2, 5)]
+    rows = [("s", days[i % 3], 1.0 + i % 3, 2.0, 3.0) for i in range(30)] + [(None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "SiteID string, Date date, Temperature double, Precipitation double, CloudCoverage double")
+    found, columns = training.day_series(df, 5, kernels=True)
+    # The kernels are in the table of dates: nothing is convolved for each row.
+    assert "lambda" not in found._jdf.queryExecution().toString()
+    got = found.collect()
+    assert len(got) == 32
+    last = [r for r in got if r["Date"] == days[2]]
+    assert len(last) == 10 and {(r["Temperature_4"], r["Temperature_3"], r["Temperature_1"]) for r in last} == {(1.0, 2.0, 0.0)}
+    # 1, 2, 0, 0 and 3 degrees: rises of -1, -2 and 3.
+    assert {tuple(r[f"Temperature_rise_{b}"] for b in (2, 1, 0)) for r in last} == {(0.0, 0.0, 3.0)}
+    blank = [r for r in got if r["Date"] is None]
+    assert len(blank) == 2 and {(r["Temperature_1"], r["Temperature_rise_0"]) for r in blank} == {(0.0, None)}
