@@ -29,6 +29,9 @@ KERNELS = {"mean3": (1 / 3, 1 / 3, 1 / 3), "rise": (-1.0, 0.0, 1.0), "peak": (-1
 # A text column with more values than this is encoded by hash, into as many columns.
 MOST_VALUES = 4096
 HASHED = "hashed"
+# Tasks a core that the rows are dealt to at least, and rows of a task at most.
+TURNS = 3
+ROWS_A_TASK = 250_000
 # Columns of a merge that say nothing about a site.
 HELPERS = ("seq", "is_recorded", "inspected_on", "_bad_record")
 
@@ -77,6 +80,18 @@ def day_series(rows, days, kernels=False):
     return found.drop("_day"), list(columns)
 
 
+def spread(rows):
+    """The rows dealt evenly over all cores and written once, as many tasks a core.
+
+    A merge leaves as many partitions as the narrow combined table asks for, down to one;
+    what is made of a row here is many times as wide, and a solver goes over it again and
+    again, so a partition more than there are cores costs a whole turn each time.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    turns = max(TURNS, math.ceil(rows.count() / (cores * ROWS_A_TASK)))
+    return cut_lineage(rows.repartition(cores * turns))
+
+
 @dataclass
 class Coded:
     """Filled rows with date numbers and site code, before categories are encoded."""
@@ -97,7 +112,7 @@ def coded_rows(combined, seed=42, fit_on="train", days=1, kernels=False):
     numbers = [c for c, kind in others.items() if isinstance(kind, T.NumericType)]
     categories = [*CATEGORIES, *texts]
     labelled = clean.threshold_label(
-        combined.select(*KEYS, *categories, *SITE_NUMBERS, *numbers, *WEATHER)
+        spread(combined.select(*KEYS, *categories, *SITE_NUMBERS, *numbers, *WEATHER))
     )
     labelled, series = day_series(labelled, days, kernels) if days > 1 else (labelled, [])
     split = order.hash_split(labelled, KEYS, seed)

@@ -106,3 +106,14 @@ def test_series_are_made_once_per_date(spark):
     assert {tuple(r[f"Temperature_rise_{b}"] for b in (2, 1, 0)) for r in last} == {(0.0, 0.0, 3.0)}
     blank = [r for r in got if r["Date"] is None]
     assert len(blank) == 2 and {(r["Temperature_1"], r["Temperature_rise_0"]) for r in blank} == {(0.0, None)}
+
+
+def test_rows_are_dealt_evenly_over_the_cores(spark):
+    combined = table(spark, 600).coalesce(1).checkpoint()
+    rows = training.sparse_matrices(combined, days=5, kernels=True).rows.checkpoint()
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) == cores * training.TURNS and sum(sizes) == combined.count()
+    assert max(sizes) - min(sizes) <= 2
+    twice = training.spread(combined.union(combined))
+    assert twice.exceptAll(combined).exceptAll(combined).count() == 0 and twice.count() == 2 * sum(sizes)
