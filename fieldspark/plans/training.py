@@ -85,7 +85,7 @@ def spread(rows):
 
     A merge leaves as many partitions as the narrow combined table asks for, down to one;
     what is made of a row here is many times as wide, and a solver goes over it again and
-    again, so a partition more than there are cores costs a whole turn each time.
+    again.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     turns = max(TURNS, math.ceil(rows.count() / (cores * ROWS_A_TASK)))
