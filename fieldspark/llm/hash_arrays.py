@@ -7,6 +7,7 @@ byte; larger ones stand in a list of their own.
 """
 
 import json
+import mmap
 import os
 import uuid
 from functools import lru_cache
@@ -16,8 +17,7 @@ import numpy as np
 import pyarrow.fs
 
 LARGE = 255
-AT_ONCE = 6
-OPEN_FILES = 1024
+OPEN_FILES = 4096
 
 
 def write_arrays(folder, name, arrays):
@@ -46,7 +46,9 @@ def read_arrays(path):
     """The arrays of a file: mapped into memory where the folder is mounted, otherwise
     read whole (a file has a bounded size)."""
     if urlparse(path).scheme in ("", "file"):
-        data = np.memmap(urlparse(path).path, np.uint8, "r").view(np.ndarray)
+        with open(urlparse(path).path, "rb") as source:
+            # The file is closed again: only the mapping stays, so no limit of open files is met.
+            data = np.frombuffer(mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
     else:
         files, place = pyarrow.fs.FileSystem.from_uri(path)
         with files.open_input_file(place) as source:
@@ -76,7 +78,7 @@ def small_counts(name, *columns):
 
 def hash_table(name, keys, *columns, extra=None):
     """Arrays of the table of unsigned 64-bit ``keys`` with columns of counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     bits = max(0, int(len(keys) // 3).bit_length() - 1)
     starts = np.searchsorted(_lead(keys, bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -106,15 +108,16 @@ def find(arrays, name, keys):
     lead = _lead(keys, bits).astype(np.int64)
     wanted = _follow(keys, bits)
     at, end = starts[lead].astype(np.int64), starts[lead + 1].astype(np.int64)
-    left = np.flatnonzero(at < end)
+    rows, left = None, np.flatnonzero(at < end)
     while len(left):
-        # A run has a few keys: as many are compared at once.
-        near = at[left][:, None] + np.arange(AT_ONCE)
-        same = (known[np.minimum(near, len(known) - 1)] == wanted[left][:, None]) & (near < end[left][:, None])
-        hit = same.any(axis=1)
-        place[left[hit]] = at[left[hit]] + same[hit].argmax(axis=1)
-        at[left] += AT_ONCE
-        left = left[~hit & (at[left] < end[left])]
+        # A run has a few sorted keys: those left are compared with the next one.
+        at, end, wanted = at[left], end[left], wanted[left]
+        rows = left if rows is None else rows[left]
+        there = known[at]
+        same = there == wanted
+        place[rows[same]] = at[same]
+        at += 1
+        left = np.flatnonzero((there < wanted) & (at < end))
     return place
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import iterate_batches, map_batches, mix
+from fieldspark.llm.common import iterate_batches, mix
 from fieldspark.llm.hash_arrays import counts_at, find, hash_table, read_arrays, small_counts, write_arrays
 from fieldspark.llm.words import word_hashes
 from fieldspark.storage import new_path
@@ -34,7 +34,10 @@ PART_WORDS = 1 << 20
 BUCKET_TOKENS = 1 << 21
 # A middle word is split once for so many occurrences.
 SPLIT_TOKENS = 1 << 20
+SPLIT_WORDS = 16
 FLUSH = 3 << 20
+# Tokens that are scored at once: each file is looked into once for all of them.
+SCORE_TOKENS = 1 << 20
 ODD1, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -58,15 +61,13 @@ class Vocabulary:
         counts = np.zeros(len(distinct), np.int64)
         shift = np.uint64(65 - len(self.paths).bit_length())
         part = distinct >> shift if len(self.paths) > 1 else np.zeros(len(distinct), np.uint64)
-        for p in np.unique(part).astype(np.int64).tolist() if self.size else []:
-            own = np.flatnonzero(part == np.uint64(p))
-            if self.paths[p] is None:
-                continue
-            arrays = read_arrays(self.paths[p])
+        paths = dict(enumerate(self.paths)) if self.size else {}
+        for own, path in _runs(part, paths):
+            arrays = read_arrays(path)
             place = np.minimum(np.searchsorted(arrays["words"], distinct[own]), len(arrays["words"]) - 1)
-            known = arrays["words"][place] == distinct[own]
-            ids[own[known]] = place[known] + self.starts[p]
-            counts[own[known]] = arrays["counts"][place[known]]
+            known = np.flatnonzero(arrays["words"][place] == distinct[own])
+            ids[own.start + known] = place[known] + self.starts[int(part[own.start])]
+            counts[own.start + known] = arrays["counts"][place[known]]
         return ids[back], counts[back]
 
 
@@ -81,13 +82,17 @@ def count_words(texts, folder):
     spark = texts.sparkSession
 
     def count(batches):
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
-            new, times = np.unique(_with_ends(batch.column("text"))[0], return_counts=True)
-            words, counts = _add_up(np.concatenate([words, new]), np.concatenate([counts, times]))
-            if len(words) > PART_WORDS:
-                yield {"word": words.view(np.int64), "n": counts}
-                words, counts = words[:0], counts[:0]
+            held.append(np.unique(_with_ends(batch.column("text"))[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > 2 * PART_WORDS:
+                held = [_add_up(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if size > PART_WORDS:
+                    yield {"word": held[0][0].view(np.int64), "n": held[0][1]}
+                    held, size = [tuple(c[:0] for c in held[0])], 0
+        words, counts = _add_up(*map(np.concatenate, zip(*held)))
         yield {"word": words.view(np.int64), "n": counts}
 
     partial = iterate_batches(texts.select("text"), count, "word long, n long", BATCH)
@@ -159,6 +164,8 @@ class Buckets:
 
     def __init__(self, tokens):
         self.n = int(max(1, -(-tokens // BUCKET_TOKENS)))
+        # For the contexts of split words alone: they are at most twice as many as buckets.
+        self.n_split = -(-self.n // SPLIT_WORDS)
         self.split_tokens = SPLIT_TOKENS
 
     def is_split(self, v_count):
@@ -173,7 +180,7 @@ class Buckets:
         return (_pair_hash(v, w) % np.uint64(self.n)).astype(np.int64)
 
     def of_word(self, v):
-        return (mix(np.asarray(v).astype(np.uint64) + ODD1) % np.uint64(self.n)).astype(np.int64)
+        return (mix(np.asarray(v).astype(np.uint64) + ODD1) % np.uint64(self.n_split)).astype(np.int64)
 
 
 def _sequences(batch, vocabulary, texts_known):
@@ -191,12 +198,19 @@ def _sequences(batch, vocabulary, texts_known):
     return u, v, ids, v_count, counts, lengths
 
 
+def _order(first, second):
+    """The order of rows by two columns of non-negative numbers; of equal ones any."""
+    if max((int(x.max()) for x in (first, second) if len(x)), default=0) < 1 << 32:
+        return np.argsort(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))
+    return np.lexsort((second, first))
+
+
 def _sorted_rows(u, v, w, *columns):
     """Rows in the order of v, w, u."""
-    if max((int(x.max()) for x in (v, w) if len(x)), default=0) < 1 << 32:
-        order = np.lexsort((u, v.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)))
-    else:
-        order = np.lexsort((u, w, v))
+    order = _order(v, w)
+    pair = np.zeros(len(order), np.int64)
+    pair[_first_of(v[order], w[order])] = 1
+    order = order[_order(np.cumsum(pair), u[order])]
     return [x[order] for x in (u, v, w, *columns)]
 
 
@@ -251,7 +265,9 @@ def count_trigrams(texts, vocabulary, n_texts, buckets):
             yield flush(held)
 
     def flush(held):
-        u, v, w, v_count = _sorted_rows(*np.concatenate(held, axis=1))
+        columns = np.concatenate(held, axis=1)
+        held.clear()
+        u, v, w, v_count = _sorted_rows(*columns)
         first = _first_of(v, w, u)
         times = np.diff(np.append(first, len(u)))
         u, v, w, v_count = u[first], v[first], w[first], v_count[first]
@@ -287,13 +303,14 @@ def _fingerprint(w):
 def context_tables(u, v, w, times):
     """Tables of trigrams and their contexts. Most contexts are seen once: those keep a
     mark of their one word and have no trigram of their own."""
-    order = np.lexsort((w, v, u))
-    u, v, w, times = u[order], v[order], w[order], times[order]
-    first, sums = _contexts((u, v), times)
+    key = _pair_hash(u, v)
+    order = np.argsort(key)
+    key, u, v, w, times = key[order], u[order], v[order], w[order], times[order]
+    first, sums = _contexts((key,), times)
     once = np.repeat(sums[0] == 1, np.diff(np.append(first, len(u))))
     lone, many = first[sums[0] == 1], first[sums[0] > 1]
-    out = hash_table("once", _pair_hash(u[lone], v[lone]), extra=_fingerprint(w[lone]))
-    out |= hash_table("context", _pair_hash(u[many], v[many]), *[s[sums[0] > 1] for s in sums])
+    out = hash_table("once", key[lone], extra=_fingerprint(w[lone]))
+    out |= hash_table("context", key[many], *[s[sums[0] > 1] for s in sums])
     return out | hash_table("triple", _triple_hash(u[~once], v[~once], w[~once]), times[~once])
 
 
@@ -385,7 +402,7 @@ def store_split_contexts(blocks, buckets, folder):
             arrays = hash_table("before", mix(v[first].astype(np.uint64)), *[np.add.reduceat(s, first) for s in sums])
             yield _out("file", bucket, write_arrays(folder, f"before-{bucket}", arrays))
 
-    return iterate_batches(_placed(blocks, buckets.n), store, OUT)
+    return iterate_batches(_placed(blocks, buckets.n_split), store, OUT)
 
 
 def store_follows(blocks, vocabulary, folder):
@@ -434,51 +451,79 @@ class Model:
 
     def probabilities(self, u, v, w, v_count):
         """Of each word ``w`` after ``u, v``, given as numbers."""
+        p = np.empty(len(w))
+        for start in range(0, len(w), SCORE_TOKENS):
+            own = slice(start, start + SCORE_TOKENS)
+            p[own] = self._probabilities(u[own], v[own], w[own], v_count[own])
+        return p
+
+    def _probabilities(self, u, v, w, v_count):
+        """Each pair and each word is looked up once, and all that is wanted of a file at
+        a time."""
+        order = _order(v, w)
+        u, v, w, v_count = u[order], v[order], w[order], v_count[order]
+        first = _first_of(v, w)
+        times = np.diff(np.append(first, len(w)))
+        p = np.repeat(self._pairs(v[first], w[first], v_count[first]), times)
+        self._mix_triples(p, u, v, w, v_count)
+        out = np.empty(len(p))
+        out[order] = p
+        return out
+
+    def _words(self, w):
+        """Of the words themselves."""
         words = self.vocabulary
-        p = np.full(len(w), self.even)
-        known = np.flatnonzero(w < words.size)
-        part = np.searchsorted(words.starts, w[known], side="right") - 1
-        for own, path in _groups(known, part, self.follows):
-            arrays = read_arrays(path)
-            low = int(words.starts[np.searchsorted(words.starts, w[own[0]], side="right") - 1])
-            a = counts_at(arrays, "follows", w[own] - low)
+        distinct, back = np.unique(w, return_inverse=True)
+        p = np.full(len(distinct), self.even)
+        known = distinct[: np.searchsorted(distinct, words.size)]
+        part = np.searchsorted(words.starts, known, side="right") - 1
+        for own, path in _runs(part, self.follows):
+            a = counts_at(read_arrays(path), "follows", known[own] - words.starts[part[own.start]])
             p[own] += (a - self.lost1[np.minimum(a, 3)]) / self.all_follows
-        split = self.buckets.is_split(v_count)
-        told = v != words.unknown
-        # Pairs of words that are not split stand beside their trigrams.
-        home = self.buckets.of(u, v, v_count)
-        rows = np.flatnonzero(told & ~split)
-        for own, path in _groups(rows, home[rows], self.trigrams):
-            self._mix_pairs(p, own, v, w, read_arrays(path), read_arrays(path))
-        rows = np.flatnonzero(told & split)
-        for own, path in _groups(rows, self.buckets.of_word(v[rows]), self.before):
-            context = read_arrays(path)
-            for part, place in _groups(own, self.buckets.of_pair(v[own], w[own]), self.pairs, keep=True):
-                self._mix_pairs(p, part, v, w, context, place and read_arrays(place))
-        rows = np.flatnonzero(told & (u != words.unknown) & (u != words.none))
-        for own, path in _groups(rows, home[rows], self.trigrams):
-            self._mix_triples(p, own, u, v, w, read_arrays(path))
+        return p[back]
+
+    def _pairs(self, v, w, v_count):
+        """Of ``w`` after ``v``: distinct pairs in this order."""
+        p, buckets = self._words(w), self.buckets
+        count, told = np.zeros(len(v), np.int64), v != self.vocabulary.unknown
+        split = buckets.is_split(v_count)
+        first = _first_of(v)
+        sums = np.zeros((4, len(first)), np.int64)
+        # Pairs of words that are not split stand beside their trigrams, wherever their u.
+        home = buckets.of(np.zeros(len(v), np.int64), v, v_count)
+        for of, at, paths in ((~split, home, self.trigrams), (split, buckets.of_word(v), self.before)):
+            rows = np.flatnonzero((told & of)[first])
+            for own, path in _groups(rows, at[first[rows]], paths):
+                arrays = read_arrays(path)
+                place = find(arrays, "before", mix(v[first[own]].astype(np.uint64)))
+                sums[:, own] = [counts_at(arrays, "before", place, i) for i in range(4)]
+        sums = np.repeat(sums, np.diff(np.append(first, len(v))), axis=1)
+        key = _pair_hash(v, w)
+        for of, at, paths in ((~split, home, self.trigrams), (split, buckets.of_pair(v, w), self.pairs)):
+            rows = np.flatnonzero(told & of & (sums[0] > 0))
+            for own, path in _groups(rows, at[rows], paths):
+                arrays = read_arrays(path)
+                count[own] = counts_at(arrays, "pair", find(arrays, "pair", key[own]))
+        there = np.flatnonzero(sums[0])
+        self._mix(p, there, count[there], sums[:, there], self.lost2)
         return p
 
-    def _mix_pairs(self, p, own, v, w, context, pairs):
-        place = find(context, "before", mix(v[own].astype(np.uint64)))
-        own, place = own[place >= 0], place[place >= 0]
-        count = np.zeros(len(own), np.int64)
-        if pairs is not None:
-            count = counts_at(pairs, "pair", find(pairs, "pair", _pair_hash(v[own], w[own])))
-        self._mix(p, own, count, [counts_at(context, "before", place, i) for i in range(4)], self.lost2)
-
-    def _mix_triples(self, p, own, u, v, w, arrays):
-        key = _pair_hash(u[own], v[own])
-        place = find(arrays, "once", key)
-        lone, at = own[place >= 0], place[place >= 0]
-        if len(lone):
-            same = arrays["once_extra"][at] == _fingerprint(w[lone])
-            p[lone] = self.lost3[1] * p[lone] + np.where(same, 1 - self.lost3[1], 0.0)
-        place = find(arrays, "context", key)
-        own, place = own[place >= 0], place[place >= 0]
-        count = counts_at(arrays, "triple", find(arrays, "triple", _triple_hash(u[own], v[own], w[own])))
-        self._mix(p, own, count, [counts_at(arrays, "context", place, i) for i in range(4)], self.lost3)
+    def _mix_triples(self, p, u, v, w, v_count):
+        words = self.vocabulary
+        rows = np.flatnonzero((v != words.unknown) & (u != words.unknown) & (u != words.none))
+        key = _pair_hash(u, v)
+        for own, path in _groups(rows, self.buckets.of(u[rows], v[rows], v_count[rows]), self.trigrams):
+            arrays = read_arrays(path)
+            place = find(arrays, "once", key[own])
+            lone, at = own[place >= 0], place[place >= 0]
+            if len(lone):
+                same = arrays["once_extra"][at] == _fingerprint(w[lone])
+                p[lone] = self.lost3[1] * p[lone] + np.where(same, 1 - self.lost3[1], 0.0)
+                own = own[place < 0]
+            place = find(arrays, "context", key[own])
+            own, place = own[place >= 0], place[place >= 0]
+            count = counts_at(arrays, "triple", find(arrays, "triple", _triple_hash(u[own], v[own], w[own])))
+            self._mix(p, own, count, [counts_at(arrays, "context", place, i) for i in range(4)], self.lost3)
 
     @staticmethod
     def _mix(p, own, count, sums, lost):
@@ -487,17 +532,22 @@ class Model:
         p[own] = (count - lost[np.minimum(count, 3)]) / total + left * p[own]
 
 
-def _groups(rows, bucket, paths, keep=False):
+def _runs(bucket, paths):
+    """Slices of equal sorted ``bucket`` with the path of its file; those without a file
+    are left out."""
+    first = _first_of(bucket).tolist()
+    for start, end in zip(first, [*first[1:], len(bucket)]):
+        path = paths.get(int(bucket[start]))
+        if path is not None:
+            yield slice(start, end), path
+
+
+def _groups(rows, bucket, paths):
     """Rows by bucket with the path of its file; buckets without a file are left out."""
     order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)) if len(bucket) else []
-    start = 0
-    for end in ends:
-        path = paths.get(int(bucket[start]))
-        if path is not None or keep:
-            yield rows[start:end], path
-        start = end
+    rows = rows[order]
+    for own, path in _runs(bucket[order], paths):
+        yield rows[own], path
 
 
 def train(texts):
@@ -533,13 +583,27 @@ def score(docs, model):
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString().replace('bigint', 'long')}" for f in docs.schema if f.name != "text")
     base = vocabulary.tokens + 0.5 * (vocabulary.size + 1)
 
-    def one(batch):
-        model = shared.value
-        u, v, w, v_count, counts, lengths = _sequences(batch, model.vocabulary, model.n_texts)
+    def several(batches):
+        model, held, size = shared.value, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            others = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            held.append((others, *_sequences(batch, model.vocabulary, model.n_texts)))
+            size += len(held[-1][1])
+            if size >= SCORE_TOKENS:
+                yield scored(model, held)
+                held, size = [], 0
+        if held:
+            yield scored(model, held)
+
+    def scored(model, held):
+        others, *columns = zip(*held)
+        u, v, w, v_count, counts, lengths = map(np.concatenate, columns)
         first = np.cumsum(lengths) - lengths
         sums = lambda x: np.add.reduceat(x, first)
         return {
-            **{c: batch.column(c) for c in batch.schema.names if c != "text"},
+            **{c: pa.chunked_array([o[c] for o in others]) for c in others[0]},
             "n_tokens": lengths,
             "n_known": sums((counts > 0).astype(np.int64)),
             "train_tokens": np.full(len(lengths), model.vocabulary.tokens),
@@ -547,7 +611,7 @@ def score(docs, model):
             "score": sums(np.log10(model.probabilities(u, v, w, v_count))),
         }
 
-    return map_batches(docs, one, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double", BATCH)
+    return iterate_batches(docs, several, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double", BATCH)
 
 
 def score_documents(docs, fold=5, left_out=1, id_col="doc_id", text_col="text"):

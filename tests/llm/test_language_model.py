@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import awkward, documents, empty, prose
 
@@ -112,6 +113,35 @@ def test_split_words_and_many_files(spark, monkeypatch):
     check(kneser_ney.score_documents(documents(spark, rows).repartition(3)), rows)
 
 
+def test_each_file_is_looked_into_a_few_times_for_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SPLIT_TOKENS", 10)
+    monkeypatch.setattr(kneser_ney, "BUCKET_TOKENS", 100)
+    rows = [(i, prose(i, 80) + " the of" * 50) for i in range(40)]
+    model = kneser_ney.train(documents(spark, rows).select("text"))
+    n = model.buckets.n
+    assert n > 60 and len(model.pairs) > n / 2
+    looked, find = [], kneser_ney.find
+    monkeypatch.setattr(kneser_ney, "find", lambda *x: looked.append(1) or find(*x))
+    batch = pa.record_batch([pa.array([t for _, t in rows])], ["text"])
+    u, v, w, v_count, _, _ = kneser_ney._sequences(batch, model.vocabulary, model.n_texts)
+    whole = model.probabilities(u, v, w, v_count)
+    # Contexts and pairs of split and of other words, then what a trigram needs.
+    assert len(looked) <= 7 * n
+    monkeypatch.setattr(kneser_ney, "SCORE_TOKENS", 999)
+    assert (model.probabilities(u, v, w, v_count) == whole).all()
+
+
+def test_batches_are_scored_together(spark, monkeypatch):
+    rows = [(i, prose(i, 80)) for i in range(40)] + awkward()
+    df = documents(spark, rows).repartition(2)
+    monkeypatch.setattr(kneser_ney, "BATCH", 300)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    check(kneser_ney.score_documents(df), rows)
+    monkeypatch.setattr(kneser_ney, "SCORE_TOKENS", 500)
+    check(kneser_ney.score_documents(df), rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(i, prose(i, 60)) for i in range(12)]
     model = kneser_ney.train(documents(spark, rows).select("text"))
