@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from fieldspark.functions import vectors
 from fieldspark.operators.evaluate import evaluate
+from fieldspark.operators.perceptron import Solver
 
 # Widths of the hidden layers.
 HIDDEN_LAYERS = (128, 64, 32, 16)
@@ -77,26 +78,63 @@ def train_classifier(
     seed=42,
     max_iter=25,
     initial_weights=None,
+    earlier=None,
 ):
     """Fit the hidden stack on an array or vector column; gradients are summed over all
-    partitions, only the weights return to the driver."""
+    partitions, only the weights return to the driver.
+
+    Given an ``earlier`` result on the same rows, its solver goes on for ``max_iter``
+    iterations. The result is Spark ML's model; its ``summary()`` is that of the run.
+    """
+    if earlier is not None:
+        run = earlier.summary()
+        return _fitted(run.trainer, df.sparkSession, run.solver.run(max_iter))
     first = df.select(features).first()
     if first is None:
         raise ValueError("there are no rows to train on")
     width = len(first[0])
+    layers = [width, *hidden, classes]
     trainer = MultilayerPerceptronClassifier(
         featuresCol="_features",
         labelCol=label,
         probabilityCol="_probability",
         rawPredictionCol="_raw",
         predictionCol="_prediction",
-        layers=[width, *hidden, classes],
+        layers=layers,
         seed=seed,
-        maxIter=max_iter,
+        maxIter=0,
     )
-    if initial_weights is not None:
-        trainer.setInitialWeights(initial_weights)
-    return trainer.fit(_with_vector(df.select(features, label), features))
+    if initial_weights is None:
+        initial_weights = _network(trainer, df.sparkSession).weights
+    rows = _with_vector(df.select(features, label), features)
+    rows = rows.select(F.col("_features").alias("features"), F.col(label).cast("double").alias("label"))
+    solver = Solver(rows, layers, initial_weights.toArray().astype(float)).run(max_iter)
+    return _fitted(trainer, df.sparkSession, solver)
+
+
+class Run:
+    """What a fitted network's ``summary()`` tells: the objective before the first and
+    after every iteration. It holds the solver too."""
+
+    def __init__(self, trainer, solver):
+        self.trainer, self.solver = trainer, solver
+        self.objectiveHistory = list(solver.objectives)
+        self.totalIterations = len(solver.objectives) - 1
+
+
+def _network(trainer, spark):
+    """Spark ML's network with the trainer's initial weights, which no iteration changes:
+    one row of zeros tells it the width."""
+    row = [(Vectors.sparse(trainer.getLayers()[0], [], []), 0.0)]
+    label = trainer.getLabelCol()
+    return trainer.fit(spark.createDataFrame(row, ["_features", label]))
+
+
+def _fitted(trainer, spark, solver):
+    trainer = trainer.copy({trainer.initialWeights: Vectors.dense(solver.weights)})
+    fitted, run = _network(trainer, spark), Run(trainer, solver)
+    fitted.summary = lambda: run
+    return fitted
 
 
 def train_baseline(df, features="features", label="label", max_iter=25):
@@ -134,7 +172,8 @@ def train_with_history(
     epochs=5,
     iterations=5,
 ):
-    """Train in epochs of solver iterations, each starting from the last weights.
+    """Train in epochs of solver iterations, each going on from the last weights with
+    what the solver knows by then.
 
     Returns the model and one entry per epoch: objective on the training part,
     loss and accuracy on the validation part.
@@ -149,7 +188,7 @@ def train_with_history(
             hidden,
             seed,
             iterations,
-            model.weights if model else None,
+            earlier=model,
         )
         objective = model.summary().objectiveHistory[-1]
         scored = score_classifier(model, validation, features).withColumn("split", F.lit("validation"))

@@ -3,11 +3,14 @@
 import datetime
 
 import numpy as np
+import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from test_jobs import SCHEMA, random_inspections, weather
 
-from fieldspark.operators import model
+from fieldspark.operators import model, perceptron
 from fieldspark.plans import training
 from fieldspark.plans.combined import build_combined
 
@@ -117,3 +120,57 @@ def test_rows_are_dealt_evenly_over_the_cores(spark):
     assert max(sizes) - min(sizes) <= 2
     twice = training.spread(combined.union(combined))
     assert twice.exceptAll(combined).exceptAll(combined).count() == 0 and twice.count() == 2 * sum(sizes)
+
+
+def labelled_vectors(spark, n=300):
+    rnd = np.random.default_rng(8)
+    xs = rnd.normal(size=(n, 6))
+    vectors = [Vectors.dense(x) if i % 3 else Vectors.sparse(6, [0, 4], [x[0], x[4]]) for i, x in enumerate(xs)]
+    rows = [(v, float(v[0] + v[4] > 0)) for v in vectors]
+    return spark.createDataFrame(rows, ["features", "label"])
+
+
+def test_loss_and_gradient_are_those_of_spark_ml(spark, monkeypatch):
+    df, layers = labelled_vectors(spark), [6, 5, 4, 2]
+    trainer = MultilayerPerceptronClassifier(layers=layers, seed=3, maxIter=0, blockSize=300)
+    fitted = trainer.fit(df.coalesce(1))
+    weights = fitted.weights.toArray()
+    monkeypatch.setattr(perceptron, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(perceptron, "CHUNK_ROWS", 16)
+    blocks = perceptron.pack(df.repartition(3), 6, 2)
+    assert blocks.agg(F.sum("n")).first()[0] == 300
+    loss, gradient = perceptron.mean_loss(blocks, layers, weights)
+    assert np.isclose(loss / 300, fitted.summary().objectiveHistory[0], rtol=1e-12)
+    for i in (0, 7, 33, 40, 50, len(weights) - 1):
+        near = np.zeros(len(weights))
+        near[i] = 1e-6
+        up, down = (perceptron.mean_loss(blocks, layers, weights + d)[0] for d in (near, -near))
+        assert np.isclose((up - down) / 2e-6, gradient[i], rtol=1e-4, atol=1e-4)
+    # Where the folder is not mounted, blocks come with the rows; many results are added up by tasks.
+    monkeypatch.setattr(perceptron, "MOST_RESULTS", 2)
+    as_array = df.select(vector_to_array("features").alias("features"), "label")
+    monkeypatch.setattr(perceptron, "new_path", lambda *a: "store://folder/packed")
+    sent = perceptron.pack(as_array.repartition(5), 6, 2)
+    assert sent.where("path IS NOT NULL OR data IS NULL").count() == 0
+    other, same = perceptron.mean_loss(sent, layers, weights)
+    assert np.isclose(other, loss, rtol=1e-12) and np.allclose(same, gradient)
+
+
+def test_epochs_go_on_with_one_solver(spark):
+    df = labelled_vectors(spark)
+    whole = model.train_classifier(df, hidden=(5,), max_iter=20).summary()
+    assert len(whole.objectiveHistory) == 21
+    assert all(b < a for a, b in zip(whole.objectiveHistory, whole.objectiveHistory[1:]))
+    fitted, history = model.train_with_history(df, df, hidden=(5,), epochs=5, iterations=4)
+    assert np.allclose([h[1] for h in history], whole.objectiveHistory[4::4])
+    # The rows are packed once, and an iteration seldom takes more than a pass over them.
+    assert fitted.summary().solver.passes <= 40
+    assert np.isclose(history[-1][1], history[-1][2], rtol=1e-6)
+
+
+def test_rows_that_cannot_be_trained_on(spark):
+    good = [([1.0, 2.0], 0.0), ([2.0, 1.0], 1.0)]
+    for bad in (([1.0, float("nan")], 0.0), ([1.0], 0.0), ([1.0, 2.0], 2.0), ([1.0, 2.0], None)):
+        df = spark.createDataFrame([*good, bad], "features array<double>, label double")
+        with pytest.raises(Exception, match="train on"):
+            model.train_classifier(df, hidden=(2,), max_iter=1)
