@@ -26,6 +26,8 @@ from fieldspark.storage import cut_lineage, new_path
 BLOCK_ROWS = 2048
 # Rows that go through the network at once: their activations stay in the cache.
 CHUNK_ROWS = 512
+# A pass has no task for fewer rows: it would take longer to start.
+TASK_ROWS = 8192
 # Gradients that the driver adds up itself; more are first added up by tasks.
 MOST_RESULTS = 64
 # Pairs of steps and changes of the gradient that the solver remembers.
@@ -248,8 +250,10 @@ class Solver:
     can go on after any number of iterations; ``objectives`` are the losses so far."""
 
     def __init__(self, rows, layers, weights):
-        self.layers, self.blocks = layers, pack(rows, layers[0], layers[-1])
-        self.n = self.blocks.agg(F.sum("n")).first()[0]
+        blocks = pack(rows, layers[0], layers[-1])
+        self.layers, self.n = layers, blocks.agg(F.sum("n")).first()[0]
+        # Fewer tasks without a shuffle; there are never more than before.
+        self.blocks = blocks.coalesce(-(-self.n // TASK_ROWS))
         self.weights, self.pairs, self.passes = weights, [], 0
         self.loss, self.gradient = self.at(weights)
         self.objectives = [self.loss]
